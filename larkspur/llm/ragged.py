@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters of text that one step of an Arrow operator works on at a time.
 STEP_BYTES = 8_000_000
@@ -31,7 +32,7 @@ def slices(batch: pa.RecordBatch, column: str, step: int = STEP_BYTES) -> Iterat
     if values.null_count == len(values):
         yield from (batch.slice(i, 4096) for i in range(0, len(values), 4096))
         return
-    size = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group, row = np.cumsum(size) // step, 0
     for end in [*(np.flatnonzero(np.diff(group)) + 1).tolist(), len(values)]:
         if end > row:
@@ -41,4 +42,4 @@ def slices(batch: pa.RecordBatch, column: str, step: int = STEP_BYTES) -> Iterat
 
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     """A column of texts as Python strings; null counts as empty."""
-    return pa.compute.fill_null(batch.column(column), "").to_pylist()
+    return pc.fill_null(batch.column(column), "").to_pylist()
