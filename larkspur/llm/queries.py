@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import sentencepiece_codec
-from larkspur.llm.workspace import table
+from larkspur.llm import line_dedup, sentencepiece_codec, warc
+from larkspur.llm.workspace import new_path, table
 
 #: Fixed by the contract of op1.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -26,9 +26,43 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.dedup_lines(docs, min_chars=10, min_docs=2)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(warc.archive(table(spark, sf_dir, "pages"), min_bytes=100), path)
+    # Two reads: the payloads of revisits are not there to be decoded, and pushed filters keep each read to its records.
+    full = warc.read(spark, path).where(F.col("record_type") == "response")
+    again = warc.read(spark, path, payload=False).where(F.col("record_type") == "revisit")
+    return full.select(
+        warc.key_of(F.col("record_id")).alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"),
+        "record_type",
+        F.lit(None).cast("long").alias("refers_to"),
+    ).unionByName(
+        again.select(
+            warc.key_of(F.col("record_id")).alias("page_id"),
+            F.col("http_headers")["content-length"].cast("long").alias("payload_bytes"),
+            F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"),
+            "record_type",
+            warc.key_of(F.col("refers_to")).alias("refers_to"),
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_warc": op3_warc,
 }
 
 #: DuckDB SQL for the same rows; only where SQL can express the operator over whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.SQL,
+    "op3_warc": warc.SQL,
+}
