@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import line_dedup, sentencepiece_codec, warc
+from larkspur.llm import decontamination, line_dedup, sentencepiece_codec, sharding, token_counts, warc
 from larkspur.llm.workspace import new_path, table
 
 #: Fixed by the contract of op1.
@@ -55,10 +55,26 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, PIECE_MODEL).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
+    "op4_decontamination": op4_decontamination,
+    "op8_sharding": op8_sharding,
+    "op10_token_counts": op10_token_counts,
 }
 
 #: DuckDB SQL for the same rows; only where SQL can express the operator over whole tables.
