@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontamination, line_dedup, sentencepiece_codec, sharding, token_counts, warc
+from larkspur.llm import decontamination, line_dedup, ngram_join, sentencepiece_codec, sharding, token_counts, warc
 from larkspur.llm.workspace import new_path, table
 
 #: Fixed by the contract of op1.
@@ -63,6 +63,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"), ngram_join.Join(words=3, share=90, of=100))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, PIECE_MODEL).drop("text")
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
     "op8_sharding": op8_sharding,
+    "op9_ngram_join": op9_ngram_join,
     "op10_token_counts": op10_token_counts,
 }
 
