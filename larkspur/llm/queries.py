@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontamination, embedding_dedup, line_dedup, ngram_join, sentencepiece_codec, sharding, token_counts, warc
+from larkspur.llm import decontamination, embedding_dedup, language_crf, line_dedup, ngram_join, quality_classifier, sampling, sentencepiece_codec, sharding, token_counts, warc
 from larkspur.llm.workspace import new_path, table
 
 #: Fixed by the contract of op1.
@@ -59,6 +59,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_crf.train(docs)
+    return language_crf.identify(docs.select("doc_id", "text"), model).select("doc_id", sampling.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, model).select("doc_id", sampling.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -81,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
+    "op5_language_crf": op5_language_crf,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_sharding": op8_sharding,
     "op9_ngram_join": op9_ngram_join,
