@@ -1,0 +1,371 @@
+"""Pieces, line dedup, token counts, decontamination, classifiers: against the libraries, brute force and held-out rows."""
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer, models
+
+from larkspur.llm import decontamination, language_crf, line_dedup, quality_classifier, sampling, sentencepiece_codec, token_counts
+from larkspur.llm.sentencepiece_codec import Encoder, PieceModel
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+EDGE = [
+    (1, "Hello  world, hello world.\nAll rights reserved.", "en", "a", 1, "x"),
+    (2, "all RIGHTS reserved.  \nshort\nÄpfel und Birnen sind Obst", "de", None, None, None),
+    (3, None, None, None, None, None),
+    (4, "", "en", "a", 0, ""),
+    (5, "\n\n", "en", "a", 2, "y"),
+    (6, "äpfel und birnen sind obst\n\tÄpfel und birnen sind Obst\v", "de", "a", 3, "z"),
+    (None, "All rights reserved.", "en", "a", 3, "z"),
+    (7, "word " * 30_000, "en", "hot", 9, "long"),
+    (1, "Hello  world, hello world.\nAll rights reserved.", "en", "a", 1, "x"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(EDGE, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=PIECES)
+
+
+@pytest.fixture(scope="module")
+def model():
+    with open(PIECES, "rb") as f:
+        return PieceModel(f.read())
+
+
+# -- 1 ------------------------------------------------------------------------------------------------------
+
+
+def check_codec(model, library, texts):
+    codec = Encoder(model)
+    ids, n = codec.encode(texts)
+    at = np.append(0, np.cumsum(n))
+    decoded = codec.decode(ids, n)
+    for k, text in enumerate(texts):
+        want = library.encode(text, add_eos=True)
+        assert ids[at[k] : at[k + 1]].tolist() == want, text
+        assert decoded[k] == library.decode(want), text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aabeinorth  s.\n\t▁é日😀"), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=4))
+def test_pieces_equal_the_library(model, library, texts):
+    check_codec(model, library, texts)
+
+
+def test_pieces_of_hard_texts(model, library):
+    rng = random.Random(3)
+    texts = ["", " ", "     ", "aaaa" * 20, "abab" * 30, "<s></s><unk><0x41>", "▁▁", "\r\n\x00", "the\nthe the"]
+    texts += ["".join(rng.choice("ab ") for _ in range(80)) for _ in range(300)]
+    texts += ["".join(rng.choice("aeinorths") for _ in range(20_000))]
+    check_codec(model, library, texts)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 31_999), st.integers(3, 258), st.sampled_from([0, 1, 2, 28705])), max_size=10))
+def test_any_ids_decode_as_the_library_does(model, library, ids):
+    assert model.decode(ids) == library.decode(ids)
+
+
+def test_forgetting_words_changes_nothing(model, library):
+    codec = Encoder(model, cache_words=2)
+    for text in ("one two three four", "five six one", "one"):
+        ids, _ = codec.encode([text])
+        assert ids.tolist() == library.encode(text, add_eos=True)
+
+
+def test_encode_edges(docs, none, library):
+    rows = sentencepiece_codec.encode_decode(docs, PIECES).collect()
+    assert len(rows) == len(EDGE)
+    for r in rows:
+        want = library.encode(r["text"] or "", add_eos=True)
+        assert r["ids"] == want and r["decoded"] == library.decode(want)
+    assert sentencepiece_codec.encode_decode(none, PIECES).count() == 0
+    with pytest.raises(ValueError):
+        sentencepiece_codec.encode_decode(docs.withColumnRenamed("extra", "ids"), PIECES)
+
+
+# -- 2 ------------------------------------------------------------------------------------------------------
+
+ASCII = " \t\n\v\f\r"
+
+
+def brute_lines(rows, min_chars=10, min_docs=2):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda s: s.strip(ASCII).translate(lower)
+    holders = defaultdict(set)
+    for doc, text in rows:
+        for s in (text or "").split("\n"):
+            if doc is not None and len(key(s)) >= min_chars:
+                holders[key(s)].add(doc)
+    out = []
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        gone = [doc is not None and len(h := holders.get(key(s), ())) >= min_docs and doc != min(h) for s in lines]
+        kept = "\n".join(s for s, g in zip(lines, gone, strict=True) if not g)
+        out.append((doc, len(lines), sum(gone), text if not any(gone) else kept))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("min_docs", [2, 3])
+def test_lines_equal_brute_force(spark, docs, min_docs):
+    rng = random.Random(min_docs)
+    pool = [f"line number {k} of the pool" for k in range(15)] + ["Short", "", "  LINE number 1 of the POOL\t", "ÄÖÜ long enough", "äöü long enough"]
+    rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(8)))) for k in range(60)] + [(r[0], r[1]) for r in EDGE]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), min_docs=min_docs)
+    assert sorted(map(tuple, found.select("doc_id", "n_lines", "n_dropped", "text").collect()), key=repr) == brute_lines(rows, min_docs=min_docs)
+
+
+def test_lines_keep_columns_and_stay_native(docs, none):
+    found = line_dedup.dedup_lines(docs)
+    assert found.columns == [*docs.columns, "n_lines", "n_dropped"] and found.count() == len(EDGE)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+    assert line_dedup.dedup_lines(none).count() == 0
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(docs.withColumnRenamed("extra", "n_lines"))
+
+
+def test_a_document_of_many_equal_lines(spark):
+    rows = [(1, "\n".join(["the same line again"] * 5000)), (2, "\n".join(["the same line again"] * 5000 + ["its own last line"]))]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_dropped"], r["n_lines"]) for r in found] == [(0, 5000), (5000, 5001)] and found[1]["text"] == "its own last line"
+
+
+# -- 10 -----------------------------------------------------------------------------------------------------
+
+
+def test_counts_equal_greedy_word_pieces(model):
+    first, following = token_counts.pieces(model)
+    vocabulary = {"[UNK]": 0}
+    for p in [*first, *(f"##{x}" for x in following)]:
+        vocabulary.setdefault(p, len(vocabulary))
+    greedy = Tokenizer(models.WordPiece(vocabulary, unk_token="[UNK]", max_input_chars_per_word=10**6)).model
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abeinorthszé日ß|$€") for _ in range(rng.randint(1, 14))) for _ in range(3000)] + ["a" * 2000, "é"]
+    for w, n in zip(words, token_counts.Automaton(first, following).count(words), strict=True):
+        tokens = [t.value for t in greedy.tokenize(w)]
+        assert n == (0 if tokens == ["[UNK]"] else len(tokens)), w
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.text("ab", min_size=1, max_size=4), max_size=8), st.sets(st.text("ab", min_size=1, max_size=4), max_size=8), st.lists(st.text("abc", min_size=1, max_size=12), min_size=1, max_size=6))
+def test_automaton_on_small_vocabularies(first, following, words):
+    def greedy(w):
+        n, at = 0, 0
+        while at < len(w):
+            size = max((k for k in range(1, len(w) - at + 1) if w[at : at + k] in (following if at else first)), default=0)
+            if not size:
+                return 0
+            n, at = n + 1, at + size
+        return n
+
+    assert token_counts.Automaton(sorted(first), sorted(following)).count(words).tolist() == [greedy(w) for w in words]
+
+
+def test_count_edges(docs, none):
+    rows = token_counts.count_tokens(docs, PIECES).collect()
+    assert len(rows) == len(EDGE)
+    for r in rows:
+        assert r["n_words"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        assert r["n_tokens"] >= r["n_words"] >= r["n_unknown"] >= 0
+    assert token_counts.count_tokens(none, PIECES).count() == 0
+
+
+# -- 4 ------------------------------------------------------------------------------------------------------
+
+
+def brute_edits(p, t):
+    before = [0] * (len(t) + 1)
+    for i, a in enumerate(p, 1):
+        row = [i]
+        for j, b in enumerate(t, 1):
+            row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (a != b)))
+        before = row
+    return min(before), before.index(min(before))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=70), st.lists(st.integers(0, 3), max_size=80))
+def test_edit_distance(pattern, text):
+    assert decontamination.best_edits(pattern, text) == brute_edits(pattern, text)
+
+
+def leaky(rng, n_docs=120):
+    """Documents of random words, some with an edited benchmark item in them; and the pairs that brute force finds."""
+    words = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(8, 45)))) for k in range(25)]
+    docs = []
+    for d in range(n_docs):
+        own = [rng.choice(words) for _ in range(rng.randint(0, 80))]
+        if rng.random() < 0.6:
+            item = items[rng.randrange(len(items))][1].split()
+            for _ in range(rng.randint(0, int(0.26 * len(item)))):
+                k = rng.randrange(len(item))
+                kind = rng.randrange(3)
+                if kind == 0:
+                    item[k] = rng.choice(words)
+                elif kind == 1:
+                    item.insert(k, rng.choice(words))
+                elif len(item) > 1:
+                    del item[k]
+            at = rng.randint(0, len(own))
+            own[at:at] = item
+        docs.append((d, " ".join(own).capitalize()))
+    return items, docs
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(12)
+    items, docs = leaky(rng)
+    want = set()
+    for d, text in docs:
+        for i, item in items:
+            p = item.split()
+            edits = brute_edits(p, text.lower().split())[0]
+            if edits <= int(0.2 * len(p) + 1e-9):
+                want.add((d, i, edits))
+    found = decontamination.find(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in found.collect()}
+    assert got == want and len(want) > 30
+
+
+def test_leaks_do_not_depend_on_blocks(spark):
+    items, docs = leaky(random.Random(4), 60)
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole, cut = (decontamination.find(a, b, decontamination.Settings(block_bytes=size)).select("doc_id", "item_id", "distance").collect() for size in (16_000_000, 500))
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, cut))
+    kept = {r["doc_id"] for r in decontamination.remove(a, b, decontamination.Settings(block_bytes=500)).collect()}
+    assert kept == {d for d, _ in docs} - {r["doc_id"] for r in whole}
+
+
+def test_leak_edges(spark, docs, none):
+    bench = spark.createDataFrame([(1, "hello world hello world all"), (2, None), (3, ""), (4, "too short"), (None, "hello world hello world all")], "item_id long, text string")
+    found = sorted(((r["doc_id"], r["item_id"], r["distance"], r["start_word"]) for r in decontamination.find(docs, bench).collect()), key=repr)
+    assert found == sorted([(1, i, 0, 0) for i in (1, None)] * 2, key=repr)
+    assert decontamination.find(none, bench).count() == 0 and decontamination.find(docs, bench.limit(0)).count() == 0
+    kept = decontamination.remove(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == len(EDGE) - 2
+
+
+# -- 5, 6 ---------------------------------------------------------------------------------------------------
+
+
+def prose(rng, kind):
+    parts = {"en": ["the", "of", "and", "thing", "er", "ly", "sh"], "de": ["der", "und", "sch", "ung", "keit", "ie", "ein"], "fr": ["le", "de", "eaux", "tion", "ment", "que", "ou"]}[kind]
+    return [rng.choice(parts) + (rng.choice(parts) if rng.random() < 0.6 else "") for _ in range(rng.randint(10, 60))]
+
+
+@pytest.fixture(scope="module")
+def languages():
+    rng = random.Random(1)
+    rows = [(" ".join(prose(rng, kind)), kind) for kind in ("en", "de", "fr") for _ in range(80)]
+    return language_crf.fit([t for t, _ in rows[::2]], [y for _, y in rows[::2]]), rows[1::2]
+
+
+def test_language_of_held_out_texts(languages):
+    model, held_out = languages
+    lang, score = model.predict([t for t, _ in held_out])
+    assert np.mean([a == y for a, (_, y) in zip(lang, held_out, strict=True)]) > 0.97
+    assert (score >= 0).all() and (score <= 1).all()
+
+
+def test_words_of_code_switched_text(languages):
+    model, _ = languages
+    rng = random.Random(8)
+    a, b = prose(rng, "de"), prose(rng, "fr")
+    labels = [y for _, y, _ in model.label_words(" ".join(a + b))]
+    assert np.mean([x == y for x, y in zip(labels, ["de"] * len(a) + ["fr"] * len(b), strict=True)]) > 0.9
+
+
+def test_forward_backward_is_exact_across_chunks(languages, monkeypatch):
+    model, held_out = languages
+    emission, n = model.emit([t for t, _ in held_out[:20]] + [""])
+    whole = model.marginals(emission, n)
+    monkeypatch.setattr(language_crf, "CHUNK", 7)
+    assert np.abs(model.marginals(emission, n) - whole).max() < 1e-9
+    move, at = np.exp(model.transitions), 0
+    for k in n[:3]:  # and equals the plain recursion
+        forward, message = [], np.full(3, 1 / 3)
+        for e in emission[at : at + k]:
+            message = (message @ move) * e
+            forward.append(message := message / message.sum())
+        back = np.ones(3)
+        for t in range(k - 1, -1, -1):
+            p = forward[t] * back
+            assert np.abs(p / p.sum() - whole[at + t]).max() < 1e-9
+            back = move @ (emission[at + t] * back)
+            back /= back.sum()
+        at += k
+
+
+def test_language_edges(spark, docs, none):
+    model = language_crf.train(docs)
+    rows = language_crf.identify(docs, model).collect()
+    assert len(rows) == len(EDGE)
+    for r in rows:
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or ""))
+        assert 0 <= r["score"] <= 1
+    assert language_crf.identify(none, model).count() == 0
+    nothing = language_crf.train(none)
+    assert {r["lang_pred"] for r in language_crf.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_quality_of_held_out_texts():
+    rng = random.Random(6)
+    good = [" ".join(prose(rng, "en")) + "." for _ in range(150)]
+    bad = ["".join(f"{w}{rng.choice(['$$$', '###', '%%%'])} " for w in prose(rng, "en")) for _ in range(50)] + [" ".join([rng.choice(prose(rng, "en"))] * 40) for _ in range(50)]
+    rows = [(t, 1) for t in good] + [(t, 0) for t in bad]
+    model = quality_classifier.fit([t for t, _ in rows[::2]], np.array([y for _, y in rows[::2]]), quality_classifier.Settings(epochs=8))
+    score = model.score([t for t, _ in rows[1::2]])
+    assert np.mean((score >= 0.5) == np.array([y for _, y in rows[1::2]])) > 0.96
+
+
+def test_quality_edges(spark, docs, none):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (6, 0), (7, 1), (1, 0)], "doc_id long, quality int")
+    model = quality_classifier.train(docs, labels)
+    rows = quality_classifier.score(docs, model).collect()
+    assert len(rows) == len(EDGE) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    assert quality_classifier.score(none, model).count() == 0
+    blank = quality_classifier.train(none, labels)
+    assert {r["score"] for r in quality_classifier.score(docs, blank).collect()} == {0.5}
+
+
+def test_folds(spark):
+    import zlib
+
+    rows = spark.range(50).select(F.col("id"), sampling.held_out(F.col("id")).alias("h")).collect()
+    assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 3 == 1) for r in rows)
+
+
+def test_digests(spark, sf_dir, library):
+    """The whole query op1 against the library, over the whole table."""
+    from larkspur.llm import queries
+
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op1_sentencepiece(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode(texts[r["doc_id"]], add_eos=True)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids)))
