@@ -14,7 +14,7 @@ a 64-bit hash. Documents link when intersection / union reaches ``share / of``;
    pairs, which count if they share l elements. Longer runs, and elements that the sketch shows to be common,
    give one row for each document (a link from document to element): rows stay in proportion, and the exact
    way for these is step 4.
-4. Candidates' components are verified. Sets are sent once; components of over ``BLOCK`` elements are cut
+4. Candidates' components are verified. Only documents that a Bloom filter of bounded size passes meet them; sets are sent once; components of over ``BLOCK`` elements are cut
    into blocks, and each pair of blocks is one task. A task compares by exact intersection, breadth first: what is linked
    already isn't compared again, and it emits a spanning forest rather than all pairs.
 
@@ -39,12 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm import ragged
+from larkspur.llm import filters, ragged
 from larkspur.llm.components import components, skew_join
 from larkspur.llm.workspace import Stash
 
 COUNTERS, PART = 1 << 20, 1 << 12
-RUN, BLOCK, COMMON, MOST_MATCHES = 64, 1_000_000, 100_000, 8
+CACHE_WORDS = 300_000
+RUN, BLOCK, COMMON, MOST_MATCHES = 64, 250_000, 100_000, 8
 
 
 @dataclass(frozen=True)
@@ -86,7 +87,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     own = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not own:
         return np.zeros(0, dtype=np.uint64)
-    if len(_words) > 1_000_000:
+    if len(_words) > CACHE_WORDS:
         _words.clear()
     h = np.fromiter(map(_words.__getitem__, own), dtype=np.uint64, count=len(own))
     n = max(1, len(h) - words + 1)
@@ -108,17 +109,23 @@ def _sets_and_sketch(docs: DataFrame, join: Join) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, held, waiting = np.zeros(COUNTERS, dtype=np.int64), [], 0
+
+        def count() -> None:
+            nonlocal held, waiting
+            if waiting:
+                np.add(sketch, np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS), out=sketch)
+            held, waiting = [], 0
+
         for batch in batches:
-            sets = [shingles(t, join.words) for t in ragged.texts(batch, "text")]
-            held += sets
-            waiting += sum(map(len, sets))
-            if waiting > COUNTERS:
-                sketch += np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
-                held, waiting = [], 0
-            none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([set_id(s) for s in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_SETS)
-        if waiting:
-            sketch += np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+            for part in ragged.slices(batch, "text"):
+                sets = [shingles(t, join.words) for t in ragged.texts(part, "text")]
+                held += sets
+                waiting += sum(map(len, sets))
+                if waiting > COUNTERS:
+                    count()
+                none = pa.nulls(len(sets))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([set_id(s) for s in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_SETS)
+        count()
         parts = sketch.reshape(-1, PART)
         full = np.flatnonzero(parts.any(axis=1)).tolist()
         if full:
@@ -342,13 +349,15 @@ def classes(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text:
     involved, involved_path = stash.save(sets.join(members, "sid").select("sid", "rep", "n", "comp"), "involved")
     sizes = involved.groupBy("comp").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
     sizes = sizes.select("comp", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-    placed = skew_join(involved, sizes, ["comp"]).select(F.col("rep").alias("doc_id"), "sid", "comp", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"))
-    whole = _elements(use.join(placed, "doc_id").select("doc_id", "sid", "text", "comp", "blocks", "block"), join)
+    placed, placed_path = stash.save(skew_join(involved, sizes, ["comp"]).select(F.col("rep").alias("doc_id"), "sid", "comp", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block")), "placed")
+    maybe = filters.build(placed, "doc_id")
+    whole = _elements(use.where(maybe("doc_id")).join(placed, "doc_id").select("doc_id", "sid", "text", "comp", "blocks", "block"), join)
     partner = F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0))))
     tasks = whole.withColumn("_o", partner).where((F.col("blocks") == 1) | (F.col("_o") != F.col("block")))
     tasks = tasks.select("comp", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "doc_id", "elements")
     roots = components(_verify(tasks, join))
     stash.drop(involved_path)
+    stash.drop(placed_path)
     named = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").where((F.col("copies") > 1) | F.col("root").isNotNull())
     named = named.select("sid", F.coalesce("root", "rep").alias("_component"))
     return skew_join(nodes, named, ["sid"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
