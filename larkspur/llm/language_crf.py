@@ -8,7 +8,7 @@ distribution over languages; a document's language is the one with the largest m
 Training maximises the conditional likelihood by stochastic gradient descent (Adagrad steps). Documents tell one
 language for all their words, so part of the training sequences is spliced from two documents: that is where
 transitions between languages are learned. The sample is bounded: ``sample`` documents of a language outside the held-out
-fold, of at most ``sample_bytes`` each, in the order of a hash of the id. Text and language are all that is learned from;
+fold (``sample_documents`` of all languages), of at most ``sample_bytes`` each, in the order of a hash of the id. Text and language are all that is learned from;
 a prediction sees only the text.
 
 Forward-backward is exact over whole documents: texts are cut into chunks of ``CHUNK`` words, the chunks' transfer matrices are
@@ -40,7 +40,8 @@ CHUNK, CACHE_WORDS, STEP_BYTES = 128, 500_000, 4_000_000
 @dataclass(frozen=True)
 class Settings:
     sample: int = 400
-    sample_bytes: int = 100_000
+    sample_documents: int = 4000
+    sample_bytes: int = 60_000
     most_languages: int = 200
     buckets: int = 1 << 17
     length: int = 64
@@ -261,7 +262,8 @@ def train(docs: DataFrame, settings: Settings = Settings(), lang: str = "lang",
     if not counts:
         return fit([], [], settings)
     # A language's share of the hash range that holds about ``sample`` of its documents: no ranking within a language.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, settings.sample / r["n"]))])
+    most = min(settings.sample, settings.sample_documents / len(counts))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, most / r["n"]))])
     place = F.shiftrightunsigned(sampling.order(F.col(doc_id)), 11) / F.lit(2.0**53)
     chosen = usable.where(place < F.try_element_at(share, F.col(lang)))
     rows = chosen.select(F.col(doc_id).alias("d"), F.col(lang).alias("y"), F.col(text).alias("t")).toPandas().sort_values(["d", "y", "t"])
