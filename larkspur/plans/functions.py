@@ -268,3 +268,8 @@ def conditionals(t: Tables) -> DataFrame:
     v = F.col("value")
     stored = F.when(F.col("event_id") % 4 == 0, "").when(F.col("event_id") % 4 == 1, F.lit(None).cast("string")).otherwise(F.col("event_type"))
     return t.events.select("event_id", F.when(v > 100, "high").when(v > 10, "mid").otherwise("low").alias("band"), text.falsy(stored, F.lit("none")).alias("kind"))
+
+
+@query("st5_prefix_test", "SELECT p_partkey AS sku, starts_with(p_name, 'red') AS red FROM part")
+def prefix(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("sku"), text.starts_with_any(F.col("p_name"), ["red"]).alias("red"))

@@ -162,3 +162,11 @@ def sitemap_union(t: Tables) -> DataFrame:
 @query("so4_prepend", "SELECT c_custkey, c_mktsegment || ',a,b' AS items FROM customer")
 def prepend(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.array_join(F.array_prepend(F.array(F.lit("a"), F.lit("b")), F.col("c_mktsegment")), ",").alias("items"))
+
+
+@query("ag7_bundles_that_cost_more", "SELECT bundle_id FROM (SELECT a.p_partkey AS bundle_id, a.p_retailprice * 0.9 * 3 AS bundle_price, unnest([a.p_partkey, a.p_partkey + 1]) AS k FROM part a WHERE a.p_partkey % 50 = 0) b JOIN part p ON b.k = p.p_partkey GROUP BY bundle_id, bundle_price HAVING bundle_price >= sum(p_retailprice)")
+def costly_bundles(t: Tables) -> DataFrame:
+    """The constraint on bundles: those that don't cost less than their items; here of two items at the price of three less 10 %."""
+    items = t.part.where(F.col("p_partkey") % 50 == 0).select(F.col("p_partkey").alias("bundle_id"), (F.col("p_retailprice") * 0.9 * 3).alias("bundle_price"), F.explode(F.array(F.col("p_partkey"), F.col("p_partkey") + 1)).alias("sku"))
+    found = joins.bundles(t.part.select(F.col("p_partkey").alias("sku"), F.col("p_retailprice").alias("price")), items, "sku")
+    return found.where(F.col("saving") <= 0).select("bundle_id")
