@@ -44,7 +44,7 @@ from larkspur.llm.components import components, skew_join
 from larkspur.llm.workspace import Stash
 
 COUNTERS, PART = 1 << 20, 1 << 12
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 RUN, BLOCK, COMMON, MOST_MATCHES = 64, 250_000, 100_000, 8
 
 
