@@ -15,7 +15,8 @@ Forward-backward is exact over whole documents: texts are cut into chunks of ``C
 multiplied up along each document, and then all chunks of a batch run at once with the messages that arrive at their ends.
 
 A text that is null or has no letter is ``und`` with score 0. Without any labelled document everything is ``und``. Rows are
-independent: repeated rows have repeated results; an empty table gives an empty result. Other columns pass through.
+independent: repeated rows have repeated results; an empty table gives an empty result. Other columns pass through,
+but for one with an output's name, which the output replaces.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm import ragged, sampling
+from larkspur.llm import memory, ragged, sampling
 
 WORD = re.compile(r"[^\W\d_]+")
-CHUNK, CACHE_WORDS, STEP_BYTES = 128, 500_000, 4_000_000
+CHUNK, CACHE_WORDS, STEP_BYTES = 128, 300_000, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -84,10 +85,14 @@ class Model:
         size = np.array([len(r) for r in out], dtype=np.int64)
         return np.fromiter((x for r in out for x in r), dtype=np.int64, count=int(size.sum())), size
 
+    def _forget(self) -> None:
+        self.index, self.emissions = {}, np.zeros((0, len(self.languages)))
+
     def emit(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """exp(emission) of all words, scaled to at most 1, and the words of each text."""
+        memory.claim(self, self._forget)
         if self.emissions is None or len(self.index) > CACHE_WORDS:
-            self.index, self.emissions = {}, np.zeros((0, len(self.languages)))
+            self._forget()
         words, n = [], []
         for t in texts:
             own = words_of(t)
@@ -272,8 +277,7 @@ def train(docs: DataFrame, settings: Settings = Settings(), lang: str = "lang",
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add lang_pred and score."""
-    if clash := {"lang_pred", "score"} & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)])
 

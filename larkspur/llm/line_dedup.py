@@ -10,7 +10,7 @@ the join, which lets adaptive execution split a hot line's partition. Texts move
 
 Rows with equal ids are one document, though each keeps its own text. A null id names no document: such rows
 count for no key and lose no line. A null or empty text is one empty line and stays null or empty. Columns
-beyond id and text pass through; an output name that the input has already is an error.
+beyond id and text pass through, but for one with an output's name, which the output replaces.
 """
 
 from __future__ import annotations
@@ -34,42 +34,41 @@ def line_key(line: Column) -> Column:
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_d"), F.xxhash64(body).alias("_t"), F.posexplode(F.split(body, "\n")).alias("_p", "_line"))
-    return rows.select("_d", "_t", "_p", line_key(F.col("_line")).alias("_k"))
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__line_d"), F.xxhash64(body).alias("__line_t"), F.posexplode(F.split(body, "\n")).alias("__line_p", "__line_line"))
+    return rows.select("__line_d", "__line_t", "__line_p", line_key(F.col("__line_line")).alias("__line_k"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 10, min_docs: int = 2, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """``docs`` with the kept text, and the columns n_lines (before) and n_dropped."""
-    if clash := {"n_lines", "n_dropped"} & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
-    lines = _lines(docs, doc_id, text).where(F.length("_k") >= min_chars).select("_d", "_t", "_p", F.xxhash64("_k").alias("_a"), F.xxhash64(F.lit(min_chars), F.lit("line"), "_k").alias("_b"))
+    docs = docs.drop(n_lines, n_dropped)
+    lines = _lines(docs, doc_id, text).where(F.length("__line_k") >= min_chars).select("__line_d", "__line_t", "__line_p", F.xxhash64("__line_k").alias("__line_a"), F.xxhash64(F.lit(min_chars), F.lit("line"), "__line_k").alias("__line_b"))
     if min_docs <= 2:  # two documents at least: the smallest and the largest id differ
-        common = lines.groupBy("_a", "_b").agg(F.min("_d").alias("_first"), F.max("_d").alias("_last"))
-        common = common.where(F.lit(min_docs <= 1) | (F.col("_first") != F.col("_last")))
+        common = lines.groupBy("__line_a", "__line_b").agg(F.min("__line_d").alias("__line_first"), F.max("__line_d").alias("__line_last"))
+        common = common.where(F.lit(min_docs <= 1) | (F.col("__line_first") != F.col("__line_last")))
     else:
-        common = lines.groupBy("_a", "_b", "_d").agg(F.count(F.lit(1)).alias("_c")).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_d").alias("_first")).where(F.col("_n") >= min_docs)
+        common = lines.groupBy("__line_a", "__line_b", "__line_d").agg(F.count(F.lit(1)).alias("__line_c")).groupBy("__line_a", "__line_b").agg(F.count(F.lit(1)).alias("__line_n"), F.min("__line_d").alias("__line_first")).where(F.col("__line_n") >= min_docs)
     # The third key is there so that neither side's partitioning fits already and both are exchanged.
-    meet = F.xxhash64("_a", "_b")
+    meet = F.xxhash64("__line_a", "__line_b")
     drops = (
-        lines.withColumn("_m", meet)
-        .join(common.select("_a", "_b", "_first", meet.alias("_m")), ["_m", "_a", "_b"])
-        .where(F.col("_d") != F.col("_first"))
-        .groupBy("_d", "_t")
-        .agg(F.collect_set("_p").alias("_drop"))
+        lines.withColumn("__line_m", meet)
+        .join(common.select("__line_a", "__line_b", "__line_first", meet.alias("__line_m")), ["__line_m", "__line_a", "__line_b"])
+        .where(F.col("__line_d") != F.col("__line_first"))
+        .groupBy("__line_d", "__line_t")
+        .agg(F.collect_set("__line_p").alias("__line_drop"))
     )
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("_t", F.xxhash64(body))
-    joined = keyed.join(drops, (F.col(doc_id) == F.col("_d")) & (keyed["_t"] == drops["_t"]), "left").drop(drops["_t"])
+    keyed = docs.withColumn("__line_t", F.xxhash64(body))
+    joined = keyed.join(drops, (F.col(doc_id) == F.col("__line_d")) & (keyed["__line_t"] == drops["__line_t"]), "left").drop(drops["__line_t"])
     cut = F.split(body, "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("_drop")), lambda i: F.get(cut, i))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("__line_drop")), lambda i: F.get(cut, i))
     out = joined.withColumns(
         {
-            "n_lines": F.size(cut).cast("long"),
-            "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
-            "_kept": F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
+            n_lines: F.size(cut).cast("long"),
+            n_dropped: F.coalesce(F.size("__line_drop"), F.lit(0)).cast("long"),
+            "__line_kept": F.when(F.col("__line_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
         }
     )
-    return out.select(*[F.col("_kept").alias(c) if c == text else F.col(c) for c in docs.columns], "n_lines", "n_dropped")
+    return out.select(*[F.col("__line_kept").alias(c) if c == text else F.col(c) for c in docs.columns], n_lines, n_dropped)
 
 
 #: DuckDB SQL for the query op2.

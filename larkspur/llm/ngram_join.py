@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm import filters, ragged
+from larkspur.llm import filters, memory, ragged
 from larkspur.llm.components import components, skew_join
 from larkspur.llm.workspace import Stash
 
@@ -87,6 +87,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     own = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not own:
         return np.zeros(0, dtype=np.uint64)
+    memory.claim(_words, _words.clear)
     if len(_words) > CACHE_WORDS:
         _words.clear()
     h = np.fromiter(map(_words.__getitem__, own), dtype=np.uint64, count=len(own))

@@ -11,7 +11,8 @@ texts. As softmax over a mean is linear in the words, a word's share in the scor
 
 Null and empty texts have no words and score by the bias alone. A document whose label is null isn't learned from; of several
 labels for one document each counts as a row. Null ids are scored but not learned from. Without labels every score is 0.5.
-Rows are independent: repeated rows have repeated scores; an empty table gives an empty result. Other columns pass through.
+Rows are independent: repeated rows have repeated scores; an empty table gives an empty result. Other columns pass through,
+but for one with an output's name, which the output replaces.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm import ragged, sampling
+from larkspur.llm import memory, ragged, sampling
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -92,6 +93,9 @@ class Model:
     words: Words | None = field(default=None, repr=False)
     shares: np.ndarray | None = field(default=None, repr=False)
 
+    def _forget(self) -> None:
+        self.words, self.shares = Words(self.settings), np.zeros(0)
+
     def _learn(self, new: list[str]) -> None:
         rows = [subwords(w, self.settings.buckets) for w in new]
         size = np.array([len(r) for r in rows], dtype=np.int64)
@@ -101,8 +105,9 @@ class Model:
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Probability of class 1 for each whole text."""
+        memory.claim(self, self._forget)
         if self.words is None or len(self.words.index) > CACHE_WORDS:
-            self.words, self.shares = Words(self.settings), np.zeros(0)
+            self._forget()
         types, n, new = self.words.flatten(texts)
         if new:
             self._learn(new)
@@ -176,18 +181,17 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
     return fit(rows["_t"].tolist(), rows["_y"].to_numpy(), settings)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
     """Add ``score``, the probability of class 1, and ``predicted``."""
-    if clash := {"score", "predicted"} & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    docs = docs.drop(score, predicted)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType(), False), T.StructField(predicted, T.IntegerType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             for part in ragged.slices(batch, text):
                 p = own.score(ragged.texts(part, text))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*part.schema.names, score, predicted])
 
     return docs.mapInArrow(run, schema)

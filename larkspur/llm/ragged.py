@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters of text that one step of an Arrow operator works on at a time.
-STEP_BYTES = 8_000_000
+STEP_BYTES = 2_000_000
 
 
 def take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -38,6 +38,7 @@ def slices(batch: pa.RecordBatch, column: str, step: int = STEP_BYTES) -> Iterat
         if end > row:
             yield batch.slice(row, end - row)
         row = end
+    pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:

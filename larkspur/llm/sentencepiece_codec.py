@@ -10,7 +10,7 @@ makes a new pair that is as good as the one at work; a word's round ends with su
 
 Null texts count as empty. An empty text has the end id only, and decodes to an empty text. Ties between pairs of equal score go
 to the left one. Rows are independent: repeated rows give repeated results, an empty table an empty one, and
-columns beyond the text pass through untouched (an output name that the input has already is an error).
+columns beyond the text pass through untouched, but for one with an output's name, which the output replaces.
 """
 
 from __future__ import annotations
@@ -26,14 +26,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from larkspur.llm import ragged
+from larkspur.llm import memory, ragged
 
 SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NONE = np.int32(2**31 - 1)
 #: Words that a Python worker remembers; beyond that it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -194,8 +194,9 @@ class PieceModel:
         keep[at + 1] = False
         place = np.cumsum(keep) - 1
         symbol, word, rank = symbol[keep], word[keep], rank[keep]
-        renewed = place[at]
-        renewed = np.unique(np.concatenate([renewed, renewed[renewed > 0] - 1]))
+        touched = np.zeros(len(symbol) + 1, dtype=bool)
+        touched[place[at]] = touched[place[at] - 1] = True  # the pair made and the one before it; -1 is the spare place
+        renewed = np.flatnonzero(touched[:-1])
         rank[renewed] = NONE
         renewed = renewed[renewed + 1 < len(symbol)]
         renewed = renewed[word[renewed] == word[renewed + 1]]
@@ -303,6 +304,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, each text's closed by the end id, and the number of ids of each text."""
+        memory.claim(self, self._clear)
         if len(self.seen) > self.cache_words:
             self._clear()
         seen, before, words, count = self.seen, len(self.seen), [], []
@@ -368,8 +370,7 @@ def encode_decode(df: DataFrame, model_path: str, text: str = "text", ids: str =
     ``model_path`` is a file that every executor has (part of an installed package), or the name of a file
     given to ``SparkContext.addFile``.
     """
-    if clash := {ids, decoded} & set(df.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    df = df.drop(ids, decoded)
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

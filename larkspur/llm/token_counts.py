@@ -8,7 +8,7 @@ any piece; the steps over a batch's new words are taken in all words at once.
 The pieces come from a SentencePiece vocabulary: with the word mark a piece begins a word, without it it
 continues one. A word that can't be cut into pieces is one unknown token, as in word-piece tokenizers. Words
 are separated by ASCII white space. Null and empty texts have no words. Rows are independent: repeated rows
-give repeated results; other columns pass through; an output name that the input has already is an error.
+give repeated results; other columns pass through, but for one with an output's name, which the output replaces.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from larkspur.llm import ragged
+from larkspur.llm import memory, ragged
 from larkspur.llm.sentencepiece_codec import NORMAL, SPACE, PieceModel
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 START, CONTINUE, FAILED = 0, 1, -1
 
 
@@ -122,13 +122,17 @@ class Counter:
 
     def __init__(self, automaton: Automaton, cache_words: int = CACHE_WORDS):
         self.automaton, self.cache_words = automaton, cache_words
+        self._clear()
+
+    def _clear(self) -> None:
         self.seen: dict[str, int] = {}
         self.counts = np.zeros(0, dtype=np.int64)
 
     def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words, tokens and unknown words of each text."""
+        memory.claim(self, self._clear)
         if len(self.seen) > self.cache_words:
-            self.seen, self.counts = {}, np.zeros(0, dtype=np.int64)
+            self._clear()
         before, words, n = len(self.seen), [], []
         for text in texts:
             own = WORD.findall(text)
@@ -155,8 +159,7 @@ def counter(path: str) -> Counter:
 def count_tokens(df: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
     """Add n_words, n_tokens and n_unknown of each whole text."""
     added = ["n_words", "n_tokens", "n_unknown"]
-    if clash := set(added) & set(df.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    df = df.drop(*added)
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.LongType(), False) for c in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
