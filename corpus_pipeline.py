@@ -17,14 +17,15 @@ from larkspur.llm.workspace import Stash, table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model).where(F.col("predicted") == 1).select(docs.columns)
+    scored = quality_classifier.score(docs, model, score="__score", predicted="__predicted")
+    return scored.where(F.col("__predicted") == 1).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; so does a document of which only white space is left by that."""
-    kept = line_dedup.dedup_lines(docs, min_chars=10, min_docs=2)
-    emptied = (F.col("n_dropped") > 0) & (F.length(F.btrim("text", F.lit(line_dedup.ASCII_SPACE))) == 0)
-    return kept.where(~emptied).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    kept = line_dedup.dedup_lines(docs, min_chars=10, min_docs=2, n_lines="__lines", n_dropped="__dropped")
+    emptied = (F.col("__dropped") > 0) & (F.length(F.btrim("text", F.lit(line_dedup.ASCII_SPACE))) == 0)
+    return kept.where(~emptied).withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
