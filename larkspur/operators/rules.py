@@ -1,6 +1,6 @@
 """Collection rules: a small typed tree that compiles to one column expression.
 
-Rules are plain columns, so they push down to the scan and any number of them is evaluated in a single pass. A rule
+Conditions are plain comparisons, so they push down to the scan, and any number of rules is evaluated in a single pass. A rule
 that meets a null attribute doesn't hold (it fails closed), also under negation.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from decimal import Decimal
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +18,11 @@ from pyspark.sql import functions as F
 
 class Rule:
     def column(self) -> Column:
-        """True or false, never null."""
-        return F.coalesce(self._column(), F.lit(False))
+        """True or false, never null: for flags."""
+        return F.coalesce(self.condition(), F.lit(False))
 
-    def _column(self) -> Column:
+    def condition(self) -> Column:
+        """For filters, where null fails like false; nothing wraps the comparisons, so the scan can take them over."""
         raise NotImplementedError
 
     def attributes(self) -> frozenset[str]:
@@ -33,7 +36,7 @@ class In(Rule):
     attribute: str
     values: tuple
 
-    def _column(self) -> Column:
+    def condition(self) -> Column:
         return F.col(self.attribute).isin(*self.values)
 
     def attributes(self) -> frozenset[str]:
@@ -47,7 +50,7 @@ class NotIn(Rule):
     attribute: str
     values: tuple
 
-    def _column(self) -> Column:
+    def condition(self) -> Column:
         return ~F.col(self.attribute).isin(*self.values)
 
     def attributes(self) -> frozenset[str]:
@@ -64,13 +67,14 @@ class Bound(Rule):
     low_included: bool = True
     high_included: bool = False
 
-    def _column(self) -> Column:
-        c, out = F.col(self.attribute), F.lit(True)
+    def condition(self) -> Column:
+        c = F.col(self.attribute)
+        out = [c.isNotNull()]
         if self.low is not None:
-            out = out & (c >= self.low if self.low_included else c > self.low)
+            out.append(c >= self.low if self.low_included else c > self.low)
         if self.high is not None:
-            out = out & (c <= self.high if self.high_included else c < self.high)
-        return out & c.isNotNull()
+            out.append(c <= self.high if self.high_included else c < self.high)
+        return reduce(and_, out)
 
     def attributes(self) -> frozenset[str]:
         return frozenset([self.attribute])
@@ -82,11 +86,8 @@ class All(Rule):
 
     parts: tuple[Rule, ...] = ()
 
-    def _column(self) -> Column:
-        out = F.lit(True)
-        for p in self.parts:
-            out = out & p.column()
-        return out
+    def condition(self) -> Column:
+        return reduce(and_, [p.condition() for p in self.parts]) if self.parts else F.lit(True)
 
     def attributes(self) -> frozenset[str]:
         return frozenset().union(*[p.attributes() for p in self.parts])
@@ -96,11 +97,8 @@ class All(Rule):
 class Any(Rule):
     parts: tuple[Rule, ...]
 
-    def _column(self) -> Column:
-        out = F.lit(False)
-        for p in self.parts:
-            out = out | p.column()
-        return out
+    def condition(self) -> Column:
+        return reduce(or_, [p.condition() for p in self.parts]) if self.parts else F.lit(False)
 
     def attributes(self) -> frozenset[str]:
         return frozenset().union(*[p.attributes() for p in self.parts])
@@ -112,7 +110,7 @@ class Curated(Rule):
 
     slug: str = ""
 
-    def _column(self) -> Column:
+    def condition(self) -> Column:
         return F.lit(False)
 
     def attributes(self) -> frozenset[str]:
@@ -150,6 +148,6 @@ def parse(cell: str, slug: str = "") -> Rule:
 
 def membership(products: DataFrame, rules: dict[str, Rule], key: str, curated: DataFrame | None = None, slug: str = "slug") -> DataFrame:
     """JN6: (slug, key) of every product in every collection, in one scan whatever the number of rules."""
-    found = F.array_compact(F.array(*[F.when(rule.column(), F.lit(name)) for name, rule in rules.items() if not isinstance(rule, Curated)]))
+    found = F.array_compact(F.array(*[F.when(rule.condition(), F.lit(name)) for name, rule in rules.items() if not isinstance(rule, Curated)]))
     out = products.select(F.explode(found).alias(slug), F.col(key))
     return out if curated is None else out.unionByName(curated.select(slug, key)).distinct()

@@ -80,7 +80,7 @@ def with_products(t: Tables) -> DataFrame:
 def _facet(name: str, rule: rules.Rule, where: str) -> None:
     @query(name, f"SELECT sku, price::DOUBLE AS price FROM {PRODUCT_SQL} WHERE {where}")
     def facet(t: Tables, rule: rules.Rule = rule) -> DataFrame:
-        return products(t).where(rule.column()).select("sku", F.col("price").cast("double").alias("price"))
+        return products(t).where(rule.condition()).select("sku", F.col("price").cast("double").alias("price"))
 
 
 _facet("fl3_equality", rules.parse("opening = PROMO"), "opening = 'PROMO'")
@@ -124,7 +124,7 @@ def compliance(t: Tables) -> DataFrame:
     """Products linked from a state that doesn't ship them. Links: a product to the state of its key modulo 7."""
     linked = t.part.join(F.broadcast(t.nation.where("n_nationkey < 7")), F.col("p_partkey") % 7 == F.col("n_nationkey"))
     banned = rules.All((rules.In("p_type", ("PROMO",)), rules.Bound("n_nationkey", high=Decimal(3))))
-    return linked.where(banned.column()).select(F.col("n_name").alias("state"), F.col("p_partkey").alias("sku"))
+    return linked.where(banned.condition()).select(F.col("n_name").alias("state"), F.col("p_partkey").alias("sku"))
 
 
 @query("fl23_indexable_only", "SELECT p_brand AS slug FROM part GROUP BY p_brand HAVING count(*) > 75")

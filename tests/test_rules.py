@@ -22,7 +22,7 @@ def products(spark):
 
 
 def held(products, rule):
-    return "".join(sorted(r["sku"] for r in products.where(rule.column()).collect()))
+    return "".join(sorted(r["sku"] for r in products.where(rule.condition()).collect()))
 
 
 @pytest.mark.parametrize(
@@ -52,6 +52,14 @@ def test_other_cells_are_refused(cell):
         rules.parse(cell)
 
 
+def test_flags_agree_with_filters(products):
+    for cell in ("blade_type = folding", "edge_count = single AND blade_shape NOT dagger", "blade_length <= 12"):
+        rule = rules.parse(cell)
+        assert held(products, rule) == "".join(sorted(r["sku"] for r in products.where(rule.column()).collect()))
+    either = rules.Any((rules.parse("blade_shape NOT dagger"), rules.parse("opening = automatic")))
+    assert held(products, either) == "acd"
+
+
 def test_missing_attribute_fails_closed_also_in_a_flag(products):
     flags = products.select("sku", rules.parse("blade_shape NOT dagger").column().alias("f")).collect()
     assert {r["sku"]: r["f"] for r in flags} == {"a": True, "b": False, "c": True, "d": False, "e": False}
@@ -71,7 +79,7 @@ def test_rule_attributes():
 
 
 def test_rules_reach_the_scan(spark, sf_dir):
-    plan = spark.read.parquet(f"{sf_dir}/part.parquet").where(rules.In("p_type", ("PROMO",))._column()).select("p_partkey")._jdf.queryExecution().executedPlan().toString()
+    plan = spark.read.parquet(f"{sf_dir}/part.parquet").where(rules.In("p_type", ("PROMO",)).condition()).select("p_partkey")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(p_type,PROMO)" in plan.replace(" ", "") and "p_name" not in plan
 
 
