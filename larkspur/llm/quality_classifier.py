@@ -17,6 +17,7 @@ but for one with an output's name, which the output replaces.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -74,6 +75,16 @@ class Words:
         return np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words)), np.array(n, dtype=np.int64), new
 
 
+def subword_rows(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The subwords of many words as ragged rows: flat, and their numbers."""
+    flat, size = array("q"), array("q")
+    for w in words:
+        own = subwords(w, buckets)
+        flat.extend(own)
+        size.append(len(own))
+    return np.frombuffer(flat, dtype=np.int64) if flat else np.zeros(0, dtype=np.int64), np.array(size, dtype=np.int64)
+
+
 def back_references(types: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
     """For each word how many words before the same word came, up to ``most``; 0 for none. Words in the order of the texts."""
     doc = np.repeat(np.arange(len(n)), n)
@@ -97,11 +108,9 @@ class Model:
         self.words, self.shares = Words(self.settings), np.zeros(0)
 
     def _learn(self, new: list[str]) -> None:
-        rows = [subwords(w, self.settings.buckets) for w in new]
-        size = np.array([len(r) for r in rows], dtype=np.int64)
+        flat, size = subword_rows(new, self.settings.buckets)
         per_bucket = self.vectors @ self.weights
-        flat = per_bucket[np.fromiter((x for r in rows for x in r), dtype=np.int64, count=int(size.sum()))]
-        self.shares = np.concatenate([self.shares, np.add.reduceat(flat, ragged.offsets(size)[:-1]) / size])
+        self.shares = np.concatenate([self.shares, np.add.reduceat(per_bucket[flat], ragged.offsets(size)[:-1]) / size])
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Probability of class 1 for each whole text."""
@@ -131,10 +140,10 @@ def fit(texts: list[str], labels: np.ndarray, settings: Settings = Settings()) -
         model.bias = 0.0 if not len(labels) else float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)))
         return model
     words = Words(settings)
-    types, n, new = words.flatten(texts)
-    rows = [subwords(w, settings.buckets) for w in new]
-    size = np.array([len(r) for r in rows], dtype=np.int64)
-    flat, at = np.array([x for r in rows for x in r], dtype=np.int64), ragged.offsets(size)[:-1]
+    parts = [words.flatten(texts[a : a + 100])[:2] for a in range(0, len(texts), 100)]  # few words in memory at a time
+    types, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    flat, size = subword_rows(list(words.index), settings.buckets)
+    at = ragged.offsets(size)[:-1]
     back = back_references(types, n, settings.back)
     start = ragged.offsets(n)
     seen_v, seen_w, seen_b = np.full(len(vectors), 1e-6), np.full(settings.width, 1e-6), 1e-6
