@@ -110,9 +110,7 @@ class PieceModel:
                 a, b = symbol.get(text[:cut]), symbol.get(text[cut:])
                 if a is not None and b is not None:
                     pairs[a * self.n_symbols + b] = (by_score[self.pieces[i][1]], i)
-        keys = np.array(sorted(pairs), dtype=np.int64)
-        found = np.array([pairs[k] for k in keys.tolist()], dtype=np.int32).reshape(-1, 2)
-        self.keys, self.ranks, self.merged = np.append(keys, np.int64(2**62)), np.append(found[:, 0], NONE), np.append(found[:, 1], np.int32(-1))
+        self._hash(np.array(list(pairs), dtype=np.int64), np.array(list(pairs.values()), dtype=np.int32).reshape(-1, 2))
         inside = {c for text in normal for c in text[1:]}
         after_other = any(text[k] == SPACE != text[k - 1] for text in normal for k in range(1, len(text)))
         in_pieces = inside | {text[0] for text in normal if len(text) > 1}
@@ -131,12 +129,34 @@ class PieceModel:
         self.spelled_len = np.array([len(x) for x in spelled], dtype=np.int64)
         self.spelled_at = ragged.offsets(self.spelled_len)[:-1]
 
+    def _hash(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """An open-addressing table of pairs, a quarter full at most."""
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.values = np.zeros((2, 1 << self.bits), dtype=np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.slots[slot] == -1
+            self.slots[slot[free]] = keys[left[free]]  # of several for one slot the last stays
+            placed = self.slots[slot] == keys[left]
+            self.values[:, slot[placed]] = values[left[placed]].T
+            left, slot = left[~placed], (slot[~placed] + 1) & (1 << self.bits) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair (NONE if no piece) and the symbol that it makes."""
-        key = np.where((left < 0) | (right < 0), np.int64(2**62), left.astype(np.int64) * self.n_symbols + right)
-        at = np.searchsorted(self.keys, key)
-        hit = self.keys[at] == key
-        return np.where(hit, self.ranks[at], NONE), np.where(hit, self.merged[at], -1).astype(np.int32)
+        key = np.where((left < 0) | (right < 0), np.int64(-2), left.astype(np.int64) * self.n_symbols + right)
+        slot = self._slot(key)
+        found = self.slots[slot]
+        other = np.flatnonzero((found != key) & (found != -1))
+        while len(other):
+            slot[other] = (slot[other] + 1) & (1 << self.bits) - 1
+            found[other] = self.slots[slot[other]]
+            other = other[(found[other] != key[other]) & (found[other] != -1)]
+        hit = found == key
+        return np.where(hit, self.values[0, slot], NONE), np.where(hit, self.values[1, slot], np.int32(-1))
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, flat, and the number of ids of each word."""
