@@ -22,6 +22,7 @@ but for one with an output's name, which the output replaces.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -81,9 +82,12 @@ class Model:
 
     def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Features of words as ragged rows: flat, and their numbers."""
-        out = [features(w, self.settings.buckets) + ([self.settings.buckets + self.lexicon[w]] if w in self.lexicon else []) for w in words]
-        size = np.array([len(r) for r in out], dtype=np.int64)
-        return np.fromiter((x for r in out for x in r), dtype=np.int64, count=int(size.sum())), size
+        flat, size = array("q"), array("q")
+        for w in words:
+            own = features(w, self.settings.buckets) + ([self.settings.buckets + self.lexicon[w]] if w in self.lexicon else [])
+            flat.extend(own)
+            size.append(len(own))
+        return np.frombuffer(flat, dtype=np.int64) if flat else np.zeros(0, dtype=np.int64), np.array(size, dtype=np.int64)
 
     def _forget(self) -> None:
         self.index, self.emissions = {}, np.zeros((0, len(self.languages)))
