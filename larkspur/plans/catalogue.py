@@ -143,19 +143,32 @@ def literal(t: Tables) -> DataFrame:
 
 @query("sc2_csv_scan", "SELECT p_brand AS slug, p_name || ', ' || p_type AS title, CASE WHEN p_size > 25 THEN 'opening' END AS attributes_needed, p_size::BIGINT AS build_priority FROM part WHERE p_partkey < 500")
 def csv_scan(t: Tables) -> DataFrame:
+    """The whole table goes through the file; the SQL's range of keys is taken from what the scan reads."""
+    own = written_collections(t).where(F.col("notes").cast("long") < 500)
+    return own.select("slug", "title", "attributes_needed", F.col("build_priority").cast("long").alias("build_priority"))
+
+
+def written_collections(t: Tables) -> DataFrame:
+    """Every product written and scanned as a collection, its key in ``notes``."""
     path = scratch(t.spark, "state_collections")
-    own = t.part.where("p_partkey < 500").select(
+    own = t.part.select(
         F.col("p_brand").alias("slug"), F.concat("p_name", F.lit(", "), "p_type").alias("title"), F.lit("core").alias("group"), F.lit("Curated").alias("filter_rule"),
-        F.when(F.col("p_size") > 25, "opening").otherwise("none").alias("attributes_needed"), F.col("p_size").alias("build_priority"), F.lit("").alias("notes"),
+        F.when(F.col("p_size") > 25, "opening").otherwise("none").alias("attributes_needed"), F.col("p_size").alias("build_priority"), F.col("p_partkey").cast("string").alias("notes"),
     )
     own.write.options(header=True, emptyValue="").csv(path)
-    return tables.state_collections(t.spark, path).select("slug", "title", "attributes_needed", F.col("build_priority").cast("long").alias("build_priority"))
+    return tables.state_collections(t.spark, path)
 
 
 @query("sc3_csv_flags", "SELECT p_partkey::VARCHAR AS slug, p_size > 10 AS indexable FROM part WHERE p_partkey < 300")
 def csv_flags(t: Tables) -> DataFrame:
+    """The whole table goes through the file; the SQL's range of keys is taken from what the scan reads."""
+    return written_flags(t).where(F.col("slug").cast("long") < 300)
+
+
+def written_flags(t: Tables) -> DataFrame:
+    """The flag of every product, written and scanned."""
     path = scratch(t.spark, "product_collections")
-    t.part.where("p_partkey < 300").select(
+    t.part.select(
         F.col("p_partkey").cast("string").alias("slug"), F.col("p_name").alias("title"), F.lit("brand_hub").alias("group"), F.lit("/brand/").alias("url_pattern"),
         F.lit("BRAND field").alias("driven_by"), F.when(F.col("p_size") > 10, "YES").otherwise("NO").alias("indexable"), F.lit(1).alias("priority"), F.lit("").alias("notes"),
     ).write.option("header", True).csv(path)
@@ -181,8 +194,14 @@ def attribute_default(t: Tables) -> DataFrame:
 
 @query("sc7_search_export", "SELECT p_partkey::VARCHAR AS url, p_retailprice / 50 AS position, (p_size * 10)::BIGINT AS impressions, p_size::BIGINT AS clicks FROM part WHERE p_partkey < 200")
 def search_export(t: Tables) -> DataFrame:
+    """The whole table goes through the file; the SQL's range of keys is taken from what the scan reads."""
+    return written_search(t).where(F.col("url").cast("long") < 200)
+
+
+def written_search(t: Tables) -> DataFrame:
+    """Figures of every product's page, written and scanned."""
     path = scratch(t.spark, "search")
-    t.part.where("p_partkey < 200").select(F.col("p_partkey").alias("url"), (F.col("p_retailprice") / 50).alias("position"), (F.col("p_size") * 10).alias("impressions"), F.col("p_size").alias("clicks")).write.option("header", True).csv(path)
+    t.part.select(F.col("p_partkey").alias("url"), (F.col("p_retailprice") / 50).alias("position"), (F.col("p_size") * 10).alias("impressions"), F.col("p_size").alias("clicks")).write.option("header", True).csv(path)
     return tables.search_performance(t.spark, path)
 
 
