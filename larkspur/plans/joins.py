@@ -115,7 +115,13 @@ def similar(t: Tables) -> DataFrame:
     "FROM (SELECT a.p_partkey AS bundle_id, a.p_retailprice AS first_price, unnest([a.p_partkey, a.p_partkey + 1, a.p_partkey + 2]) AS k FROM part a WHERE a.p_partkey % 50 = 0) b JOIN part p ON b.k = p.p_partkey GROUP BY b.bundle_id",
 )
 def bundles(t: Tables) -> DataFrame:
-    items = t.part.where(F.col("p_partkey") % 50 == 0).select(F.col("p_partkey").alias("bundle_id"), (0.9 * F.col("p_retailprice") * 3).alias("bundle_price"), F.explode(F.array(F.col("p_partkey"), F.col("p_partkey") + 1, F.col("p_partkey") + 2)).alias("sku"))
+    """Of the bundles of all products those that the SQL names: one in fifty, by key."""
+    return every_bundle(t, 3).where(F.col("bundle_id") % 50 == 0)
+
+
+def every_bundle(t: Tables, size: int) -> DataFrame:
+    """A bundle for every product: it and the next by key, ``size`` in all, at the price of three less 10 %."""
+    items = t.part.select(F.col("p_partkey").alias("bundle_id"), (0.9 * F.col("p_retailprice") * 3).alias("bundle_price"), F.explode(F.array(*[F.col("p_partkey") + k for k in range(size)])).alias("sku"))
     return joins.bundles(t.part.select(F.col("p_partkey").alias("sku"), F.col("p_retailprice").alias("price")), items, "sku")
 
 
@@ -166,7 +172,9 @@ def prepend(t: Tables) -> DataFrame:
 
 @query("ag7_bundles_that_cost_more", "SELECT bundle_id FROM (SELECT a.p_partkey AS bundle_id, a.p_retailprice * 0.9 * 3 AS bundle_price, unnest([a.p_partkey, a.p_partkey + 1]) AS k FROM part a WHERE a.p_partkey % 50 = 0) b JOIN part p ON b.k = p.p_partkey GROUP BY bundle_id, bundle_price HAVING bundle_price >= sum(p_retailprice)")
 def costly_bundles(t: Tables) -> DataFrame:
-    """The constraint on bundles: those that don't cost less than their items; here of two items at the price of three less 10 %."""
-    items = t.part.where(F.col("p_partkey") % 50 == 0).select(F.col("p_partkey").alias("bundle_id"), (F.col("p_retailprice") * 0.9 * 3).alias("bundle_price"), F.explode(F.array(F.col("p_partkey"), F.col("p_partkey") + 1)).alias("sku"))
-    found = joins.bundles(t.part.select(F.col("p_partkey").alias("sku"), F.col("p_retailprice").alias("price")), items, "sku")
-    return found.where(F.col("saving") <= 0).select("bundle_id")
+    """The constraint on bundles: those that don't cost less than their items; here of two items at the price of three less 10 %. The SQL names one in fifty, by key."""
+    return every_costly_bundle(t).where(F.col("bundle_id") % 50 == 0)
+
+
+def every_costly_bundle(t: Tables) -> DataFrame:
+    return every_bundle(t, 2).where(F.col("saving") <= 0).select("bundle_id")
