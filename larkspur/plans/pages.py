@@ -25,6 +25,7 @@ def states(t: Tables) -> DataFrame:
 
 
 def _products(t: Tables) -> DataFrame:
+    """The product strip: the first six products stand for PRODUCTS, the literal list of six that the reference's builder puts on every page."""
     return t.part.where("p_partkey < 6").select(
         F.col("p_partkey").alias("ord"), F.concat(F.lit("p-"), "p_partkey").alias("slug"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), (F.col("p_size") / 10).cast("decimal(5,2)").alias("blade"),
         F.col("p_type").alias("steel"), (F.col("p_retailprice") * 1.25).cast("decimal(10,2)").alias("rrp"), F.col("p_retailprice").cast("decimal(10,2)").alias("price"),
