@@ -4,7 +4,8 @@ Vectors are normalised in double precision. Each of ``tables`` hash tables has `
 shifted at random and cut into cells of ``WIDTH``; vectors in the same cells share a bucket. For unit vectors the
 distance follows from the cosine, and with it the chance of sharing a bucket. The number of projections grows
 with the logarithm of the number of vectors, so that unrelated vectors share about one bucket a table however
-many there are; the number of tables then follows from the recall wanted at the threshold itself.
+many there are; the number of tables then follows from the recall wanted at the threshold itself. Where that would be
+over ``MOST_TABLES``, tables get fewer projections until it isn't: buckets are fuller, and the recall is kept.
 
 1. Equal vectors are one node, keyed by a 64-bit hash; a map task emits it once, so copies never meet in pairs.
 2. Bucket rows carry the vector in 8 bits. In a bucket's run, cosines within the error bound of the threshold
@@ -44,8 +45,11 @@ def _same_cell(distance: float) -> float:
 def plan(n: int, threshold: float, recall: float) -> tuple[int, int]:
     """Projections a table and number of tables for n vectors."""
     projections = max(4, math.ceil(math.log(max(n, 2)) / -math.log(_same_cell(math.sqrt(2)))))
-    found = _same_cell(math.sqrt(2 - 2 * threshold)) ** projections
-    return projections, min(MOST_TABLES, math.ceil(math.log(1 - recall) / math.log1p(-found)))
+    same = _same_cell(math.sqrt(2 - 2 * threshold))
+    needed = lambda k: math.ceil(math.log(1 - recall) / math.log1p(-(same**k)))
+    while projections > 1 and needed(projections) > MOST_TABLES:
+        projections -= 1
+    return projections, needed(projections)
 
 
 def unit_vectors(column: pa.Array) -> tuple[np.ndarray, list[int], list[np.ndarray]]:
