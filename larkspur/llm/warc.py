@@ -2,8 +2,8 @@
 
 Reading plans one partition for each archive file. Filters on record type, record id, target, digest and the
 record referred to are pushed into the reader, which parses a record's headers first. A record that the
-filters reject, or of which no payload is wanted (option ``payload=false``), is not decoded any further: it is
-skipped by its length in a plain file; in a gzip file the member's length, which this writer states in the
+filters reject is not decoded any further, one of which no payload is wanted (option ``payload=false``) only to
+the end of its HTTP headers: it is skipped by its length in a plain file; in a gzip file the member's length, which this writer states in the
 member's extra field, tells where the next begins (members of other writers without it are read through).
 
 Writing makes gzip members of one record each and starts a new file at ``max_file_bytes``. Files that a
@@ -206,7 +206,7 @@ def _gzip_records(stream: pa.NativeFile, path: str, wanted: Wanted) -> Iterator[
         first, fields = _headers(block)
         if not first.startswith("WARC/"):
             raise ValueError(f"{path}: no record at {at}")
-        keep = wanted.accepts(fields)
+        keep, n = wanted.accepts(fields), int(fields.get("content-length", 0))
         if length is None or (keep and wanted.payload):
             parts, read = [rest], stream.tell()
             while not unpack.eof:
@@ -217,8 +217,13 @@ def _gzip_records(stream: pa.NativeFile, path: str, wanted: Wanted) -> Iterator[
                 parts.append(unpack.decompress(more))
             length = length or read - len(unpack.unused_data) - at
             rest = b"".join(parts)
+        elif keep:
+            while len(rest) < n and b"HTTP/".startswith(rest[:5]) and b"\r\n\r\n" not in rest and not unpack.eof:
+                more = stream.read(HEAD_BYTES)
+                if not more:
+                    raise ValueError(f"{path}: a member ends early at {at}")
+                rest += unpack.decompress(more)
         if keep:
-            n = int(fields.get("content-length", 0))
             yield _row(fields, rest[:n] if wanted.payload else _http_head(rest[:n]), path, at)
         at += length
 
