@@ -44,7 +44,6 @@ class Settings:
     sample: int = 400
     sample_documents: int = 4000
     sample_bytes: int = 60_000
-    most_languages: int = 200
     buckets: int = 1 << 17
     length: int = 64
     batch: int = 64
@@ -265,16 +264,16 @@ def fit(texts: list[str], labels: list[str], settings: Settings = Settings()) ->
 
 
 def train(docs: DataFrame, settings: Settings = Settings(), lang: str = "lang", doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Fit on about ``settings.sample`` documents of each of the ``most_languages`` commonest languages."""
+    """Fit on about ``settings.sample`` documents of each language, fewer where that would be over ``sample_documents`` in all, and one at least."""
     usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~sampling.held_out(F.col(doc_id)) & (F.octet_length(text) <= settings.sample_bytes))
-    counts = usable.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(settings.most_languages).collect()
+    place = F.shiftrightunsigned(sampling.order(F.col(doc_id)), 11) / F.lit(2.0**53)
+    counts = usable.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).orderBy(F.desc("n"), "lang").collect()
     if not counts:
         return fit([], [], settings)
     # A language's share of the hash range that holds about ``sample`` of its documents: no ranking within a language.
     most = min(settings.sample, settings.sample_documents / len(counts))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, most / r["n"]))])
-    place = F.shiftrightunsigned(sampling.order(F.col(doc_id)), 11) / F.lit(2.0**53)
-    chosen = usable.where(place < F.try_element_at(share, F.col(lang)))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(r["first"], min(1.0, most / r["n"])))])
+    chosen = usable.where(place <= F.try_element_at(share, F.col(lang)))
     rows = chosen.select(F.col(doc_id).alias("d"), F.col(lang).alias("y"), F.col(text).alias("t")).toPandas().sort_values(["d", "y", "t"])
     return fit(rows["t"].tolist(), rows["y"].tolist(), settings)
 
