@@ -2,7 +2,8 @@
 
 An item counts as leaked into a document if some stretch of the document is within ``1 - similarity`` of the
 item's words in edits (insert, drop, change a word). Words are runs of letters, digits and underscores,
-lower-cased.
+lower-cased; in scripts that are written without spaces each letter is a word of its own. Items of fewer than
+``min_words`` words are found where all their words stand unchanged and in order.
 
 Candidates come from CGK embeddings. A random walk over a word sequence emits the word under its pointer at
 every step and moves on by a random bit of (walk, step, word); few edits between two sequences become few
@@ -16,8 +17,8 @@ Walks are only made where they can lead anywhere: an item of n words with k edit
 condition is necessary for every pair that verification can confirm; it loses none and names no item.
 
 The items go to the executors in blocks of ``block_bytes`` at most, one pass over the documents for each: what
-is broadcast is bounded however many items there are. Items of fewer than ``min_words`` words (null and empty
-ones among them) are not looked for. Null and empty documents contain nothing. Repeated items and documents
+is broadcast is bounded however many items there are. Items without a word (null and empty ones among them) are
+not looked for. Null and empty documents contain nothing. Repeated items and documents
 each have rows of their own; null ids stay null; an empty table on either side gives no rows; other columns
 are ignored (``remove`` keeps those of the documents).
 """
@@ -39,7 +40,9 @@ from pyspark.sql import types as T
 
 from larkspur.llm import ragged
 
-WORD = re.compile(r"\w+")
+#: Scripts without spaces: Thai, Lao, Myanmar, Khmer, kana and bopomofo, and Han.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3021-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W{UNSPACED}]+|(?=[{UNSPACED}])\w")
 #: Symbols that are no word of any item, and what follows the end of a sequence.
 OTHER, PAD = -1, -2
 MATCHES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
@@ -96,15 +99,23 @@ class Items:
         self.vocabulary: dict[str, int] = {}
         self.ids: list[int | None] = []
         self.words: list[list[int]] = []
+        short: list[tuple[int | None, list[int]]] = []
         for item, text in zip(item_ids, texts, strict=True):
             words = WORD.findall((text or "").lower())
+            coded = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
             if len(words) >= settings.min_words:
                 self.ids.append(item)
-                self.words.append([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words])
+                self.words.append(coded)
+            elif words:
+                short.append((item, coded))
         self.edits = [int(math.floor((1 - settings.similarity) * len(w) + 1e-9)) for w in self.words]
+        self.walked = len(self.words)
         if self.words:
             self._runs()
             self._classes()
+        self.ids += [item for item, _ in short]
+        self.words += [w for _, w in short]
+        self._short()
 
     def _runs(self) -> None:
         self.longest = max(len(w) + k for w, k in zip(self.words, self.edits, strict=True))
@@ -120,6 +131,36 @@ class Items:
             bits[(keys >> np.uint64(44)).astype(np.int64)] = True
             self.run_bits[g] = bits
 
+    def _short(self) -> None:
+        """Items below ``min_words``, by length: the hashes of their words in order, a bit table of them, and the items."""
+        self.short = {}
+        for n in sorted({len(w) for w in self.words[self.walked :]}):
+            own = np.array([i for i in range(self.walked, len(self.words)) if len(self.words[i]) == n])
+            keys = np.array([self.grams(np.array(self.words[i], dtype=np.int64), n)[0] for i in own], dtype=np.uint64)
+            order = np.argsort(keys, kind="stable")
+            bits = np.zeros(1 << 20, dtype=bool)
+            bits[(keys >> np.uint64(44)).astype(np.int64)] = True
+            self.short[n] = keys[order], own[order], bits
+
+    def exact(self, flat: np.ndarray, begin: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, first word, end, 0) of each short item in each text, at its first place."""
+        found = []
+        for n, (keys, items, bits) in self.short.items():
+            h = self.grams(flat, n)
+            at = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)])
+            doc = np.searchsorted(begin, at, side="right") - 1
+            inside = at + n <= begin[doc + 1]
+            at, doc = at[inside], doc[inside]
+            lo, hi = np.searchsorted(keys, h[at]), np.searchsorted(keys, h[at], side="right")
+            at, doc, item = np.repeat(at, hi - lo), np.repeat(doc, hi - lo), items[ragged.take(lo, hi - lo)]
+            if not len(at):
+                continue
+            pairs, first = np.unique(np.stack([doc, item]), axis=1, return_index=True)
+            for d, i, a in zip(*pairs.tolist(), at[first].tolist(), strict=True):
+                if flat[a : a + n].tolist() == self.words[i]:
+                    found.append((d, i, a - int(begin[d]), a + n - int(begin[d]), 0))
+        return found
+
     @staticmethod
     def grams(words: np.ndarray, g: int) -> np.ndarray:
         """A hash of the g words that begin at each place."""
@@ -208,6 +249,9 @@ class Items:
             return []
         flat = np.fromiter(map(self.vocabulary.get, words, repeat(OTHER)), dtype=np.int64, count=len(words))
         begin = ragged.offsets(np.array(count, dtype=np.int64))
+        short = self.exact(flat, begin)
+        if not self.walked:
+            return sorted(short)
         start, end = self.windows(flat, np.unique(begin))
         pairs = []
         for a in range(0, len(start), 20_000):
@@ -220,9 +264,9 @@ class Items:
                 if len(hit) and (hi > lo).any():
                     pairs.append(np.stack([np.repeat(s[hit], hi - lo), items[ragged.take(lo, hi - lo)]]))
         if not pairs:
-            return []
+            return sorted(short)
         pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        return self._verify(flat, begin, pairs)
+        return sorted(short + self._verify(flat, begin, pairs))
 
     def _verify(self, flat, begin, pairs) -> list[tuple[int, int, int, int, int]]:
         doc = np.searchsorted(begin, pairs[0], side="right") - 1
