@@ -78,6 +78,7 @@ class Model:
     lexicon: dict[str, int]
     index: dict[str, int] = field(default_factory=dict, repr=False)
     emissions: np.ndarray | None = field(default=None, repr=False)
+    letters: int = field(default=0, repr=False)
 
     def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Features of words as ragged rows: flat, and their numbers."""
@@ -89,12 +90,12 @@ class Model:
         return np.frombuffer(flat, dtype=np.int64) if flat else np.zeros(0, dtype=np.int64), np.array(size, dtype=np.int64)
 
     def _forget(self) -> None:
-        self.index, self.emissions = {}, np.zeros((0, len(self.languages)))
+        self.index, self.emissions, self.letters = {}, np.zeros((0, len(self.languages))), 0
 
     def emit(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """exp(emission) of all words, scaled to at most 1, and the words of each text."""
         memory.claim(self, self._forget)
-        if self.emissions is None or len(self.index) > CACHE_WORDS:
+        if self.emissions is None or len(self.index) > CACHE_WORDS or self.letters > memory.MOST_LETTERS:
             self._forget()
         words, n = [], []
         for t in texts:
@@ -106,7 +107,9 @@ class Model:
             if w not in index:
                 index[w] = len(index)
         if len(index) > before:
-            flat, size = self.rows(list(index)[before:])
+            new = list(index)[before:]
+            self.letters += sum(map(len, new))
+            flat, size = self.rows(new)
             score = np.add.reduceat(self.weights[flat], ragged.offsets(size)[:-1], axis=0)
             score = np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -30))
             self.emissions = np.concatenate([self.emissions, score])

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+#: Letters that an operator remembers at most, besides its bound on words: a word may be a megabyte long.
+MOST_LETTERS = 8_000_000
+
 _owner: object = None
 _forget: Callable[[], None] | None = None
 

@@ -8,7 +8,8 @@ left in all words at once, and compacts the array; words in which no pair is lef
 The library merges one pair at a time. Several occurrences in one round give the same pieces unless a merge
 makes a new pair that is as good as the one at work; a word's round ends with such an occurrence.
 
-Null texts count as empty. An empty text has the end id only, and decodes to an empty text. Ties between pairs of equal score go
+Null texts count as empty. An empty text has the end id only, and decodes to an empty text. A text of any length is encoded
+whole; one task holds it with its ids. Ties between pairs of equal score go
 to the left one. Rows are independent: repeated rows give repeated results, an empty table an empty one, and
 columns beyond the text pass through untouched, but for one with an output's name, which the output replaces.
 """
@@ -32,7 +33,7 @@ SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NONE = np.int32(2**31 - 1)
-#: Words that a Python worker remembers; beyond that it starts anew.
+#: Words that a Python worker remembers (their letters are bounded too); beyond that it starts anew.
 CACHE_WORDS = 200_000
 
 
@@ -312,9 +313,10 @@ class Encoder:
     def _clear(self) -> None:
         self.seen: dict[str, int] = {}
         self.ids, self.at, self.n = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        self.total = 0
+        self.total = self.letters = 0
 
     def _learn(self, new: list[str]) -> None:
+        self.letters += sum(map(len, new))
         ids, n = self.model.merge(new)
         self.at.append(self.total + ragged.offsets(n)[:-1])
         self.ids.append(ids)
@@ -325,7 +327,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, each text's closed by the end id, and the number of ids of each text."""
         memory.claim(self, self._clear)
-        if len(self.seen) > self.cache_words:
+        if len(self.seen) > self.cache_words or self.letters > memory.MOST_LETTERS:
             self._clear()
         seen, before, words, count = self.seen, len(self.seen), [], []
         find = self.model.words.findall

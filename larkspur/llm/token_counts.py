@@ -3,11 +3,13 @@
 The vocabulary's trie has two roots, one for pieces that begin a word and one for those that continue it. Every
 node has a failure link and the number of pieces that following the link pops: what greedy longest-match
 would have cut off by then. A word's pieces are counted in one pass over its characters, without building
-any piece; the steps over a batch's new words are taken in all words at once.
+any piece; the steps over a batch's new words are taken in all words at once, those of words of over ``LONG_WORD`` letters
+one by one.
 
 The pieces come from a SentencePiece vocabulary: with the word mark a piece begins a word, without it it
 continues one. A word that can't be cut into pieces is one unknown token, as in word-piece tokenizers. Words
-are separated by ASCII white space. Null and empty texts have no words. Rows are independent: repeated rows
+are separated by ASCII white space. Null and empty texts have no words. Texts and words of any length are counted whole. Greedy
+cuts leave no ties. Rows are independent: repeated rows
 give repeated results; other columns pass through, but for one with an output's name, which the output replaces.
 """
 
@@ -27,7 +29,7 @@ from larkspur.llm import memory, ragged
 from larkspur.llm.sentencepiece_codec import NORMAL, SPACE, PieceModel
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-CACHE_WORDS = 300_000
+CACHE_WORDS, LONG_WORD = 300_000, 1000
 START, CONTINUE, FAILED = 0, 1, -1
 
 
@@ -70,14 +72,36 @@ class Automaton:
         edges = sorted((node * self.width + int(self.of_char[ord(c)]), child) for node, x in enumerate(children) for c, child in x.items())
         self.keys = np.array([k for k, _ in edges] + [2**62], dtype=np.int64)
         self.targets = np.array([t for _, t in edges] + [FAILED], dtype=np.int32)
+        self.edges: dict[int, int] | None = None
 
     def _step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         key = state.astype(np.int64) * self.width + char
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.targets[at], FAILED)
 
+    def count_long(self, word: str) -> int:
+        """Pieces of one word, a step for each letter."""
+        if self.edges is None:
+            self.edges = dict(zip(self.keys[:-1].tolist(), self.targets[:-1].tolist(), strict=True))
+        fail, pops, state, found = self.fail, self.pops, START, 0
+        for char in self.of_char[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].tolist():
+            while (after := self.edges.get(state * self.width + char)) is None:
+                if fail[state] == FAILED:
+                    return 0
+                found, state = found + int(pops[state]), int(fail[state])
+            state = after
+        while state != CONTINUE:
+            if fail[state] == FAILED:
+                return 0
+            found, state = found + int(pops[state]), int(fail[state])
+        return found
+
     def count(self, words: list[str]) -> np.ndarray:
         """Pieces of each word; 0 for a word that can't be cut."""
+        short = [w for w in words if len(w) <= LONG_WORD]
+        if len(short) < len(words):
+            of_short = iter(self.count(short).tolist())
+            return np.array([next(of_short) if len(w) <= LONG_WORD else self.count_long(w) for w in words], dtype=np.int64)
         size = np.array([len(w) for w in words], dtype=np.int64)
         order = np.argsort(-size, kind="stable")
         size = size[order]
@@ -126,12 +150,12 @@ class Counter:
 
     def _clear(self) -> None:
         self.seen: dict[str, int] = {}
-        self.counts = np.zeros(0, dtype=np.int64)
+        self.counts, self.letters = np.zeros(0, dtype=np.int64), 0
 
     def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words, tokens and unknown words of each text."""
         memory.claim(self, self._clear)
-        if len(self.seen) > self.cache_words:
+        if len(self.seen) > self.cache_words or self.letters > memory.MOST_LETTERS:
             self._clear()
         before, words, n = len(self.seen), [], []
         for text in texts:
@@ -142,7 +166,9 @@ class Counter:
             if w not in self.seen:
                 self.seen[w] = len(self.seen)
         if len(self.seen) > before:
-            self.counts = np.concatenate([self.counts, self.automaton.count(list(self.seen)[before:])])
+            new = list(self.seen)[before:]
+            self.letters += sum(map(len, new))
+            self.counts = np.concatenate([self.counts, self.automaton.count(new)])
         found = self.counts[np.fromiter(map(self.seen.__getitem__, words), dtype=np.int64, count=len(words))]
         n = np.array(n, dtype=np.int64)
         at = ragged.offsets(n)

@@ -14,7 +14,8 @@ the tasks that count in ``_files.json``, and the reader goes by that list where
 response and the others revisit it; smaller ones are all responses. A null payload is an empty one. A row with
 a null key can revisit but is never revisited (all are responses if their keys are all null); rows with the
 same smallest key are all responses. A null target has no target header. An empty table gives an archive
-without files. Other columns are ignored.
+without files. Payloads and targets of any length a column can hold are written and read whole, a record at a time. Other
+columns are ignored, whatever their names; the key, payload and target columns are parameters.
 
 Paths can be in any store that pyarrow's file systems open, the same on the driver and the executors.
 """
@@ -179,11 +180,21 @@ def _plain_records(stream: pa.NativeFile, path: str, wanted: Wanted) -> Iterator
             raise ValueError(f"{path}: no record at {at}")
         n = int(fields.get("content-length", 0))
         if wanted.accepts(fields):
-            body = rest[:n] if len(rest) >= n else rest + stream.read(n - len(rest))
+            body = rest[:n]
+            while len(body) < n and (wanted.payload or _head_is_open(body)):
+                more = stream.read(n - len(body) if wanted.payload else min(HEAD_BYTES, n - len(body)))
+                if not more:
+                    raise ValueError(f"{path}: a record ends early at {at}")
+                body += more
             yield _row(fields, body if wanted.payload else _http_head(body), path, at)
         at += len(block) + 4 + n + 4
 
 
+def _head_is_open(body: bytes) -> bool:
+    """Whether what is read of a body so far may be the beginning of a longer HTTP head."""
+    return b"HTTP/".startswith(body[:5]) and b"\r\n\r\n" not in body
+
+
 def _http_head(body: bytes) -> bytes | None:
     head, found, _ = body.partition(b"\r\n\r\n")
     return head + found if found and body.startswith(b"HTTP/") else None
@@ -218,7 +229,7 @@ def _gzip_records(stream: pa.NativeFile, path: str, wanted: Wanted) -> Iterator[
             length = length or read - len(unpack.unused_data) - at
             rest = b"".join(parts)
         elif keep:
-            while len(rest) < n and b"HTTP/".startswith(rest[:5]) and b"\r\n\r\n" not in rest and not unpack.eof:
+            while len(rest) < n and _head_is_open(rest) and not unpack.eof:
                 more = stream.read(HEAD_BYTES)
                 if not more:
                     raise ValueError(f"{path}: a member ends early at {at}")
