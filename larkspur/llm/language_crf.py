@@ -8,14 +8,16 @@ distribution over languages; a document's language is the one with the largest m
 Training maximises the conditional likelihood by stochastic gradient descent (Adagrad steps). Documents tell one
 language for all their words, so part of the training sequences is spliced from two documents: that is where
 transitions between languages are learned. The sample is bounded: ``sample`` documents of a language outside the held-out
-fold (``sample_documents`` of all languages), of at most ``sample_bytes`` each, in the order of a hash of the id. Text and language are all that is learned from;
-a prediction sees only the text.
+fold (``sample_documents`` of all languages, one of each at least) with ``sample_bytes`` of text in all, in the order of a hash
+of id and text. Text and language are all that is learned from; a prediction sees only the text, always whole, however
+long. Weights take ``buckets`` numbers for each language.
 
 Forward-backward is exact over whole documents: texts are cut into chunks of ``CHUNK`` words, the chunks' transfer matrices are
 multiplied up along each document, and then all chunks of a batch run at once with the messages that arrive at their ends.
 
-A text that is null or has no letter is ``und`` with score 0. Without any labelled document everything is ``und``. Rows are
-independent: repeated rows have repeated results; an empty table gives an empty result. Other columns pass through,
+A text that is null or has no letter is ``und`` with score 0. Without any labelled document everything is ``und``. Of languages
+with equal means the first in the alphabet is predicted. A repeated row counts once in the sample; rows with a null id or
+language aren't learned from. Rows are independent: repeated rows have repeated results; an empty table gives an empty result. Other columns pass through,
 but for one with an output's name, which the output replaces.
 """
 
@@ -43,7 +45,7 @@ CHUNK, CACHE_WORDS, STEP_BYTES = 128, 300_000, 4_000_000
 class Settings:
     sample: int = 400
     sample_documents: int = 4000
-    sample_bytes: int = 60_000
+    sample_bytes: int = 24_000_000
     buckets: int = 1 << 17
     length: int = 64
     batch: int = 64
@@ -170,8 +172,8 @@ class Model:
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
         emission, n = self.emit(texts)
-        total = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(self.marginals(emission, n), axis=0)])
-        mean = np.diff(total[ragged.offsets(n)], axis=0) / np.maximum(1, n)[:, None]
+        doc, p = np.repeat(np.arange(len(n)), n), self.marginals(emission, n)
+        mean = np.stack([np.bincount(doc, p[:, y], minlength=len(n)) for y in range(len(self.languages))], axis=1) / np.maximum(1, n)[:, None]
         best = mean.argmax(axis=1)
         return [self.languages[b] if k else "und" for b, k in zip(best.tolist(), n.tolist(), strict=True)], np.where(n > 0, np.clip(mean[np.arange(len(n)), best], 0, 1), 0.0)
 
@@ -268,17 +270,19 @@ def fit(texts: list[str], labels: list[str], settings: Settings = Settings()) ->
 
 def train(docs: DataFrame, settings: Settings = Settings(), lang: str = "lang", doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fit on about ``settings.sample`` documents of each language, fewer where that would be over ``sample_documents`` in all, and one at least."""
-    usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~sampling.held_out(F.col(doc_id)) & (F.octet_length(text) <= settings.sample_bytes))
-    place = F.shiftrightunsigned(sampling.order(F.col(doc_id)), 11) / F.lit(2.0**53)
-    counts = usable.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).orderBy(F.desc("n"), "lang").collect()
+    usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~sampling.held_out(F.col(doc_id)))
+    usable = usable.select(F.col(doc_id).alias("_d"), F.col(lang).alias("_y"), F.col(text).alias("_t"))
+    place = F.shiftrightunsigned(sampling.order(F.col("_d"), F.xxhash64("_t")), 11) / F.lit(2.0**53)
+    # Different places, not rows: a row that is repeated very often takes no more of the sample than any other.
+    counts = usable.groupBy("_y").agg(F.approx_count_distinct(place, 0.02).alias("n"), F.min(place).alias("first")).orderBy(F.desc("n"), "_y").collect()
     if not counts:
         return fit([], [], settings)
     # A language's share of the hash range that holds about ``sample`` of its documents: no ranking within a language.
     most = min(settings.sample, settings.sample_documents / len(counts))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(r["first"], min(1.0, most / r["n"])))])
-    chosen = usable.where(place <= F.try_element_at(share, F.col(lang)))
-    rows = chosen.select(F.col(doc_id).alias("d"), F.col(lang).alias("y"), F.col(text).alias("t")).toPandas().sort_values(["d", "y", "t"])
-    return fit(rows["t"].tolist(), rows["y"].tolist(), settings)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["_y"], max(r["first"], min(1.0, most / r["n"])))])
+    chosen = usable.where(place <= F.try_element_at(share, F.col("_y")))
+    found = sampling.labelled_texts(chosen, 2 * settings.sample_documents + len(counts), settings.sample_bytes)
+    return fit([t for _, t in found], [y for y, _ in found], settings)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -1,16 +1,18 @@
 """Quality classifier: supervised subword embeddings.
 
-A word is its hashed self and its hashed character n-grams; a learned vector stands for each, and a word's vector is their mean.
-Words that came a few words earlier in the text also count as hashed word n-grams in back-reference form ("the same
-as d words before"). A document is the mean over all of these; a softmax over it gives the classes.
-Vectors and softmax are learned together by stochastic gradient descent (Adagrad steps) in numpy.
-
-Fitting takes a bounded sample: ``sample`` labelled rows outside the held-out fold, of texts of at most
-``sample_bytes``, in the order of a hash of the id. Texts in the sample are used whole, and scoring always takes whole
-texts. As softmax over a mean is linear in the words, a word's share in the score is computed once for each worker.
-
-Null and empty texts have no words and score by the bias alone. A document whose label is null isn't learned from; of several
-labels for one document each counts as a row. Null ids are scored but not learned from. Without labels every score is 0.5.
+A document's features are its words, its pairs of neighbouring words, and its repetitions. A word is the mean of the vectors of its
+hashed self and of its hashed character n-grams; a pair of words has a hashed vector of its own; a word that came a few words
+earlier already counts as "the same as d words ago". The document's vector is the mean over its features, and a
+softmax over two learned rows of weights gives the classes. Vectors, weights and biases are learned together by
+stochastic gradient descent on the log-likelihood (Adagrad steps, one for each component) in numpy.
+
+Fitting takes a bounded sample: ``sample`` labelled rows outside the held-out fold with ``sample_bytes`` of text in all,
+in the order of a hash. Texts in the sample are used whole, and scoring always takes whole texts, however long. As the
+logits are linear in the features, a word's part in them is computed once for each worker.
+
+Null and empty texts have no words and score by the biases alone. A document whose label is null isn't learned from; of several
+labels for one document each counts as a row, repeated rows count once in the sample. Any label but 1 is class 0. Null ids are
+scored but not learned from. Without labels every score is 0.5; a score of exactly 0.5 is predicted as 1.
 Rows are independent: repeated rows have repeated scores; an empty table gives an empty result. Other columns pass through,
 but for one with an output's name, which the output replaces.
 """
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -36,16 +38,20 @@ CACHE_WORDS = 200_000
 @dataclass(frozen=True)
 class Settings:
     sample: int = 3000
-    sample_bytes: int = 100_000
-    buckets: int = 1 << 17
+    sample_bytes: int = 24_000_000
+    buckets: int = 1 << 18
     width: int = 8
     back: int = 8
     epochs: int = 4
     batch: int = 32
-    rate: float = 0.3
+    rate: float = 0.1
     seed: int = 11
 
 
+def word_hash(word: str) -> int:
+    return crc32(word.encode("utf-8", "surrogatepass"), 3)
+
+
 def subwords(word: str, buckets: int) -> list[int]:
     """Buckets of a word: itself, and the n-grams of 3 and 4 bytes of the word with its ends marked."""
     w = f"<{word}>".encode("utf-8", "surrogatepass")
@@ -55,10 +61,12 @@ def subwords(word: str, buckets: int) -> list[int]:
 
 
 class Words:
-    """Word types seen so far, and their subwords as ragged rows."""
+    """Word types seen so far, with their hashes."""
 
-    def __init__(self, settings: Settings):
-        self.settings, self.index = settings, {}
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.letters = 0
 
     def flatten(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Word types of all texts, flat; words in each text; the types that are new."""
@@ -72,6 +80,9 @@ class Words:
             if w not in index:
                 index[w] = len(index)
         new = list(index)[before:] if len(index) > before else []
+        if new:
+            self.hashes = np.concatenate([self.hashes, np.fromiter(map(word_hash, new), dtype=np.uint64, count=len(new))])
+            self.letters += sum(map(len, new))
         return np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words)), np.array(n, dtype=np.int64), new
 
 
@@ -85,6 +96,16 @@ def subword_rows(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(flat, dtype=np.int64) if flat else np.zeros(0, dtype=np.int64), np.array(size, dtype=np.int64)
 
 
+def word_pairs(hashes: np.ndarray, n: np.ndarray, buckets: int) -> np.ndarray:
+    """For each word the bucket of the pair that it makes with the next word of its text; -1 at a text's end."""
+    out = np.full(len(hashes), -1, dtype=np.int64)
+    if len(hashes) > 1:
+        mixed = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+        out[:-1] = ((mixed ^ mixed >> np.uint64(31)) % np.uint64(buckets)).astype(np.int64)
+    out[(np.cumsum(n) - 1)[n > 0]] = -1
+    return out
+
+
 def back_references(types: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
     """For each word how many words before the same word came, up to ``most``; 0 for none. Words in the order of the texts."""
     doc = np.repeat(np.arange(len(n)), n)
@@ -95,105 +116,113 @@ def back_references(types: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-@dataclass
-class Model:
-    settings: Settings
-    vectors: np.ndarray  # of the hashed words and n-grams, and after them of the back-references
-    weights: np.ndarray  # from a document's vector to the logit of class 1
-    bias: float = 0.0
-    words: Words | None = field(default=None, repr=False)
-    shares: np.ndarray | None = field(default=None, repr=False)
+class Scorer:
+    """What scoring needs of a model: each vector's part in the difference of the two logits, and that of the biases."""
 
-    def _forget(self) -> None:
-        self.words, self.shares = Words(self.settings), np.zeros(0)
+    def __init__(self, settings: Settings, parts: np.ndarray, bias: float):
+        self.settings, self.parts, self.bias = settings, parts, bias
+        self._forget()
 
-    def _learn(self, new: list[str]) -> None:
-        flat, size = subword_rows(new, self.settings.buckets)
-        per_bucket = self.vectors @ self.weights
-        self.shares = np.concatenate([self.shares, np.add.reduceat(per_bucket[flat], ragged.offsets(size)[:-1]) / size])
+    def _forget(self) -> None:
+        self.words, self.shares = Words(), np.zeros(0)
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Probability of class 1 for each whole text."""
         memory.claim(self, self._forget)
-        if self.words is None or len(self.words.index) > CACHE_WORDS:
+        if len(self.words.index) > CACHE_WORDS or self.words.letters > memory.MOST_LETTERS:
             self._forget()
+        s = self.settings
         types, n, new = self.words.flatten(texts)
         if new:
-            self._learn(new)
-        back = back_references(types, n, self.settings.back)
-        own = self.vectors[self.settings.buckets :] @ self.weights
-        value = self.shares[types] + np.where(back > 0, own[back - 1], 0.0)
-        total, count = (np.append(0, np.cumsum(x))[ragged.offsets(n)] for x in (value, 1 + (back > 0)))
-        logit = self.bias + np.diff(total) / np.maximum(1, np.diff(count))
-        return 1 / (1 + np.exp(-logit))
+            flat, size = subword_rows(new, s.buckets)
+            self.shares = np.concatenate([self.shares, np.add.reduceat(self.parts[flat], ragged.offsets(size)[:-1]) / size])
+        back, pair = back_references(types, n, s.back), word_pairs(self.words.hashes[types], n, s.buckets)
+        value = self.shares[types] + np.where(back > 0, self.parts[s.buckets + back - 1], 0.0) + np.where(pair >= 0, self.parts[pair], 0.0)
+        doc = np.repeat(np.arange(len(n)), n)  # sums of their own: what stands beside a text changes no digit of its score
+        total, count = (np.bincount(doc, x, minlength=len(n)) for x in (value, 1 + (back > 0) + (pair >= 0)))
+        return 1 / (1 + np.exp(-(self.bias + total / np.maximum(1, count))))
+
+
+@dataclass
+class Model:
+    settings: Settings
+    vectors: np.ndarray  # of the hashed words, n-grams and pairs, and after them of the repetitions
+    weights: np.ndarray  # two rows, from a document's vector to the logits
+    bias: np.ndarray
+
+    def scorer(self) -> Scorer:
+        return Scorer(self.settings, self.vectors @ (self.weights[1] - self.weights[0]), float(self.bias[1] - self.bias[0]))
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        return self.scorer().score(texts)
 
 
 def fit(texts: list[str], labels: np.ndarray, settings: Settings = Settings()) -> Model:
-    """Learn vectors, softmax weights and bias from labelled texts."""
-    rng = np.random.default_rng(settings.seed)
-    vectors = rng.uniform(-1 / settings.width, 1 / settings.width, (settings.buckets + settings.back, settings.width))
-    weights, bias = rng.standard_normal(settings.width), 0.0
-    model = Model(settings, vectors, weights, bias)
-    labels = np.asarray(labels, dtype=np.float64)
-    if not len(labels) or labels.min() == labels.max():
-        model.weights = np.zeros(settings.width)
-        model.bias = 0.0 if not len(labels) else float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)))
-        return model
-    words = Words(settings)
+    """Learn vectors, the two rows of weights and the biases from labelled texts."""
+    s, rng = settings, np.random.default_rng(settings.seed)
+    vectors = rng.uniform(-1 / s.width, 1 / s.width, (s.buckets + s.back, s.width))
+    weights, bias = np.zeros((2, s.width)), np.zeros(2)
+    gold = (np.asarray(labels) == 1).astype(np.int64)
+    if not len(gold) or gold.min() == gold.max():
+        if len(gold):
+            bias[1] = np.log((gold.sum() + 0.5) / (len(gold) - gold.sum() + 0.5))
+        return Model(s, vectors, weights, bias)
+    words = Words()
     parts = [words.flatten(texts[a : a + 100])[:2] for a in range(0, len(texts), 100)]  # few words in memory at a time
     types, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    flat, size = subword_rows(list(words.index), settings.buckets)
+    flat, size = subword_rows(list(words.index), s.buckets)
     at = ragged.offsets(size)[:-1]
-    back = back_references(types, n, settings.back)
+    back, pairs = back_references(types, n, s.back), word_pairs(words.hashes[types], n, s.buckets)
+    features = n + np.diff(np.append(0, np.cumsum((back > 0).astype(np.int64) + (pairs >= 0)))[ragged.offsets(n)])
     start = ragged.offsets(n)
-    seen_v, seen_w, seen_b = np.full(len(vectors), 1e-6), np.full(settings.width, 1e-6), 1e-6
-    for _ in range(settings.epochs):
+    touched, number = np.zeros(len(vectors), dtype=bool), np.zeros(len(vectors), dtype=np.int64)
+    seen_v, seen_w, seen_b = np.full(vectors.shape, 1e-8), np.full(weights.shape, 1e-8), np.full(2, 1e-8)
+    for _ in range(s.epochs):
         order = rng.permutation(len(texts))
-        for a in range(0, len(order), settings.batch):
-            docs = order[a : a + settings.batch]
+        for a in range(0, len(order), s.batch):
+            docs = order[a : a + s.batch]
             place = ragged.take(start[docs], n[docs])
             doc = np.repeat(np.arange(len(docs)), n[docs])
-            total = np.maximum(1, n[docs] + np.bincount(doc[back[place] > 0], minlength=len(docs)))
+            total = np.maximum(1, features[docs])
             # (document, type) with its share of the mean, then down to the buckets
-            pair, count = np.unique(doc * len(size) + types[place], return_counts=True)
-            pd_, pt = pair // len(size), pair % len(size)
-            bucket = flat[ragged.take(at[pt], size[pt])]
-            owner = np.repeat(pd_, size[pt])
-            share = np.repeat(count / size[pt] / total[pd_], size[pt])
-            again = back[place] > 0
-            bucket = np.concatenate([bucket, settings.buckets + back[place][again] - 1])
-            owner = np.concatenate([owner, doc[again]])
-            share = np.concatenate([share, 1 / total[doc[again]]])
-            key, inverse = np.unique(bucket, return_inverse=True)
-            mean = np.zeros((len(docs), settings.width))
-            for k in range(settings.width):
-                mean[:, k] = np.bincount(owner, share * vectors[bucket, k], minlength=len(docs))
-            error = (1 / (1 + np.exp(-(mean @ weights + bias))) - labels[docs]) / len(docs)
-            push = np.bincount(inverse, share * error[owner], minlength=len(key))
-            seen_v[key] += push**2
-            grad_w, grad_b = error @ mean, error.sum()
-            seen_w += grad_w**2
-            seen_b += grad_b**2
-            vectors[key] -= settings.rate * (push / np.sqrt(seen_v[key]))[:, None] * weights / max(1e-9, np.linalg.norm(weights))
-            weights = weights - settings.rate * grad_w / np.sqrt(seen_w)
-            bias -= settings.rate * grad_b / np.sqrt(seen_b)
-    model.weights, model.bias = weights, float(bias)
-    return model
+            kind, count = np.unique(doc * len(size) + types[place], return_counts=True)
+            of, which = kind // len(size), kind % len(size)
+            again, two = back[place] > 0, pairs[place] >= 0
+            bucket = np.concatenate([flat[ragged.take(at[which], size[which])], s.buckets + back[place][again] - 1, pairs[place][two]])
+            owner = np.concatenate([np.repeat(of, size[which]), doc[again], doc[two]])
+            share = np.concatenate([np.repeat(count / size[which] / total[of], size[which]), 1 / total[doc[again]], 1 / total[doc[two]]])
+            touched[bucket] = True
+            key = np.flatnonzero(touched)
+            touched[key], number[key] = False, np.arange(len(key))
+            inverse = number[bucket]
+            own = vectors[key]
+            mean = np.stack([np.bincount(owner, share * own[inverse, k], minlength=len(docs)) for k in range(s.width)], axis=1)
+            logit = mean @ weights.T + bias
+            error = np.exp(logit - logit.max(axis=1, keepdims=True))
+            error /= error.sum(axis=1, keepdims=True)
+            error[np.arange(len(docs)), gold[docs]] -= 1
+            error /= len(docs)
+            grad_v = np.stack([np.bincount(inverse, share * error[owner, c], minlength=len(key)) for c in (0, 1)], axis=1) @ weights
+            grad_w, grad_b = error.T @ mean, error.sum(axis=0)
+            for values, where, grad, seen in ((vectors, key, grad_v, seen_v), (weights, slice(None), grad_w, seen_w), (bias, slice(None), grad_b, seen_b)):
+                seen[where] += grad**2
+                values[where] -= s.rate * grad / np.sqrt(seen[where])
+    return Model(s, vectors, weights, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fit on the bounded sample. Only ids of sampled labels meet the documents (``settings.sample`` rows, broadcast)."""
     usable = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~sampling.held_out(F.col(doc_id)))
-    chosen = sampling.first_by_hash(usable.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")), "_id", settings.sample)
-    texts = docs.where(F.octet_length(text) <= settings.sample_bytes).select(F.col(doc_id).alias("_d"), F.col(text).alias("_t"))
-    rows = texts.join(F.broadcast(chosen), F.col("_d") == F.col("_id")).select("_d", "_y", "_t").toPandas().sort_values(["_d", "_y", "_t"])
-    return fit(rows["_t"].tolist(), rows["_y"].to_numpy(), settings)
+    chosen = sampling.first_by_hash(usable.select(F.col(doc_id).alias("_d"), F.col(label).cast("int").alias("_y")).distinct(), "_d", settings.sample)
+    rows = docs.select(F.col(doc_id).alias("_d"), F.coalesce(text, F.lit("")).alias("_t")).join(F.broadcast(chosen), "_d")
+    found = sampling.labelled_texts(rows, settings.sample, settings.sample_bytes)
+    return fit([t for _, t in found], np.array([y for y, _ in found]), settings)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
     """Add ``score``, the probability of class 1, and ``predicted``."""
     docs = docs.drop(score, predicted)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.scorer())
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType(), False), T.StructField(predicted, T.IntegerType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
