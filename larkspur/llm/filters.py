@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +31,23 @@ def places(ids: np.ndarray, bits: int) -> np.ndarray:
     return ((x[None, :] + np.arange(HASHES, dtype=np.uint64)[:, None] * step[None, :]) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def build(rows: DataFrame, column: str) -> Callable[[str], Column]:
-    """A condition that holds for every id among ``rows``, and for few others; nulls fail it."""
+class Sieve:
+    """Passes every id that it was made of, and few others; a broadcast bit field."""
+
+    def __init__(self, shared: Broadcast, bits: int):
+        self.shared, self.bits = shared, bits
+
+    def known(self, ids: np.ndarray) -> np.ndarray:
+        at = places(ids, self.bits)
+        return (self.shared.value[at >> 3] >> (at & 7) & 1).all(axis=0)
+
+    def passes(self, ids: pa.Array) -> pa.Array:
+        """Nulls don't pass."""
+        return pa.array(self.known(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False))
+
+
+def sieve(rows: DataFrame, column: str) -> Sieve:
+    """The sieve of the ids among ``rows``."""
     bits = min(MOST_BITS, max(LEAST_BITS, (10 * rows.count()).bit_length()))
     schema = "part int, field binary"
 
@@ -57,11 +74,15 @@ def build(rows: DataFrame, column: str) -> Callable[[str], Column]:
     whole = np.zeros((max(1, (1 << bits - 3) // PART), PART), dtype=np.uint8)
     for r in rows.select(F.col(column).cast("long").alias("i")).mapInArrow(mark, schema).repartition("part").mapInArrow(merge, schema).toLocalIterator():
         whole[r["part"]] = np.frombuffer(r["field"], dtype=np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(whole.reshape(-1))
+    return Sieve(rows.sparkSession.sparkContext.broadcast(whole.reshape(-1)), bits)
+
+
+def build(rows: DataFrame, column: str) -> Callable[[str], Column]:
+    """A condition that holds for every id among ``rows``, and for few others; nulls fail it."""
+    own = sieve(rows, column)
 
     @F.pandas_udf(T.BooleanType())
     def known(ids: pd.Series) -> pd.Series:
-        at = places(ids.to_numpy(dtype=np.int64), bits)
-        return pd.Series((shared.value[at >> 3] >> (at & 7) & 1).all(axis=0))
+        return pd.Series(own.known(ids.to_numpy(dtype=np.int64)))
 
     return lambda c: F.when(F.col(c).isNull(), False).otherwise(known(F.coalesce(F.col(c), F.lit(0)).cast("long")))

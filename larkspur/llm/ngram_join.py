@@ -5,25 +5,28 @@ a 64-bit hash. Documents link when intersection / union reaches ``share / of``;
 
 1. One pass hashes every set and counts n-grams in a sketch of ``COUNTERS`` counters, which orders n-grams from
    rare to common. The sketch is of fixed size (4 MB), so it can be broadcast for any input; any order gives the
-   same result, a better one fewer candidates.
+   same result, a better one fewer candidates. For each set it also makes a bitmap of two to four bits an element.
 2. A set of n elements that links with another has ceil(t n) in common with it, so among the first
    n - ceil(t n) + l elements of both there are l common ones. l is chosen for each document by estimated cost:
    a longer prefix costs rows, but pairs must then share l elements before they are verified. For
    documents with different l the smaller counts.
 3. Prefix elements meet by hash, in a stream sorted within each partition. Runs of up to ``RUN`` documents give
-   pairs, which count if they share l elements. Longer runs, and elements that the sketch shows to be common,
-   give one row for each document (a link from document to element): rows stay in proportion, and the exact
-   way for these is step 4.
-4. Candidates' components are verified. Only documents that a Bloom filter of bounded size passes meet them; sets are sent once; components of over ``BLOCK`` elements are cut
-   into blocks, and each pair of blocks is one task. A task compares by exact intersection, breadth first: what is linked
-   already isn't compared again, and it emits a spanning forest rather than all pairs.
+   pairs, which count if they share l elements. A longer run would give too many pairs: its documents form a group
+   (:mod:`blocks`), in which a pair is a candidate if lengths and bitmaps allow it to link. A bitmap holds for each
+   bit whether the elements hashed to it are odd in number, so two sets differ in at least as many elements as their
+   bitmaps do in bits: a necessary condition on whole sets, stricter than l shared prefix elements.
+4. Components of candidates are groups again, in which sets are compared by exact intersection, of the length that allows it.
+   Only documents that a Bloom filter of bounded size passes are hashed again for this, and only sets are sent.
 
-Equal sets are one node from the start (each map task emits a set once), so copies never meet in pairs.
+Equal sets are one node from the start (each map task emits a set once), so copies never meet in pairs. A set is
+identified by 128 bits of fingerprint; the 64 bits by which prefixes meet only bring candidates together.
 
 Null and empty texts have no words: their sets are empty and link with nothing. With fewer than n words the whole
 sequence is the one element. Rows with a null id get their class's component, if another row of the same set has an
-id, and link to nothing else. Repeated rows have rows of their own. An empty table gives an empty result. Other columns don't
-matter.
+id, and link to nothing else. Repeated rows have rows of their own; an id repeated with other texts stands for each of
+its sets, which aren't linked by sharing it, and a class may have the smallest id of several. Texts of any length are
+hashed whole. Ties don't occur: a class has one smallest id. An empty table gives an empty result. Other columns don't
+matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,13 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm import filters, memory, ragged
+from larkspur.llm import blocks, filters, memory, ragged
 from larkspur.llm.components import components, skew_join
 from larkspur.llm.workspace import Stash
 
 COUNTERS, PART = 1 << 20, 1 << 12
-CACHE_WORDS = 150_000
-RUN, BLOCK, COMMON, MOST_MATCHES = 64, 250_000, 100_000, 8
+CACHE_WORDS, LONG_WORD = 150_000, 64
+#: Documents of a run that gives pairs; elements, and bytes of bitmaps, that one task compares; the largest l.
+RUN, BLOCK, CROWD, MOST_MATCHES = 64, 250_000, 500_000, 8
 
 
 @dataclass(frozen=True)
@@ -65,10 +69,12 @@ class Join:
 
 
 class _Words(dict):
-    """Hashes of words, computed once; starts anew when it grows too large."""
+    """Hashes of words, computed once but for long ones; starts anew when it grows too large."""
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            self[word] = h
         return h
 
 
@@ -99,14 +105,29 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def set_id(elements: np.ndarray) -> int:
-    """A 64-bit fingerprint of a set, as a signed number."""
-    total = int(_mix(elements ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) + len(elements) * 0x14057B7EF767814F
-    return int(_mix(np.array([total % 2**64], dtype=np.uint64)).view(np.int64)[0])
+def set_id(elements: np.ndarray) -> tuple[int, int]:
+    """A 128-bit fingerprint of a set, as two signed numbers."""
+    out = []
+    for salt in (0x5851F42D4C957F2D, 0x9FB21C651E98DF25):
+        total = int(_mix(elements ^ np.uint64(salt)).sum(dtype=np.uint64)) + len(elements) * 0x14057B7EF767814F
+        out.append(int(_mix(np.array([total % 2**64], dtype=np.uint64)).view(np.int64)[0]))
+    return out[0], out[1]
+
+
+def bitmap(elements: np.ndarray) -> np.ndarray:
+    """Parities of the elements at 64-bit words of bits, twice as many bits as elements at least and a power of two."""
+    bits = max(64, 1 << (2 * len(elements) - 1).bit_length())
+    odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, n: int) -> np.ndarray:
+    """A bitmap as one of n words would be."""
+    return np.bitwise_xor.reduce(words.reshape(-1, n), axis=0)
 
 
 def _sets_and_sketch(docs: DataFrame, join: Join) -> DataFrame:
-    """A row for each document (doc_id, n, sid), and from each task its counters in parts (part, counts)."""
+    """A row for each document (doc_id, n, sid, more, mark, bits), and from each task its counters in parts (part, bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, held, waiting = np.zeros(COUNTERS, dtype=np.int64), [], 0
@@ -124,19 +145,20 @@ def _sets_and_sketch(docs: DataFrame, join: Join) -> DataFrame:
                 waiting += sum(map(len, sets))
                 if waiting > COUNTERS:
                     count()
-                none = pa.nulls(len(sets))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([set_id(s) for s in sets], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_SETS)
+                sid, more = (pa.array(x, pa.int64()) for x in zip(*map(set_id, sets), strict=True))
+                bits = pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), sid, more, part.column("mark"), pa.nulls(len(sets), pa.int32()), bits], schema=_SETS)
         count()
         parts = sketch.reshape(-1, PART)
         full = np.flatnonzero(parts.any(axis=1)).tolist()
         if full:
-            none = pa.nulls(len(full))
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(full, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in full], pa.binary())], schema=_SETS)
+            none = pa.nulls(len(full), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none, none, none, pa.array(full, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in full], pa.binary())], schema=_SETS)
 
-    return docs.mapInArrow(run, "doc_id long, n int, sid long, part int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n int, sid long, more long, mark long, part int, bits binary")
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("more", pa.int64()), ("mark", pa.int64()), ("part", pa.int32()), ("bits", pa.binary())])
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -152,7 +174,7 @@ def _sketch(rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
 
     out = np.zeros((COUNTERS // PART, PART), dtype=np.int64)
-    for r in rows.select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary").toLocalIterator():
+    for r in rows.select("part", F.col("bits").alias("counts")).repartition("part").mapInArrow(add, "part int, counts binary").toLocalIterator():
         out[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
     return np.minimum(out.reshape(-1), 2**32 - 1).astype(np.uint32)
 
@@ -178,8 +200,8 @@ def _prefixes(docs: DataFrame, join: Join, counters: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, seen = shared.value, set()
         for batch in batches:
-            out = []
             for part in ragged.slices(batch, "text"):
+                out = []
                 for text in ragged.texts(part, "text"):
                     own = shingles(text, join.words)
                     n = len(own)
@@ -193,26 +215,25 @@ def _prefixes(docs: DataFrame, join: Join, counters: np.ndarray) -> DataFrame:
                     need = matches_needed(others, n, base)
                     pick = order[: base + need]
                     level = np.maximum(1, np.arange(base + need) - base + 1)
-                    out.append((own[pick].view(np.int64), np.full(len(pick), sid), np.full(len(pick), n), np.full(len(pick), need), level, count[pick] - noise > COMMON))
-            if out:
-                element, sid, n, need, level, common = (np.concatenate(x) for x in zip(*out, strict=True))
-                salt = np.where(common, _mix(sid.astype(np.uint64)) % np.uint64(64), np.uint64(0)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(element), pa.array(salt), pa.array(sid), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32)), pa.array(level.astype(np.int32)), pa.array(common)], names=_PREFIX.names)
+                    out.append((own[pick].view(np.int64), np.full(len(pick), sid[0]), np.full(len(pick), n), np.full(len(pick), need), level))
+                if out:
+                    element, sid, n, need, level = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(element), pa.array(sid), *[pa.array(x.astype(np.int32)) for x in (n, need, level)]], names=_PREFIX.names)
 
     return docs.mapInArrow(run, _PREFIX)
 
 
-_PREFIX = T.StructType([T.StructField("element", T.LongType()), T.StructField("salt", T.IntegerType()), T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("need", T.IntegerType()), T.StructField("level", T.IntegerType()), T.StructField("common", T.BooleanType())])
+_PREFIX = T.StructType([T.StructField("element", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("need", T.IntegerType()), T.StructField("level", T.IntegerType())])
 
 
 def _meet(prefixes: DataFrame, join: Join) -> DataFrame:
-    """Pairs (a, b, need) from short runs; links (a: set, b: element, need 0) from long ones."""
+    """Pairs (a, b, need) from short runs; members (a: set, b: element, need: -length) of long ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
-        long_run: int | None = None  # the element of a run that has begun to give links
+        long_run: int | None = None  # the element of a run that has begun to give members
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4, 5, 6)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             element = cols[0]
@@ -220,7 +241,7 @@ def _meet(prefixes: DataFrame, join: Join) -> DataFrame:
             if len(element) - last > RUN:  # the open run is long already: let go of what there is
                 yield from _pairs([c[:last] for c in cols], long_run, join)
                 long_run = int(element[-1])
-                yield _links(cols[1][last:], element[last:])
+                yield _members(*(c[last:] for c in cols[:3]))
                 rest = [c[:0] for c in cols]
             else:
                 yield from _pairs([c[:last] for c in cols], long_run, join)
@@ -228,31 +249,32 @@ def _meet(prefixes: DataFrame, join: Join) -> DataFrame:
         if rest is not None:
             yield from _pairs(rest, long_run, join)
 
-    return prefixes.repartition("element", "salt").sortWithinPartitions("element").mapInArrow(run, "a long, b long, need int")
+    return prefixes.repartition("element").sortWithinPartitions("element").mapInArrow(run, "a long, b long, need int")
 
 
-def _links(sid: np.ndarray, element: np.ndarray) -> pa.RecordBatch:
-    sid, element = np.unique(np.stack([sid, element]), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(sid), pa.array(element), pa.array(np.zeros(len(sid), dtype=np.int32))], names=["a", "b", "need"])
+def _members(element: np.ndarray, sid: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    sid, element, n = np.unique(np.stack([sid, element, n]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(sid), pa.array(element), pa.array(-n.astype(np.int32))], names=["a", "b", "need"])
 
 
 def _pairs(cols: list[np.ndarray], long_run: int | None, join: Join) -> Iterator[pa.RecordBatch]:
     if not len(cols[0]):
         return
-    element, sid, n, need, level, common = cols
-    order = np.lexsort((sid, element))
-    keep = np.append(True, (element[order][1:] != element[order][:-1]) | (sid[order][1:] != sid[order][:-1]))  # a set comes from several tasks
-    element, sid, n, need, level, common = (c[order[keep]] for c in (element, sid, n, need, level, common))
+    element, sid, n, need, level = cols
+    order = np.lexsort((level, need, n, sid, element))
+    own = np.stack([c[order] for c in cols])
+    keep = np.append(True, (own[:, 1:] != own[:, :-1]).any(axis=0))  # a set comes from several tasks
+    element, sid, n, need, level = (c[order[keep]] for c in cols)
     at = np.flatnonzero(np.append(True, element[1:] != element[:-1]))
     size = np.diff(np.append(at, len(element)))
-    links = (size > RUN) | common[at] | (element[at] == long_run if long_run is not None else False)
-    if links.any():
-        rows = ragged.take(at[links], size[links])
-        yield _links(sid[rows], element[rows])
-    for g in np.unique(size[~links & (size > 1)]).tolist():
-        starts = at[~links & (size == g)]
+    crowded = (size > RUN) | (element[at] == long_run if long_run is not None else False)
+    if crowded.any():
+        rows = ragged.take(at[crowded], size[crowded])
+        yield _members(element[rows], sid[rows], n[rows])
+    for g in np.unique(size[~crowded & (size > 1)]).tolist():
+        starts = at[~crowded & (size == g)]
         i, j = np.triu_indices(g, 1)
-        step = max(1, 500_000 // len(i))
+        step = max(1, 200_000 // len(i))
         for k in range(0, len(starts), step):
             x, y = ((starts[k : k + step, None] + own).ravel() for own in (i, j))
             least = np.minimum(need[x], need[y])
@@ -263,102 +285,154 @@ def _pairs(cols: list[np.ndarray], long_run: int | None, join: Join) -> Iterator
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[x], sid[y])), pa.array(np.maximum(sid[x], sid[y])), pa.array(least)], names=["a", "b", "need"])
 
 
+def may_link(join: Join) -> blocks.Near:
+    """Which sets lengths and bitmaps allow to link; a payload is the length in 8 bytes, and the bitmap."""
+
+    def near(payloads: list[bytes]):
+        size = np.array([int.from_bytes(p[:8], "little") for p in payloads], dtype=np.int64)
+        bits = [np.frombuffer(p, dtype=np.uint64, offset=8) for p in payloads]
+        width = min(map(len, bits))
+        table = np.stack([folded(b, width) for b in bits])
+
+        def compare(x: int, others: np.ndarray) -> np.ndarray:
+            others = others[np.minimum(size[others], size[x]) * join.of >= np.maximum(size[others], size[x]) * join.share]
+            differ = np.bitwise_count(table[others] ^ table[x]).sum(axis=1, dtype=np.int64)
+            # At a Jaccard similarity of t the symmetric difference is at most (1 - t) / (1 + t) of both lengths.
+            return others[differ * (join.of + join.share) <= (size[others] + size[x]) * (join.of - join.share)]
+
+        return compare
+
+    return near
+
+
+def _crowds(met: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """Candidate links (a, b) within the long runs."""
+    members = met.where(F.col("need") < 0).select("a", "b", (-F.col("need")).alias("n")).distinct()
+    # Of a length class and the next one all pairs may link; rows of shorter sets come to both.
+    step = F.floor(F.log("n") / float(np.log(join.of / join.share)) + 1e-9).cast("int") if join.share < join.of else F.col("n")
+    place = F.explode(F.array(step, step + 1))
+    members = members.withColumn("c", place).select(F.xxhash64("b", "c").alias("g"), F.col("a").alias("node"), (8 + F.greatest(F.lit(8), F.col("n") / 2)).cast("long").alias("size"))
+    stash = Stash(met.sparkSession)
+    members, path = stash.save(members, "crowds")
+    if members.isEmpty():
+        stash.drop(path)
+        return met.sparkSession.createDataFrame([], "a long, b long")
+    known = sets.where(F.col("n") > 0).join(members.select(F.col("node").alias("sid")).distinct(), "sid", "left_semi")
+    head = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright("n", 8 * k).bitwiseAND(255)), 2, "0") for k in range(8)]))
+    known = known.groupBy("sid", "more").agg(F.first(F.concat(head, "bits")).alias("payload"))
+    known, _ = stash.save(known.select(F.col("sid").alias("node"), "payload"), "bitmaps")
+    found = blocks.link_groups(members, lambda rows: skew_join(rows, known, ["node"]), may_link(join), CROWD)
+    stash.drop(path)
+    return found
+
+
 # -- verification -----------------------------------------------------------------------------------------
 
 
-def linked(sets: list[np.ndarray], join: Join) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets, by exact intersections; sets linked already aren't compared again."""
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, dtype=np.int64)
-    start = ragged.offsets(size)
-    mark = np.zeros(int(flat.max()) + 1 if len(flat) else 0, dtype=np.int32)
-    left = np.flatnonzero(size)  # not reached yet
-    out, queue = [], []
-    while len(left):
-        if not queue:
-            queue.append(int(left[0]))
-            left = left[1:]
-        x = queue.pop()
-        near = (np.minimum(size[left], size[x]) * join.of >= np.maximum(size[left], size[x]) * join.share)
-        others = left[near]
-        if not len(others):
-            continue
-        own = flat[start[x] : start[x + 1]]
-        mark[own] = 1
-        hits = np.add.reduceat(mark[flat[ragged.take(start[others], size[others])]], ragged.offsets(size[others])[:-1]).astype(np.int64)
-        mark[own] = 0
-        found = others[hits * join.of >= join.share * (size[others] + size[x] - hits)]
-        if len(found):
-            out += [(x, int(y)) for y in found]
-            queue += found.tolist()
-            left = np.setdiff1d(left, found, assume_unique=True)
-    return out
-
-
-def _verify(tasks: DataFrame, join: Join) -> DataFrame:
-    """Links (a, b) of documents, from rows (comp, i, j, doc_id, elements) sorted by task."""
-
-    def close(rows: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
-        own = dict(rows)
-        ids = sorted(own)
-        return [(ids[x], ids[y]) for x, y in linked([np.frombuffer(own[d], dtype=np.uint64) for d in ids], join)]
+def linked(join: Join) -> blocks.Near:
+    """Which sets link, by exact intersections."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for batch in batches:
-            found = []
-            for comp, i, j, doc, elements in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
-                if (comp, i, j) != now:
-                    found += close(rows)
-                    now, rows = (comp, i, j), []
-                rows.append((doc, elements))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
-        if found := close(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+    def near(payloads: list[bytes]):
+        sets = [np.frombuffer(p, dtype=np.uint64) for p in payloads]
+        size = np.array([len(s) for s in sets], dtype=np.int64)
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        start = ragged.offsets(size)
+        mark = np.zeros(len(flat), dtype=np.int32)
+
+        def compare(x: int, others: np.ndarray) -> np.ndarray:
+            others = others[np.minimum(size[others], size[x]) * join.of >= np.maximum(size[others], size[x]) * join.share]
+            if not len(others):
+                return others
+            own = flat[start[x] : start[x + 1]]
+            mark[own] = 1
+            hits = np.add.reduceat(mark[flat[ragged.take(start[others], size[others])]], ragged.offsets(size[others])[:-1]).astype(np.int64)
+            mark[own] = 0
+            return others[hits * join.of >= join.share * (size[others] + size[x] - hits)]
 
-    return tasks.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(run, "a long, b long")
+        return compare
 
+    return near
 
-def _elements(docs: DataFrame, join: Join) -> DataFrame:
-    """Rows (doc_id, sid, text, comp, blocks, block) with the set in place of the text, where the text is of that set."""
+
+def _elements(docs: DataFrame, wanted: filters.Sieve, join: Join) -> DataFrame:
+    """(sid, more, payload) of the documents whose id may be wanted: each set once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for part in ragged.slices(batch, "text"):
-                sets = [shingles(t, join.words) for t in ragged.texts(part, "text")]
-                same = pa.array([set_id(s) == k for s, k in zip(sets, part.column("sid").to_pylist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "comp", "blocks", "block")] + [pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "comp", "blocks", "block", "elements"]).filter(same)
+            batch = batch.filter(wanted.passes(batch.column("doc_id")))
+            for part in ragged.slices(batch, "text") if batch.num_rows else ():
+                sets = {}
+                for text in ragged.texts(part, "text"):
+                    own = shingles(text, join.words)
+                    if len(own) and (sid := set_id(own)) not in seen:
+                        seen.add(sid)
+                        sets[sid] = own.tobytes()
+                if sets:
+                    sid, more = (pa.array(x, pa.int64()) for x in zip(*sets, strict=True))
+                    yield pa.RecordBatch.from_arrays([sid, more, pa.array(list(sets.values()), pa.binary())], names=["sid", "more", "payload"])
 
-    return docs.mapInArrow(run, "doc_id long, comp long, blocks int, block int, elements binary")
+    return docs.mapInArrow(run, "sid long, more long, payload binary")
 
 
 def classes(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document: doc_id, n_shingles (set size) and component_id (the smallest id reachable by links, itself included)."""
+    found = class_nodes(docs, join, doc_id, text)
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def class_nodes(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each document: doc_id, n, its set (sid, more), a hash of its text (mark), and its class: ``component`` (the smallest id) and ``class`` (a number
+    that all documents of a class share); both are null where the documents of no other set, and no other one with an id, are in it."""
     stash = Stash(docs.sparkSession)
     use = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    both, _ = stash.save(_sets_and_sketch(use, join), "sets")
-    nodes = both.where(F.col("part").isNull()).select("doc_id", "n", "sid")
+    both, _ = stash.save(_sets_and_sketch(use.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit("")))), join), "sets")
+    rows = both.where(F.col("part").isNull()).select("doc_id", "n", "sid", "more", "mark", "bits")
+    nodes = rows.drop("bits")
     counters = _sketch(both.where(F.col("part").isNotNull()))
     met, met_path = stash.save(_meet(_prefixes(use, join, counters), join), "met")
     pairs = met.where(F.col("need") > 0).groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.col("need")).select("a", "b")
-    candidates = components(pairs.unionByName(met.where(F.col("need") == 0).select("a", "b")))
+    candidates = components(pairs.unionByName(_crowds(met, rows, join)))
     stash.drop(met_path)
-    # The smallest id of each set stands for it.
-    sets = nodes.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    members = candidates.select(F.col("node").alias("sid"), F.col("root").alias("comp")).unionByName(candidates.select(F.col("root").alias("sid"), F.col("root").alias("comp")).distinct())
-    involved, involved_path = stash.save(sets.join(members, "sid").select("sid", "rep", "n", "comp"), "involved")
-    sizes = involved.groupBy("comp").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
-    sizes = sizes.select("comp", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-    placed, placed_path = stash.save(skew_join(involved, sizes, ["comp"]).select(F.col("rep").alias("doc_id"), "sid", "comp", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block")), "placed")
-    maybe = filters.build(placed, "doc_id")
-    whole = _elements(use.where(maybe("doc_id")).join(placed, "doc_id").select("doc_id", "sid", "text", "comp", "blocks", "block"), join)
-    partner = F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0))))
-    tasks = whole.withColumn("_o", partner).where((F.col("blocks") == 1) | (F.col("_o") != F.col("block")))
-    tasks = tasks.select("comp", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "doc_id", "elements")
-    roots = components(_verify(tasks, join))
-    stash.drop(involved_path)
-    stash.drop(placed_path)
-    named = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").where((F.col("copies") > 1) | F.col("root").isNotNull())
-    named = named.select("sid", F.coalesce("root", "rep").alias("_component"))
-    return skew_join(nodes, named, ["sid"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
+    # Each set has a number of its own; the smallest id of its documents finds its text again.
+    sets = nodes.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("sid", "more").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    members = candidates.select(F.col("node").alias("sid"), F.col("root").alias("g")).unionByName(candidates.select(F.col("root").alias("sid"), F.col("root").alias("g")).distinct())
+    sets, sets_path = stash.save(sets.join(members, "sid", "left").where((F.col("copies") > 1) | F.col("g").isNotNull()).withColumn("node", F.monotonically_increasing_id()), "classes")
+    involved = sets.where(F.col("g").isNotNull())
+
+    def load(rows: DataFrame) -> DataFrame:
+        whole = _elements(use, filters.sieve(rows.join(involved.select("node", "rep"), "node"), "rep"), join)
+        named = whole.join(involved.select("sid", "more", "node"), ["sid", "more"]).select("node", "payload")
+        return skew_join(rows, named, ["node"])
+
+    links = blocks.link_groups(involved.select("g", "node", F.col("n").alias("size")), load, linked(join), BLOCK)
+    roots = components(links)
+    named, _ = stash.save(sets.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).where((F.col("copies") > 1) | F.col("root").isNotNull() | F.col("g").isNotNull()), "named")
+    least = named.groupBy("class").agg(F.min("rep").alias("component"))
+    named = skew_join(named.select("sid", "more", "class"), least, ["class"])
+    stash.drop(sets_path)
+    return skew_join(nodes, named, ["sid", "more"], "left").select("doc_id", "n", "sid", "more", "mark", "component", "class")
+
+
+def one_of_each_class(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each class of linked documents: the one with the smallest id, nulls last.
+
+    Of several rows with that id the one with the smallest fingerprint of its set and text stays, of rows that agree in
+    these too the one that is least in all its columns, once. Documents without words are in no class and all stay."""
+    stash = Stash(docs.sparkSession)
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    key = ["alone", "k", "l"]  # a class, or else a set
+    alone = F.col("class").isNull()
+    found = class_nodes(docs, join, doc_id, text).where("n > 0").select(alone.alias("alone"), F.coalesce("class", "sid").alias("k"), F.when(alone, F.col("more")).otherwise(0).alias("l"), F.col("doc_id").isNull().alias("x"), F.coalesce("doc_id", F.lit(0)).alias("d"), "sid", "more", "mark")
+    found, _ = stash.save(found, "found")
+    rows = found.groupBy(*key, "x", "d", "sid", "more", "mark").agg(F.count(F.lit(1)).alias("c"))
+    first = found.groupBy(*key).agg(F.min(F.struct("x", "d", "sid", "more", "mark")).alias("first"))
+    fate = skew_join(rows, first, key).withColumn("stays", F.struct("x", "d", "sid", "more", "mark") == F.col("first"))
+    fate, _ = stash.save(fate.where(~F.col("stays") | (F.col("c") > 1)).select("x", "d", "mark", "stays"), "fate")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).isNull().alias("x"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("d"), mark.alias("mark"))
+    kept = whole.join(fate, ["x", "d", "mark"], "left_anti").select("row.*")
+    repeated = fate.where("stays")
+    if repeated.isEmpty():
+        return kept
+    again = whole.join(repeated, ["x", "d", "mark"]).groupBy("x", "d", "mark").agg(F.min("row").alias("row"))
+    return kept.unionByName(again.select("row.*"))
