@@ -22,8 +22,8 @@ Equal sets are one node from the start (each map task emits a set once), so copi
 identified by 128 bits of fingerprint; the 64 bits by which prefixes meet only bring candidates together.
 
 Null and empty texts have no words: their sets are empty and link with nothing. With fewer than n words the whole
-sequence is the one element. Rows with a null id get their class's component, if another row of the same set has an
-id, and link to nothing else. Repeated rows have rows of their own; an id repeated with other texts stands for each of
+sequence is the one element. Rows with a null id link like others but give a class no id: where no row of a class has
+one, its component is null. Repeated rows have rows of their own; an id repeated with other texts stands for each of
 its sets, which aren't linked by sharing it, and a class may have the smallest id of several. Texts of any length are
 hashed whole. Ties don't occur: a class has one smallest id. An empty table gives an empty result. Other columns don't
 matter, whatever their names.
@@ -37,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -355,12 +356,12 @@ def linked(join: Join) -> blocks.Near:
 
 
 def _elements(docs: DataFrame, wanted: filters.Sieve, join: Join) -> DataFrame:
-    """(sid, more, payload) of the documents whose id may be wanted: each set once in a task."""
+    """(sid, more, payload) of the documents whose id may be wanted or is null: each set once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            batch = batch.filter(wanted.passes(batch.column("doc_id")))
+            batch = batch.filter(pc.or_(wanted.passes(batch.column("doc_id")), batch.column("doc_id").is_null()))
             for part in ragged.slices(batch, "text") if batch.num_rows else ():
                 sets = {}
                 for text in ragged.texts(part, "text"):
@@ -383,7 +384,7 @@ def classes(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text:
 
 def class_nodes(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document: doc_id, n, its set (sid, more), a hash of its text (mark), and its class: ``component`` (the smallest id) and ``class`` (a number
-    that all documents of a class share); both are null where the documents of no other set, and no other one with an id, are in it."""
+    that all documents of a class share), both null for a document that is linked with no other."""
     stash = Stash(docs.sparkSession)
     use = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     both, _ = stash.save(_sets_and_sketch(use.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit("")))), join), "sets")
@@ -395,7 +396,7 @@ def class_nodes(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", te
     candidates = components(pairs.unionByName(_crowds(met, rows, join)))
     stash.drop(met_path)
     # Each set has a number of its own; the smallest id of its documents finds its text again.
-    sets = nodes.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("sid", "more").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    sets = nodes.where(F.col("n") > 0).groupBy("sid", "more").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     members = candidates.select(F.col("node").alias("sid"), F.col("root").alias("g")).unionByName(candidates.select(F.col("root").alias("sid"), F.col("root").alias("g")).distinct())
     sets, sets_path = stash.save(sets.join(members, "sid", "left").where((F.col("copies") > 1) | F.col("g").isNotNull()).withColumn("node", F.monotonically_increasing_id()), "classes")
     involved = sets.where(F.col("g").isNotNull())

@@ -29,7 +29,7 @@ def brute_by_set(rows, join):
 
 @pytest.mark.parametrize("order", range(4))
 def test_an_id_repeated_with_other_texts(spark, order):
-    rows = [(1, numbers(1, 58)), (1, numbers(1, 55)), (5, numbers(1, 61)), (1, "something else " + numbers(100, 130)), (7, numbers(100, 130) + " something else"), (None, numbers(1, 58)), (9, None), (9, "")]
+    rows = [(1, numbers(1, 58)), (1, numbers(1, 55)), (5, numbers(1, 61)), (1, "something else " + numbers(100, 130)), (7, numbers(100, 130) + " something else"), (None, numbers(1, 58)), (None, numbers(2, 61)), (None, numbers(200, 260)), (None, numbers(200, 261)), (9, None), (9, "")]
     random.Random(order).shuffle(rows)
     found = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1 + order % 2), Join(3, 90, 100))
     assert sorted(map(tuple, found.collect()), key=repr) == brute_by_set(rows, Join(3, 90, 100))
