@@ -23,8 +23,8 @@ def at_least_one(qty: Column) -> Column:
 
 
 def gift_percent(cart: Column, threshold: Column) -> Column:
-    """MA1"""
-    return F.least(F.lit(100).cast("decimal(20,6)"), (cart / threshold * 100).cast("decimal(20,6)"))
+    """MA1: per cent of the threshold, 100 at most; decimal for decimals."""
+    return F.least(F.lit(100), cart / threshold * 100)
 
 
 def gift_left(cart: Column, threshold: Column) -> Column:
@@ -51,6 +51,11 @@ def sku_score(in_stock: Column, margin: Column, volume: Column) -> Column:
     return in_stock.cast("int").cast("double") * margin * volume
 
 
+def worth_listing(in_stock: Column, margin: Column, volume: Column, least_margin: float, least_volume: float) -> Column:
+    """FL31: the gate of three parts: in stock, a margin above the least, a volume not below it; what isn't known fails."""
+    return in_stock & (margin > least_margin) & (volume >= least_volume)
+
+
 def scroll_percent(y: Column, height: Column) -> Column:
     """MA9: a page that can't scroll is read to its end."""
     return F.when(height > 0, y.cast("double") / height * 100).otherwise(100.0)

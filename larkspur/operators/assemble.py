@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.lists import join
 from larkspur.functions.text import template
 from larkspur.operators.aggregates import ordered_text
-from larkspur.operators.joins import small, strict_lookup, with_each
+from larkspur.operators.joins import strict_lookup, with_each
 
 
 @dataclass(frozen=True)
@@ -33,6 +33,9 @@ class Site:
     hub_card: str = '<a href="/{root}/{slug}/">{name} ({abbr}): {tagline}</a>'
     hub_row: str = '<tr><th>{name}</th><td>{blade}</td><td class="{auto_cls}">{auto}</td><td class="{concealed_cls}">{concealed}</td><td class="{preemption_cls}">{preemption}</td></tr>'
     tabs: tuple[str, ...] = ("New Arrivals", "Best Sellers", "On Sale")
+    home: str = "Home"
+    hub: str = "By Region"
+    page: str = "{name}"
 
 
 def _fields(x: Column, *names: str) -> dict[str, Column]:
@@ -41,7 +44,7 @@ def _fields(x: Column, *names: str) -> dict[str, Column]:
 
 def product_cards(states: DataFrame, products: DataFrame, site: Site) -> DataFrame:
     """JN2 and AG2: (slug, cards) with a card of every product under each state's chip, in the products' order."""
-    pairs = with_each(states.select("slug", "chip"), products.select(F.struct("*").alias("p")))
+    pairs = with_each(products.select(F.struct("*").alias("p")), states.select("slug", "chip"))
     card = template(site.card, chip=F.col("chip"), **_fields(F.col("p"), "slug", "name", "brand", "blade", "steel", "rrp", "price"))
     return ordered_text(pairs.select("slug", F.col("p.ord").alias("ord"), card.alias("card")), ["slug"], ["ord"], "card", name="cards")
 
@@ -51,6 +54,15 @@ def brand_strip(brands: DataFrame, site: Site) -> DataFrame:
     return ordered_text(brands.select("ord", template(site.brand, slug=F.col("slug"), name=F.col("name")).alias("b")), [], ["ord"], "b", name="brands")
 
 
+def category_strips(states: DataFrame, counts: DataFrame | None, site: Site) -> DataFrame:
+    """JN4, AG1: (slug, _cats) with the categories of each page in their order, and how many products each has (0 if not counted)."""
+    cats = states.select("slug", F.posexplode("cats").alias("_o", "_x")).withColumn("_s", F.col("_x.slug"))
+    sized = cats.withColumn("_n", F.lit(0).cast("long")) if counts is None else cats.join(counts.select(F.col("slug").alias("_s"), F.col("n_products").cast("long").alias("_n")), "_s", "left")
+    x = F.col("_x")
+    item = template(site.category, **_fields(x, "slug", "img", "name"), count=F.coalesce("_n", F.lit(0)))
+    return ordered_text(sized.select("slug", "_o", item.alias("item")), ["slug"], ["_o"], "item", name="_cats")
+
+
 def sibling_lists(siblings: DataFrame, site: Site) -> DataFrame:
     """JN5: (slug, siblings) with all other states in the declared order."""
     pairs = with_each(siblings.select("slug"), siblings.select(F.col("ord").alias("_o"), F.col("slug").alias("_s"), F.col("name").alias("_n"))).where(F.col("slug") != F.col("_s"))
@@ -69,20 +81,16 @@ def tab_strip(site: Site) -> Column:
 def breadcrumb_json(site: Site, name: Column) -> Column:
     """M19: a BreadcrumbList, last item without a link."""
     item = lambda k, text, url: F.struct(F.lit("ListItem").alias("@type"), F.lit(k).alias("position"), text.alias("name"), url.alias("item"))
-    items = F.array(item(1, F.lit("Home"), F.lit(f"{site.url}/")), item(2, F.lit("Shop by State"), F.lit(f"{site.url}/{site.root}/")), item(3, name, F.lit(None).cast("string")))
+    items = F.array(item(1, F.lit(site.home), F.lit(f"{site.url}/")), item(2, F.lit(site.hub), F.lit(f"{site.url}/{site.root}/")), item(3, name, F.lit(None).cast("string")))
     return F.struct(F.lit("BreadcrumbList").alias("@type"), items.alias("itemListElement"))
 
 
 def state_pages(states: DataFrame, products: DataFrame, brands: DataFrame, siblings: DataFrame, counts: DataFrame | None = None, site: Site = Site()) -> DataFrame:
     """L1: (slug, html, json_ld) of every state. ``counts`` (slug, n_products) fills in the categories' sizes."""
-    sizes = F.create_map().cast("map<string,bigint>")
-    pages = states
-    if counts is not None:
-        sized = counts.agg(F.map_from_entries(F.collect_list(F.struct("slug", "n_products"))).alias("_sizes"))
-        pages, sizes = pages.crossJoin(F.broadcast(sized)), F.col("_sizes")
-    pages = pages.join(small(product_cards(states, products, site)), "slug", "left").join(small(sibling_lists(siblings, site)), "slug", "left").crossJoin(F.broadcast(brand_strip(brands, site)))
+    pages = states.join(category_strips(states, counts, site), "slug", "left").join(product_cards(states, products, site), "slug", "left")
+    pages = pages.join(sibling_lists(siblings, site), "slug", "left").crossJoin(brand_strip(brands, site))
     none = F.lit("")
-    cats = join(F.col("cats"), "", lambda x: template(site.category, **_fields(x, "slug", "img", "name"), count=F.coalesce(F.try_element_at(sizes, x["slug"]), F.lit(0))))
+    cats = F.coalesce("_cats", none)
     legal = join(F.col("legal"), "", lambda x: template(site.legal, **_fields(x, "label", "cls", "pill", "text")))
     sources = join(F.col("sources"), " &middot; ", lambda x: template(site.source, **_fields(x, "title", "url")))
     notice = F.when(F.length("notice") > 0, F.concat(F.lit("<aside>"), "notice", F.lit("</aside>"))).otherwise("")
@@ -90,7 +98,7 @@ def state_pages(states: DataFrame, products: DataFrame, brands: DataFrame, sibli
         F.lit("<h1>"), F.upper("h1"), F.lit("</h1><p>"), "hero", F.lit('</p><a href="/collections/'), F.col("tile.slug"), F.lit('/">'), F.col("tile.title"), F.lit("</a>"),
         F.coalesce("cards", none), tab_strip(site), cats, F.coalesce("brands", none), F.lit("<dl>"), legal, F.lit("</dl>"), notice, F.lit("<p>"), sources, F.lit("</p><ul>"), F.coalesce("siblings", none), F.lit("</ul>"),
     )
-    page = F.struct(F.lit("CollectionPage").alias("@type"), template("{url}/{root}/{slug}/#page", url=F.lit(site.url), root=F.lit(site.root), slug=F.col("slug")).alias("@id"), F.concat(F.lit("Knives in "), "name").alias("name"))
+    page = F.struct(F.lit("CollectionPage").alias("@type"), template("{url}/{root}/{slug}/#page", url=F.lit(site.url), root=F.lit(site.root), slug=F.col("slug")).alias("@id"), template(site.page, name=F.col("name")).alias("name"))
     ld = F.concat(F.lit('{"@context":"https://schema.org","@graph":['), F.to_json(page), F.lit(","), F.to_json(breadcrumb_json(site, F.col("name"))), F.lit("]}"))
     return pages.select("slug", html.alias("html"), ld.alias("json_ld"))
 
@@ -102,6 +110,6 @@ def hub_page(states: DataFrame, hub: DataFrame, siblings: DataFrame, site: Site
     row = template(site.hub_row, name=F.col("name"), blade=F.col("blade"), **{k: v for c in ("auto", "concealed", "preemption") for k, v in ((f"{c}_cls", F.col(c)["cls"]), (c, F.col(c)["text"]))})
     items = F.array_sort(F.collect_list(F.struct("ord", card.alias("card"), row.alias("row"), F.col("name").alias("name"), F.col("slug").alias("slug"))))
     one = rows.agg(items.alias("x"))
-    listed = F.transform("x", lambda x, i: F.struct(F.lit("ListItem").alias("@type"), (i + 1).alias("position"), F.concat(F.lit("Knives in "), x["name"]).alias("name"), F.concat(F.lit(f"{site.url}/{site.root}/"), x["slug"], F.lit("/")).alias("url")))
+    listed = F.transform("x", lambda x, i: F.struct(F.lit("ListItem").alias("@type"), (i + 1).alias("position"), template(site.page, name=x["name"]).alias("name"), F.concat(F.lit(f"{site.url}/{site.root}/"), x["slug"], F.lit("/")).alias("url")))
     ld = F.to_json(F.struct(F.lit("ItemList").alias("@type"), F.size("x").alias("numberOfItems"), listed.alias("itemListElement")))
     return one.select(F.concat(F.lit("<nav>"), join(F.col("x"), "", lambda x: x["card"]), F.lit("</nav><table>"), join(F.col("x"), "", lambda x: x["row"]), F.lit("</table>")).alias("html"), ld.alias("json_ld"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.dates import in_season
+
 #: Rows up to which a table counts as a small dimension.
 SMALL_ROWS = 10_000
 
@@ -40,8 +42,16 @@ def unnest(rows: DataFrame, column: str, *keep: str) -> DataFrame:
     return rows.select(*keep, F.posexplode(column).alias("_p", "_e")).select(*keep, (F.col("_p") + 1).cast("long").alias("position"), F.col("_e").alias("element"))
 
 
-def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """JN7: both directions in one pass: keys on one side only, and which."""
+def unalias(rows: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
+    """Keys by their proper names: ``aliases`` has (alias, ``key``), an alias once; other keys stay."""
+    proper = aliases.select(F.col("alias").alias(key), F.col(key).alias("_proper"))
+    return rows.join(small(proper), key, "left").withColumn(key, F.coalesce("_proper", key)).drop("_proper")
+
+
+def unmatched(left: DataFrame, right: DataFrame, key: str, aliases: DataFrame | None = None) -> DataFrame:
+    """JN7: both directions in one pass: keys on one side only, and which; by their proper names if there are aliases."""
+    if aliases is not None:
+        left, right = unalias(left.select(key).distinct(), aliases, key), unalias(right.select(key).distinct(), aliases, key)
     both = left.select(key).distinct().withColumn("_l", F.lit(1)).join(right.select(key).distinct().withColumn("_r", F.lit(1)), key, "full")
     return both.where(F.col("_l").isNull() | F.col("_r").isNull()).select(key, F.when(F.col("_l").isNull(), "right").otherwise("left").alias("only_in"))
 
@@ -59,16 +69,50 @@ def related(products: DataFrame, key: str, group: str, order: list[Column], most
 def similar(products: DataFrame, key: str, length: str, price: str, length_tolerance: int, price_tolerance: float, most: int = 4) -> DataFrame:
     """JN13: the nearest ``most`` others within both tolerances (least price gap, then length gap, then key).
 
-    A band join by buckets: the right side is copied to three neighbouring price buckets of one tolerance's width, and to three of lengths."""
-    band, size = F.floor(F.col(price) / price_tolerance), F.floor(F.col(length) / length_tolerance)
-    near = F.sequence(F.lit(-1), F.lit(1))
-    left = products.select(F.col(key), F.col(length).alias("_l"), F.col(price).alias("_p"), band.alias("_b"), size.alias("_s"))
-    right = products.select(F.col(key).alias(f"similar_{key}"), F.col(length).alias("_l2"), F.col(price).alias("_p2"), band.alias("_b0"), size.alias("_s0"))
-    right = right.withColumn("_d", F.explode(near)).withColumn("_e", F.explode(near)).select(f"similar_{key}", "_l2", "_p2", (F.col("_b0") + F.col("_d")).alias("_b"), (F.col("_s0") + F.col("_e")).alias("_s"))
-    gap_p, gap_l = F.abs(F.col("_p") - F.col("_p2")), F.abs(F.col("_l") - F.col("_l2"))
-    pairs = left.join(right, ["_b", "_s"]).where((F.col(key) != F.col(f"similar_{key}")) & (gap_p <= price_tolerance) & (gap_l <= length_tolerance))
-    best = F.row_number().over(Window.partitionBy(key).orderBy(gap_p, gap_l, f"similar_{key}"))
-    return pairs.withColumn("rank", best.cast("long")).where(F.col("rank") <= most).select(key, f"similar_{key}", "rank")
+    Linear in the products, for a given number of lengths within the tolerance: products of one length are cut into price
+    buckets as wide as the tolerance, and a product takes a few candidates on either side from its own bucket (by its
+    place among their prices) and from the two beside it (the same few for all that look there), not all of a bucket."""
+    rows = products.select(F.col(key).alias("k"), F.col(length).alias("l"), F.col(price).alias("p")).where("k is not null and l is not null and p is not null").withColumn("b", F.floor(F.col("p") / price_tolerance))
+    sizes = rows.select("l").distinct().withColumn("s", F.floor(F.col("l") / length_tolerance))
+    beside = F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1))
+    lengths = sizes.withColumn("s", beside).join(sizes.withColumnRenamed("l", "at"), "s").where(F.abs(F.col("l") - F.col("at")) <= length_tolerance).select("l", "at")
+    probes = rows.join(lengths, "l").select("k", "l", "p", "b", "at")
+    ends = _ends(rows, most)
+    below = probes.join(ends.select("at", (F.col("b") + 1).alias("b"), F.col("dearest").alias("xs")), ["at", "b"])
+    above = probes.join(ends.select("at", (F.col("b") - 1).alias("b"), F.col("cheapest").alias("xs")), ["at", "b"])
+    far = below.unionByName(above).select("k", "l", "p", "at", F.explode("xs").alias("x")).select("k", "l", "p", "at", F.col("x.k").alias("k2"), F.col("x.p").alias("p2"))
+    # In the own bucket: how many are cheaper, then the ranks next to that place.
+    both = probes.select("at", "b", "p", F.lit(0).alias("i"), "k", "l").unionByName(rows.select(F.col("l").alias("at"), "b", "p", F.lit(1).alias("i"), F.lit(None).cast(rows.schema["k"].dataType).alias("k"), "l"))
+    cheaper = F.sum("i").over(Window.partitionBy("at", "b").orderBy("p", "i").rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("c", cheaper).where("i = 0")
+    group = Window.partitionBy("at", "b")
+    ranked = rows.select(F.col("l").alias("at"), "b", F.col("k").alias("k2"), F.col("p").alias("p2"))
+    ranked = ranked.withColumn("down", F.row_number().over(group.orderBy("p2", F.desc("k2")))).withColumn("up", F.row_number().over(group.orderBy("p2", "k2")))
+    lower = placed.withColumn("down", F.explode(F.sequence(F.col("c") - (most - 1), F.col("c")))).join(ranked.drop("up"), ["at", "b", "down"])
+    upper = placed.withColumn("up", F.explode(F.sequence(F.col("c") + 1, F.col("c") + most + 1))).join(ranked.drop("down"), ["at", "b", "up"])
+    columns = ["k", "l", "p", "at", "k2", "p2"]
+    gap_p, gap_l = F.abs(F.col("p") - F.col("p2")), F.abs(F.col("l") - F.col("at"))
+    pairs = far.select(columns).unionByName(lower.select(columns)).unionByName(upper.select(columns)).where((F.col("k") != F.col("k2")) & (gap_p <= price_tolerance))
+    best = F.row_number().over(Window.partitionBy("k").orderBy(gap_p, gap_l, "k2"))
+    return pairs.withColumn("rank", best.cast("long")).where(F.col("rank") <= most).select(F.col("k").alias(key), F.col("k2").alias(f"similar_{key}"), "rank")
+
+
+def _ends(rows: DataFrame, most: int) -> DataFrame:
+    """For each length and price bucket the ``most`` dearest and the ``most`` cheapest products, cut before anything is gathered."""
+    group = Window.partitionBy("l", "b")
+    out = []
+    for name, order in (("dearest", F.desc("p")), ("cheapest", F.asc("p"))):
+        top = rows.withColumn("r", F.row_number().over(group.orderBy(order, "k"))).where(F.col("r") <= most)
+        out.append(top.groupBy(F.col("l").alias("at"), "b").agg(F.collect_list(F.struct("k", "p")).alias(name)))
+    return out[0].join(out[1], ["at", "b"])
+
+
+def open_seasons(rows: DataFrame, seasons: DataFrame, state: str, day: str) -> DataFrame:
+    """DT9 on a table: every row with each of its state's seasons (state, zone, weapon, open, close) that is open on its day.
+
+    A state may have any number of windows, an open end among them (no ``close``); rows outside all of them have none."""
+    windows = seasons.select(F.col("state").alias(state), "zone", "weapon", F.col("open").alias("_open"), F.col("close").alias("_close"))
+    return rows.join(small(windows), state).where(in_season(F.col(day), F.col("_open"), F.col("_close"))).drop("_open", "_close")
 
 
 def breadcrumbs(products: DataFrame, brands: DataFrame, categories: DataFrame, brand: str, category: str) -> DataFrame:

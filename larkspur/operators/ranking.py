@@ -44,6 +44,19 @@ def against_targets(metrics: DataFrame, targets: DataFrame, key: str = "metric")
     return metrics.join(targets, key).withColumn("gap", F.col("target") - F.col("value")).withColumn("met", F.col("value") >= F.col("target"))
 
 
+#: Fixed values of the worklist: positions, the least impressions and the click rate below which a title is worth a rewrite.
+POSITIONS, IMPRESSIONS, CLICK_RATE = (5, 20), 50, 0.015
+
+
+def worklist(pages: DataFrame, positions: tuple[float, float] = POSITIONS, impressions: int | None = IMPRESSIONS, rate: float = CLICK_RATE) -> DataFrame:
+    """FL22, OR4: pages that rank within ``positions`` (both ends included) and are seen but hardly clicked.
+
+    ``pages`` has position, impressions and clicks. ``impressions`` must be exceeded; with None they don't count. A page
+    without impressions has no click rate and is left out, as is one whose position isn't known."""
+    found = F.col("position").between(*positions) & (F.col("clicks") / F.nullif(F.col("impressions"), F.lit(0)) < rate)
+    return pages.where(found if impressions is None else found & (F.col("impressions") > impressions))
+
+
 def photos_first(reviews: DataFrame, order: list[Column], images: str = "images") -> DataFrame:
     """OR8"""
     return reviews.orderBy((F.size(F.coalesce(images, F.array())) > 0).desc(), *order)

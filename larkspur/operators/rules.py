@@ -31,7 +31,7 @@ class Rule:
 
 @dataclass(frozen=True)
 class In(Rule):
-    """FL3 to FL5, FL13, FL14, FL18 to FL21"""
+    """FL3 to FL5, FL10, FL11, FL13, FL14, FL18 to FL21"""
 
     attribute: str
     values: tuple
@@ -82,7 +82,7 @@ class Bound(Rule):
 
 @dataclass(frozen=True)
 class All(Rule):
-    """FL6, and with no parts FL10 and FL11: everything."""
+    """FL6, and with no parts: everything."""
 
     parts: tuple[Rule, ...] = ()
 
@@ -131,6 +131,9 @@ def _term(text: str) -> Rule:
     return NotIn(attribute, values) if op == "NOT" else In(attribute, values)
 
 
+#: The attribute that tells knives from the rest of the catalogue: "All knives" leaves sharpeners and lights out.
+KNIFE = "is_knife"
+
 #: Cells that stand for a hand-kept list, by how they begin.
 CURATED_CELLS = ("Curated", "Existing category", "Gut hooks")
 
@@ -139,7 +142,7 @@ def parse(cell: str, slug: str = "") -> Rule:
     """A rule from one of the enumerated shapes of a cell; anything else is an error."""
     cell = cell.strip()
     if re.match(r"All knives\b", cell):
-        return All()
+        return In(KNIFE, (True,))
     if cell.startswith(CURATED_CELLS):
         return Curated(slug)
     parts = tuple(_term(t) for t in re.split(r"\bAND\b", cell))
@@ -150,4 +153,24 @@ def membership(products: DataFrame, rules: dict[str, Rule], key: str, curated: D
     """JN6: (slug, key) of every product in every collection, in one scan whatever the number of rules."""
     found = F.array_compact(F.array(*[F.when(rule.condition(), F.lit(name)) for name, rule in rules.items() if not isinstance(rule, Curated)]))
     out = products.select(F.explode(found).alias(slug), F.col(key))
-    return out if curated is None else out.unionByName(curated.select(slug, key)).distinct()
+    return out if curated is None else out.unionByName(curated.select(slug, key).distinct())
+
+
+#: What a state's pages must never show.
+AUTOMATIC = In("opening", ("automatic", "OTF"))
+BANS: dict[str, Rule] = {
+    "CA": AUTOMATIC,
+    "NY": AUTOMATIC,
+    "IL": AUTOMATIC,
+    "MI": Any((In("edge_count", ("double",)), In("blade_shape", ("dagger", "stiletto", "dirk")))),
+}
+
+
+def violations(shown: DataFrame, bans: dict[str, Rule] = BANS, state: str = "state") -> DataFrame:
+    """JN9: rows (a state, and the attributes of a product that its pages show) that the state's ban holds for; none may be left.
+
+    One pass, whatever the number of states. An attribute that isn't known breaks no ban: the feed's validation reports it."""
+    hit = F.lit(False)
+    for name, rule in bans.items():
+        hit = F.when(F.col(state) == name, rule.column()).otherwise(hit)
+    return shown.where(hit)

@@ -1,5 +1,6 @@
 """Scans, sinks, facets and collections over ``part``, which stands for the product table:
-brand = p_brand, opening = p_type, blade length in inches = p_size / 10, price = p_retailprice."""
+brand = p_brand, opening = p_type, blade length in inches = p_size / 10, price = p_retailprice; ECONOMY parts are no knives.
+Steel, lock, handle, shape, edges and way of opening follow from the size and are unknown for some."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import lists, numbers, text
-from larkspur.operators import aggregates, rules
+from larkspur.operators import aggregates, joins, rules
 from larkspur.plans.registry import Tables, query
 from larkspur.sources import sinks, tables
 from larkspur.sources.scratch import scratch
@@ -21,12 +22,32 @@ def products(t: Tables) -> DataFrame:
     return t.part.select(
         F.col("p_partkey").alias("sku"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("opening"),
         (F.col("p_size") / 10).cast("decimal(5,2)").alias("blade_length"), "p_size", F.col("p_retailprice").cast("decimal(10,2)").alias("price"),
+        (F.col("p_type") != "ECONOMY").alias(rules.KNIFE),
     )
 
 
+#: Attributes by the size modulo some number; the places left out are unknown.
+ATTRIBUTES = {
+    "steel": (4, {0: "D2", 1: "S30V", 3: "8Cr13MoV"}),
+    "lock": (5, {0: "liner", 1: "frame", 3: "lockback", 4: "lockback"}),
+    "handle": (3, {0: "G10", 2: "wood"}),
+    "blade_shape": (7, {0: "tanto", 2: "dagger", 3: "drop point", 4: "drop point", 5: "clip point", 6: "clip point"}),
+    "edge_count": (6, {0: "double", 1: "single", 2: "single", 3: "single", 4: "double"}),
+    "way": (8, {0: "automatic", 1: "OTF", 2: "manual", 3: "manual", 4: "assisted", 5: "assisted"}),
+}
+_ATTRIBUTE_SQL = ", ".join(f"CASE p_size % {k} {' '.join(f"WHEN {i} THEN '{v}'" for i, v in of.items())} END AS {c}" for c, (k, of) in ATTRIBUTES.items())
+ATTRIBUTE_SQL = f"(SELECT p_partkey AS sku, CAST(p_retailprice AS DECIMAL(10,2)) AS price, {_ATTRIBUTE_SQL} FROM part) AS attributes"
+
+
+def attributes(t: Tables) -> DataFrame:
+    known = {c: F.try_element_at(F.create_map(*[F.lit(x) for i, v in of.items() for x in (i, v)]), (F.col("p_size") % k).cast("int")) for c, (k, of) in ATTRIBUTES.items()}
+    return t.part.select(F.col("p_partkey").alias("sku"), F.col("p_retailprice").cast("decimal(10,2)").alias("price"), *[v.alias(c) for c, v in known.items()])
+
+
 #: Collections of the analogue catalogue: one for each shape that a rule can have.
 RULES: dict[str, rules.Rule] = {
-    "all": rules.parse("All knives"),
+    "all": rules.All(),
+    "knives": rules.parse("All knives"),
     "promo": rules.parse("opening = PROMO"),
     "promo-or-large": rules.parse("opening = PROMO OR LARGE"),
     "small-medium": rules.parse("opening = SMALL/MEDIUM"),
@@ -40,6 +61,7 @@ RULES: dict[str, rules.Rule] = {
 }
 RULE_SQL = {
     "all": "TRUE",
+    "knives": "p_type <> 'ECONOMY'",
     "promo": "p_type = 'PROMO'",
     "promo-or-large": "p_type IN ('PROMO', 'LARGE')",
     "small-medium": "p_type IN ('SMALL', 'MEDIUM')",
@@ -90,20 +112,28 @@ _facet("fl6_conjunction", rules.parse("opening = SMALL/MEDIUM AND brand = Brand#
 _facet("fl7_negated_set", rules.parse("brand = Brand#3 AND opening NOT LARGE/PROMO/STANDARD"), "brand = 'Brand#3' AND opening NOT IN ('LARGE', 'PROMO', 'STANDARD')")
 _facet("fl8_inclusive_bound", rules.parse("blade_length <= 1.2"), "blade_length <= 1.2")
 _facet("fl9_exclusive_bound", rules.parse("blade_length < 0.5"), "blade_length < 0.5")
-_facet("fl10_true_filter", rules.All((rules.NotIn("opening", ("ECONOMY",)),)), "opening <> 'ECONOMY'")
-_facet("fl11_all_but_unknown_attribute", rules.parse("All knives (exclude ballistic)"), "TRUE")
+_facet("fl10_true_filter", rules.parse("All knives"), "opening <> 'ECONOMY'")
+_facet("fl11_all_but_unknown_attribute", rules.parse("All knives (exclude ballistic)"), "opening <> 'ECONOMY'")
 _facet("fl13_brand", rules.In("brand", ("Brand#7",)), "brand = 'Brand#7'")
-_facet("fl14_facet_value", rules.In("opening", ("STANDARD",)), "opening = 'STANDARD'")
 _facet("fl15_price_under", rules.Bound("price", high=Decimal(950)), "price < 950")
 _facet("fl17_length_between", rules.Bound("blade_length", low=Decimal(3), high=Decimal(4), high_included=True), "blade_length BETWEEN 3 AND 4")
 _facet("fl17_length_over", rules.Bound("blade_length", low=Decimal(4), low_included=False), "blade_length > 4")
-_facet("fl18_lock", rules.In("name", ("red widget",)), "name = 'red widget'")
-_facet("fl19_handle", rules.In("name", ("blue bolt",)), "name = 'blue bolt'")
-_facet("fl20_shape", rules.In("opening", ("LARGE",)), "opening = 'LARGE'")
 _facet("fl21_opening_and_origin", rules.All((rules.In("opening", ("SMALL",)), rules.In("brand", ("Brand#1", "Brand#2")))), "opening = 'SMALL' AND brand IN ('Brand#1', 'Brand#2')")
 _facet("fl_any_of_rules", rules.Any((rules.parse("blade_length < 0.3"), rules.In("brand", ("Brand#9",)))), "blade_length < 0.3 OR brand = 'Brand#9'")
 
 
+def _attribute_facet(name: str, rule: rules.Rule, where: str) -> None:
+    @query(name, f"SELECT sku, price::DOUBLE AS price FROM {ATTRIBUTE_SQL} WHERE {where}")
+    def facet(t: Tables, rule: rules.Rule = rule) -> DataFrame:
+        return attributes(t).where(rule.condition()).select("sku", F.col("price").cast("double").alias("price"))
+
+
+_attribute_facet("fl14_facet_value", rules.parse("steel = D2/S30V"), "steel IN ('D2', 'S30V')")
+_attribute_facet("fl18_lock", rules.parse("lock = liner"), "lock = 'liner'")
+_attribute_facet("fl19_handle", rules.parse("handle NOT wood"), "handle <> 'wood'")
+_attribute_facet("fl20_shape", rules.parse("edge_count = single AND blade_shape NOT dagger/stiletto/dirk"), "edge_count = 'single' AND blade_shape NOT IN ('dagger', 'stiletto', 'dirk')")
+
+
 @query("fl12_curated_membership", "SELECT p_partkey AS sku FROM part WHERE p_partkey % 100 = 7")
 def curated_members(t: Tables) -> DataFrame:
     return products(t).join(curated(t).select("sku"), "sku", "left_semi").select("sku")
@@ -122,11 +152,25 @@ def cumulative(t: Tables) -> DataFrame:
 @query("jn9_compliance_violations", "SELECT n_name AS state, p_partkey AS sku FROM nation, part WHERE n_nationkey < 3 AND p_partkey % 7 = n_nationkey AND p_type = 'PROMO' ")
 def compliance(t: Tables) -> DataFrame:
     """Products linked from a state that doesn't ship them. Links: a product to the state of its key modulo 7."""
-    linked = t.part.join(F.broadcast(t.nation.where("n_nationkey < 7")), F.col("p_partkey") % 7 == F.col("n_nationkey"))
+    linked = t.part.join(joins.small(t.nation.where("n_nationkey < 7")), F.col("p_partkey") % 7 == F.col("n_nationkey"))
     banned = rules.All((rules.In("p_type", ("PROMO",)), rules.Bound("n_nationkey", high=Decimal(3))))
     return linked.where(banned.condition()).select(F.col("n_name").alias("state"), F.col("p_partkey").alias("sku"))
 
 
+STATES = {0: "CA", 1: "NY", 2: "IL", 3: "MI", 4: "TX", 5: "OH"}
+
+
+@query(
+    "jn9_banned_products",
+    f"SELECT state, sku FROM (SELECT sku, way AS opening, edge_count, blade_shape, CASE sku % 7 {' '.join(f"WHEN {k} THEN '{s}'" for k, s in STATES.items())} END AS state FROM {ATTRIBUTE_SQL}) "
+    "WHERE (state IN ('CA', 'NY', 'IL') AND opening IN ('automatic', 'OTF')) OR (state = 'MI' AND (edge_count = 'double' OR blade_shape IN ('dagger', 'stiletto', 'dirk')))",
+)
+def banned(t: Tables) -> DataFrame:
+    """Products shown by a state that bans them, by the written bans; each product is shown by one state at most."""
+    state = F.try_element_at(F.create_map(*[F.lit(x) for k, s in STATES.items() for x in (k, s)]), (F.col("sku") % 7).cast("int"))
+    return rules.violations(attributes(t).withColumnRenamed("way", "opening").withColumn("state", state)).select("state", "sku")
+
+
 @query("fl23_indexable_only", "SELECT p_brand AS slug FROM part GROUP BY p_brand HAVING count(*) > 75")
 def indexable(t: Tables) -> DataFrame:
     hubs = t.part.groupBy(F.col("p_brand").alias("slug")).agg((F.count(F.lit(1)) > 75).alias("indexable"))
@@ -141,11 +185,9 @@ def literal(t: Tables) -> DataFrame:
     return tables.literal(t.spark, "brands", [(1, "Alpha", "alpha"), (2, "Beta", "beta"), (3, "Gamma", "gamma")]).withColumn("ord", F.col("ord").cast("long"))
 
 
-@query("sc2_csv_scan", "SELECT p_brand AS slug, p_name || ', ' || p_type AS title, CASE WHEN p_size > 25 THEN 'opening' END AS attributes_needed, p_size::BIGINT AS build_priority FROM part WHERE p_partkey < 500")
+@query("sc2_csv_scan", "SELECT p_brand AS slug, p_name || ', ' || p_type AS title, CASE WHEN p_size > 25 THEN 'opening' END AS attributes_needed, p_size::BIGINT AS build_priority FROM part")
 def csv_scan(t: Tables) -> DataFrame:
-    """The whole table goes through the file; the SQL's range of keys is taken from what the scan reads."""
-    own = written_collections(t).where(F.col("notes").cast("long") < 500)
-    return own.select("slug", "title", "attributes_needed", F.col("build_priority").cast("long").alias("build_priority"))
+    return written_collections(t).select("slug", "title", "attributes_needed", F.col("build_priority").cast("long").alias("build_priority"))
 
 
 def written_collections(t: Tables) -> DataFrame:
@@ -159,10 +201,9 @@ def written_collections(t: Tables) -> DataFrame:
     return tables.state_collections(t.spark, path)
 
 
-@query("sc3_csv_flags", "SELECT p_partkey::VARCHAR AS slug, p_size > 10 AS indexable FROM part WHERE p_partkey < 300")
+@query("sc3_csv_flags", "SELECT p_partkey::VARCHAR AS slug, p_size > 10 AS indexable FROM part")
 def csv_flags(t: Tables) -> DataFrame:
-    """The whole table goes through the file; the SQL's range of keys is taken from what the scan reads."""
-    return written_flags(t).where(F.col("slug").cast("long") < 300)
+    return written_flags(t)
 
 
 def written_flags(t: Tables) -> DataFrame:
@@ -192,10 +233,9 @@ def attribute_default(t: Tables) -> DataFrame:
     return t.events.select("event_id", numbers.parse_number(F.when(F.col("event_id") % 2 == 0, F.get_json_object("props", "$.k")), 75.0).alias("threshold"))
 
 
-@query("sc7_search_export", "SELECT p_partkey::VARCHAR AS url, p_retailprice / 50 AS position, (p_size * 10)::BIGINT AS impressions, p_size::BIGINT AS clicks FROM part WHERE p_partkey < 200")
+@query("sc7_search_export", "SELECT p_partkey::VARCHAR AS url, p_retailprice / 50 AS position, (p_size * 10)::BIGINT AS impressions, p_size::BIGINT AS clicks FROM part")
 def search_export(t: Tables) -> DataFrame:
-    """The whole table goes through the file; the SQL's range of keys is taken from what the scan reads."""
-    return written_search(t).where(F.col("url").cast("long") < 200)
+    return written_search(t)
 
 
 def written_search(t: Tables) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import dates, lists, numbers, text
+from larkspur.operators import joins
 from larkspur.plans.registry import Tables, query
 
 #: The opener against which delivery is judged, in the years of the order table.
@@ -91,12 +92,37 @@ def seasons(t: Tables) -> DataFrame:
     return _orders(t).select("o_orderkey", dates.yearly_season(F.col("day"), "09-26", "02-07").alias("open"), dates.in_season(F.col("day"), F.lit("1998-09-26").cast("date"), F.lit("1999-02-07").cast("date")).alias("that_year"))
 
 
+_WINDOWS = """
+SELECT n_name AS state, 'north' AS zone, 'archery' AS weapon, DATE '1998-09-26' + n_nationkey::INT AS open, DATE '1999-02-07' AS close FROM nation
+UNION ALL SELECT n_name, 'south', 'firearm', DATE '1998-11-21', DATE '1999-01-03' FROM nation WHERE n_nationkey % 2 = 0
+UNION ALL SELECT n_name, 'all', 'hog', DATE '1999-06-01', NULL FROM nation WHERE n_nationkey % 5 = 0
+"""
+
+
+@query(
+    "dt9_season_windows",
+    f"SELECT state, zone, weapon, count(*) AS n_orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN ({_WINDOWS}) w ON w.state = n_name AND CAST(o_orderdate AS DATE) >= w.open AND (w.close IS NULL OR CAST(o_orderdate AS DATE) <= w.close) GROUP BY 1, 2, 3",
+)
+def season_windows(t: Tables) -> DataFrame:
+    """Orders by the seasons open in the customer's state on their day: several windows a state, over New Year, and with an open end."""
+
+    def window(zone: str, weapon: str, opens: F.Column, close: str | None, where: str) -> DataFrame:
+        return t.nation.where(where).select(F.col("n_name").alias("state"), F.lit(zone).alias("zone"), F.lit(weapon).alias("weapon"), opens.alias("open"), F.lit(close).cast("date").alias("close"))
+
+    day = lambda text: F.lit(text).cast("date")
+    seasons = window("north", "archery", F.date_add(day("1998-09-26"), F.col("n_nationkey").cast("int")), "1999-02-07", "true")
+    seasons = seasons.unionByName(window("south", "firearm", day("1998-11-21"), "1999-01-03", "n_nationkey % 2 = 0")).unionByName(window("all", "hog", day("1999-06-01"), None, "n_nationkey % 5 = 0"))
+    customers = t.customer.join(joins.small(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("state"))
+    days = t.orders.select("o_custkey", F.col("o_orderdate").cast("date").alias("day")).join(customers, F.col("o_custkey") == F.col("c_custkey")).select("state", "day")
+    return joins.open_seasons(days, seasons, "state", "day").groupBy("state", "zone", "weapon").agg(F.count(F.lit(1)).alias("n_orders"))
+
+
 # -- money and scores ------------------------------------------------------------------------------------------
 
 
 @query("ma1_gift_percent", "SELECT o_orderkey, least(100.0, o_totalprice / 250000 * 100) AS pct FROM orders")
 def gift(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.least(F.lit(100.0), F.col("o_totalprice") / 250000 * 100).alias("pct"))
+    return t.orders.select("o_orderkey", numbers.gift_percent(F.col("o_totalprice"), F.lit(250000)).alias("pct"))
 
 
 @query("ma2_gift_left", "SELECT o_orderkey, greatest(250000 - o_totalprice::DECIMAL(12,2), 0)::DOUBLE AS away, o_totalprice::DECIMAL(12,2) >= 250000 AS unlocked FROM orders")
@@ -148,7 +174,7 @@ def engagement(t: Tables) -> DataFrame:
 
 @query("fl31_scoring_gate", "SELECT p_partkey AS sku FROM part WHERE p_size % 3 > 0 AND p_retailprice > 905 AND p_size >= 10")
 def scoring_gate(t: Tables) -> DataFrame:
-    return t.part.where((F.col("p_size") % 3 > 0) & (F.col("p_retailprice") > 905) & (F.col("p_size") >= 10)).select(F.col("p_partkey").alias("sku"))
+    return t.part.where(numbers.worth_listing(F.col("p_size") % 3 > 0, F.col("p_retailprice"), F.col("p_size"), 905, 10)).select(F.col("p_partkey").alias("sku"))
 
 
 # -- text ------------------------------------------------------------------------------------------------------
@@ -249,8 +275,8 @@ def lookup(t: Tables) -> DataFrame:
 
 @query("mp1_map_items", "SELECT p_type AS key, count(*) AS n FROM part GROUP BY 1")
 def items(t: Tables) -> DataFrame:
-    counted = t.part.groupBy("p_type").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("p_type", "n"))).alias("m"))
-    return counted.select(F.explode("m").alias("key", "n"))
+    one = F.create_map("p_type", F.lit(1).cast("long"))
+    return t.part.select(F.explode(one).alias("key", "one")).groupBy("key").agg(F.sum("one").alias("n"))
 
 
 @query("js1_js2_json", "SELECT event_id, (props->>'$.k')::BIGINT AS k, '{\"id\":' || event_id || ',\"kind\":\"' || event_type || '\"}' AS doc FROM events")

@@ -1,4 +1,7 @@
-"""Histories of visitors over ``events``: views of items (``props.k``), page loads, popup actions. Each batch query is the twin of a stream."""
+"""Histories of visitors over ``events``: views of items (``props.k``), page loads, popup actions. Each batch query is the twin of a stream.
+
+Where a row depends on the visitor's earlier rows (windows by visitor), one visitor's rows are sorted in one task: a bot with a
+great share of all events should be filtered out before. Histories and first or last events are map-side combined instead."""
 
 from __future__ import annotations
 
@@ -68,6 +71,15 @@ def fire_once(t: Tables) -> DataFrame:
     return ms.join(first, "user_id").where((F.col("value") >= 15) & (F.col("ms") - F.col("first") >= 5000)).groupBy("user_id").agg(F.min("ms").alias("fired_ms"))
 
 
+@query("ss4_open_after_delay", "SELECT user_id, min((epoch_us(ts) // 1000)) + 5000 AS fired_ms FROM events GROUP BY user_id HAVING min((epoch_us(ts) // 1000)) + 5000 < (SELECT max((epoch_us(ts) // 1000)) - 3600000 FROM events)")
+def open_after_delay(t: Tables) -> DataFrame:
+    """When each visitor's popup opens if no scrolling is asked for: the delay after the first event, whether or not another one
+    comes; as far as the time that has certainly passed (the latest event less an hour)."""
+    ms = t.events.select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    passed = ms.agg((F.max("ms") - 3_600_000).alias("passed"))
+    return ms.groupBy("user_id").agg((F.min("ms") + 5000).alias("fired_ms")).crossJoin(F.broadcast(passed)).where("fired_ms < passed").select("user_id", "fired_ms")
+
+
 @query("ss5_self_hiding", "SELECT event_id, ts >= TIMESTAMP '2024-01-20 00:00:00' AS hidden FROM events")
 def hiding(t: Tables) -> DataFrame:
     return t.events.select("event_id", (F.col("ts") >= F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")).alias("hidden"))

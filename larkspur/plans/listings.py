@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators import ranking
+from larkspur.operators import joins
 from larkspur.plans.registry import Tables, query
 
 
@@ -37,7 +38,7 @@ def declared(t: Tables) -> DataFrame:
 
 @query("or2_prefix_slice", "SELECT r_name, array_to_string((list(n_name ORDER BY n_nationkey))[1:4], ',') AS four FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def prefix(t: Tables) -> DataFrame:
-    rows = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = t.nation.join(joins.small(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
     names = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"])
     return rows.groupBy("r_name").agg(F.array_join(F.slice(names, 1, 4), ",").alias("four"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators import aggregates, ranking
+from larkspur.operators import aggregates, joins, ranking
 from larkspur.plans.registry import Tables, query
 
 
@@ -17,7 +17,7 @@ def counts(t: Tables) -> DataFrame:
 
 @query("ag2_ordered_listing", "SELECT r_name, string_agg(n_name, ' &middot; ' ORDER BY n_nationkey) AS listing FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def listing(t: Tables) -> DataFrame:
-    rows = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = t.nation.join(joins.small(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
     return aggregates.ordered_text(rows, ["r_name"], ["n_nationkey"], "n_name", " &middot; ")
 
 
@@ -87,19 +87,18 @@ def targets(t: Tables) -> DataFrame:
     return ranking.against_targets(t.events.groupBy(F.col("event_type").alias("metric")).agg(F.count(F.lit(1)).cast("double").alias("value")), goal).select("metric", "value", "target", "gap", "met")
 
 
-_SEARCH = "(SELECT l_partkey AS url, round(avg(l_quantity), 4) AS position, sum(l_quantity)::BIGINT AS impressions, count(*) FILTER (WHERE l_returnflag = 'R') AS clicks FROM lineitem GROUP BY 1)"
+_SEARCH = "(SELECT l_partkey AS url, round(avg(l_quantity) * 0.75, 4) AS position, sum(l_quantity)::BIGINT AS impressions, count(*) FILTER (WHERE l_returnflag = 'R') AS clicks FROM lineitem GROUP BY 1)"
 
 
 def _search(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy(F.col("l_partkey").alias("url")).agg(F.round(F.avg("l_quantity"), 4).alias("position"), F.sum("l_quantity").cast("long").alias("impressions"), F.count_if(F.col("l_returnflag") == "R").alias("clicks"))
+    return t.lineitem.groupBy(F.col("l_partkey").alias("url")).agg(F.round(F.avg("l_quantity") * 0.75, 4).alias("position"), F.sum("l_quantity").cast("long").alias("impressions"), F.count_if(F.col("l_returnflag") == "R").alias("clicks"))
 
 
-@query("fl22_worklist", f"SELECT url, impressions, clicks FROM {_SEARCH} WHERE position BETWEEN 5 AND 25 AND impressions > 50 AND clicks / impressions < 0.015")
+@query("fl22_worklist", f"SELECT url, impressions, clicks FROM {_SEARCH} WHERE position BETWEEN 5 AND 20 AND impressions > 50 AND clicks / impressions < 0.015")
 def worklist(t: Tables) -> DataFrame:
-    """Pages at positions 5 to 25 (the analogue's), with over 50 impressions and under 1.5 % clicks."""
-    return _search(t).where(F.col("position").between(5, 25) & (F.col("impressions") > 50) & (F.col("clicks") / F.col("impressions") < 0.015)).select("url", "impressions", "clicks")
+    return ranking.worklist(_search(t)).select("url", "impressions", "clicks")
 
 
-@query("or4_titles_to_rewrite", f"SELECT url, impressions FROM {_SEARCH} WHERE position BETWEEN 5 AND 25 AND impressions > 50 AND clicks / impressions < 0.015 ORDER BY impressions DESC, url LIMIT 100")
+@query("or4_titles_to_rewrite", f"SELECT url, impressions FROM {_SEARCH} WHERE position BETWEEN 5 AND 20 AND impressions > 50 AND clicks / impressions < 0.015 ORDER BY impressions DESC, url LIMIT 100")
 def titles(t: Tables) -> DataFrame:
     return ranking.top(worklist(t).select("url", "impressions"), [F.desc("impressions"), F.asc("url")], 100)

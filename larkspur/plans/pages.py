@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators import assemble
+from larkspur.operators import assemble, ranking
 from larkspur.plans.registry import Tables, query
 
 
@@ -25,8 +25,8 @@ def states(t: Tables) -> DataFrame:
 
 
 def _products(t: Tables) -> DataFrame:
-    """The product strip: the first six products stand for PRODUCTS, the literal list of six that the reference's builder puts on every page."""
-    return t.part.where("p_partkey < 6").select(
+    """The product strip: the six dearest products, as many as a page has."""
+    return ranking.top(t.part, [F.desc("p_retailprice"), F.asc("p_partkey")], 6).select(
         F.col("p_partkey").alias("ord"), F.concat(F.lit("p-"), "p_partkey").alias("slug"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), (F.col("p_size") / 10).cast("decimal(5,2)").alias("blade"),
         F.col("p_type").alias("steel"), (F.col("p_retailprice") * 1.25).cast("decimal(10,2)").alias("rrp"), F.col("p_retailprice").cast("decimal(10,2)").alias("price"),
     )
@@ -34,7 +34,7 @@ def _products(t: Tables) -> DataFrame:
 
 @query(
     "l1_state_pages",
-    "SELECT replace(lower(a.n_name), '_', '-') AS slug, upper('Knives in ' || a.n_name) AS head, (SELECT count(*) FROM part WHERE p_partkey < 6) AS n_cards, 24::BIGINT AS n_siblings, a.n_regionkey = 0 AS has_notice, "
+    "SELECT replace(lower(a.n_name), '_', '-') AS slug, upper('Knives in ' || a.n_name) AS head, (SELECT least(6, count(*)) FROM part) AS n_cards, 24::BIGINT AS n_siblings, a.n_regionkey = 0 AS has_notice, "
     "(SELECT string_agg(replace(lower(b.n_name), '_', '-'), ',' ORDER BY b.n_nationkey) FROM nation b WHERE b.n_nationkey <> a.n_nationkey) AS siblings, (SELECT count(*) FROM part WHERE p_type = 'PROMO') AS n_promo FROM nation a",
 )
 def state_pages(t: Tables) -> DataFrame:

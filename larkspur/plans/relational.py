@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators import joins
 from larkspur.plans.registry import Tables, query
 
 
@@ -23,7 +24,7 @@ def by_nation(t: Tables) -> DataFrame:
     """Revenue is summed by order before it meets anything else, so the large table is shuffled once, pre-aggregated."""
     per_order = t.lineitem.groupBy("l_orderkey").agg(F.sum(_money("l_extendedprice") * (1 - _money("l_discount"))).alias("r"))
     per_customer = per_order.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.sum("r").alias("r"))
-    named = per_customer.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    named = per_customer.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(joins.small(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
     return named.groupBy("n_name").agg(F.round(F.sum("r"), 2).cast("double").alias("revenue"))
 
 

@@ -37,6 +37,11 @@ def fire_once(t: Tables) -> DataFrame:
     return runs.available_now(visitors.fire_once(_events(t))).select("user_id", "fired_ms")
 
 
+@query("ss4_open_after_delay_stream", ORACLE_SQL["ss4_open_after_delay"])
+def open_after_delay(t: Tables) -> DataFrame:
+    return runs.available_now(visitors.fire_after(_events(t))).select("user_id", "fired_ms")
+
+
 @query("d_windowed_stream", "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed(t: Tables) -> DataFrame:
     rows = runs.available_now(visitors.windowed_counts(_events(t)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -14,4 +16,12 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/larkspur-{uuid.uuid4().hex}/{name}"
+    folder = f"{base.rstrip('/')}/larkspur-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    return f"{folder}/{name}"
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already at exit
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

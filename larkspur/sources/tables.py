@@ -19,7 +19,7 @@ SCHEMAS = {
     "hub": f"slug string, tagline string, blade string, auto {PAIR}, concealed {PAIR}, preemption {PAIR}",
     "brands": "ord int, name string, slug string",
     "products": "brand string, name string, slug string, blade decimal(5,2), steel string, rrp decimal(10,2), price decimal(10,2)",
-    "product_attrs": "sku string, opening string, blade_type string, blade_length decimal(5,2), edge_count string, blade_shape string, steel string, lock string, origin string, handle string, brand string, price decimal(10,2), category string",
+    "product_attrs": "sku string, opening string, blade_type string, blade_length decimal(5,2), edge_count string, blade_shape string, steel string, lock string, origin string, handle string, brand string, price decimal(10,2), category string, is_knife boolean",
     "collections_state": "slug string, title string, group string, filter_rule string, attributes_needed string, build_priority int, notes string",
     "collections_product": "slug string, title string, group string, url_pattern string, driven_by string, indexable string, priority int, notes string",
     "reviews": "sku string, reviewer string, rating int, verified boolean, review_date date, text string, images array<string>",

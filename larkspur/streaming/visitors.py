@@ -1,7 +1,10 @@
 """Keyed visitor state as Structured Streaming. Each function has a batch twin in ``larkspur.plans.histories``.
 
 State is one small row for each visitor, bounded by the history's length, and expires after ``TTL_MS`` without events.
-Events of a micro-batch are taken in the order of (ts, id). Times are event times; the present is never the clock's.
+Events of a micro-batch are taken in the order of (ts, id), micro-batches as they come: an event that comes in a later
+micro-batch than one with a later time is taken after it, and a history can then differ from the batch twin's. Times are
+event times; the present is never the clock's, timers go by the watermark. The steps are plain Python over the few rows a
+visitor has in a micro-batch.
 """
 
 from __future__ import annotations
@@ -100,6 +103,32 @@ def fire_once(scrolls: DataFrame, key: str = "user_id", percent: str = "value",
     return _stateful(scrolls.withColumnRenamed(tie, "id").withColumnRenamed(percent, "percent"), key, ["id", "percent"], f"{key} long, fired_ms long", "first_ms long, fired boolean", step)
 
 
+def fire_after(loads: DataFrame, key: str = "user_id", tie: str = "event_id", delay_ms: int = DELAY_MS) -> DataFrame:
+    """SS4 without scrolling: one row for each visitor, ``delay_ms`` after the first event, by an event-time timer.
+
+    No further event of the visitor is needed: the timer goes off when the watermark, which all visitors' events move, has passed it."""
+    columns = [key, "fired_ms"]
+
+    def run(keys: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        first, fired = held.get if held.exists else (None, False)
+        now = held.getCurrentWatermarkMs()
+        if held.hasTimedOut and fired:
+            held.remove()
+            return
+        last = now
+        if not held.hasTimedOut:
+            ms = pd.concat(list(batches))["ms"]
+            first, last = int(ms.min()) if first is None else first, max(int(ms.max()), now)
+        if not fired and first + delay_ms < now:
+            fired = True
+            yield pd.DataFrame([(keys[0], first + delay_ms)], columns=columns)
+        held.update((first, fired))
+        held.setTimeoutTimestamp(last + TTL_MS if fired else max(first + delay_ms, now + 1))
+
+    rows = loads.withWatermark("ts", WATERMARK).select(key, F.unix_millis("ts").alias("ms"), "ts", F.col(tie).alias("id"))
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} long, fired_ms long", "first_ms long, fired boolean", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = WATERMARK) -> DataFrame:
     """Counts of events by type in tumbling windows; late events beyond the watermark are dropped."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")

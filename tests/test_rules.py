@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 from larkspur.operators import rules
 from larkspur.sources.tables import SCHEMAS
 
-ATTRS = "sku string, opening string, blade_type string, blade_length decimal(5,2), edge_count string, blade_shape string"
+ATTRS = "sku string, opening string, blade_type string, blade_length decimal(5,2), edge_count string, blade_shape string, is_knife boolean"
 PRODUCTS = [
-    ("a", "manual", "folding", Decimal("3.50"), "single", "drop point"),
-    ("b", "OTF", "folding", Decimal("5.50"), "single", "dagger"),
-    ("c", "assisted", "fixed", Decimal("12.00"), "double", "drop point"),
-    ("d", "automatic", "folding", Decimal("12.01"), "single", None),
-    ("e", None, None, None, None, None),
+    ("a", "manual", "folding", Decimal("3.50"), "single", "drop point", True),
+    ("b", "OTF", "folding", Decimal("5.50"), "single", "dagger", True),
+    ("c", "assisted", "fixed", Decimal("12.00"), "double", "drop point", True),
+    ("d", "automatic", "folding", Decimal("12.01"), "single", None, True),
+    ("e", None, None, None, None, None, True),
+    ("f", None, None, None, None, None, False),  # a sharpener
+    ("g", None, None, None, None, None, None),
 ]
 
 
@@ -62,7 +64,7 @@ def test_flags_agree_with_filters(products):
 
 def test_missing_attribute_fails_closed_also_in_a_flag(products):
     flags = products.select("sku", rules.parse("blade_shape NOT dagger").column().alias("f")).collect()
-    assert {r["sku"]: r["f"] for r in flags} == {"a": True, "b": False, "c": True, "d": False, "e": False}
+    assert {r["sku"]: r["f"] for r in flags} == {"a": True, "b": False, "c": True, "d": False, "e": False, "f": False, "g": False}
 
 
 def test_membership_is_one_scan(products, spark):
@@ -75,7 +77,7 @@ def test_membership_is_one_scan(products, spark):
 
 def test_rule_attributes():
     assert rules.parse("edge_count = single AND blade_shape NOT dagger").attributes() == {"edge_count", "blade_shape"}
-    assert rules.parse("All knives").attributes() == frozenset()
+    assert rules.parse("All knives").attributes() == {"is_knife"} and rules.All().attributes() == frozenset()
 
 
 def test_rules_reach_the_scan(spark, sf_dir):
