@@ -12,15 +12,22 @@ differences between their walks, so edit distance is mapped to Hamming distance.
 long as the items of its size class: steps are sampled from what a walk over the shortest of them covers.
 Each pair of window and item that shares a key is verified by exact edit distance (bit-parallel).
 
+A long item is looked for by its pieces of ``piece_words`` words at most: as its edits fall into one piece or another, one piece
+at least has no greater share of edits than the item may have. The whole item is verified around a piece's place.
+
 Walks are only made where they can lead anywhere: an item of n words with k edits keeps a run of at least
-(n - k) / (k + 1) of its words unbroken, so windows must begin at most an item's length before such a run. That
+(n - k) / (k + 1) of its words (or a piece's) unbroken, so windows must begin at most an item's length before such a run. That
 condition is necessary for every pair that verification can confirm; it loses none and names no item.
 
-The items go to the executors in blocks of ``block_bytes`` at most, one pass over the documents for each: what
-is broadcast is bounded however many items there are. Items without a word (null and empty ones among them) are
-not looked for. Null and empty documents contain nothing. Repeated items and documents
-each have rows of their own; null ids stay null; an empty table on either side gives no rows; other columns
-are ignored (``remove`` keeps those of the documents).
+Different item texts go to the executors in blocks of ``block_bytes`` at most, one pass over the documents for each: what
+is collected and broadcast is bounded however many items there are, and of several blocks one at a time is held by the
+driver, its matches stored before the next. Copies of an item are looked for once; their ids are joined to the matches.
+
+Items without a word (null and empty ones among them) are not looked for. Null and empty documents contain nothing;
+documents of any length are searched whole. Of several places of an item in a document the one with the fewest edits is
+told, of equally good ones the first. Repeated items and documents each have rows of their own; null ids stay null; an
+empty table on either side gives no rows; other columns are ignored, whatever their names (``remove`` keeps those of
+the documents).
 """
 
 from __future__ import annotations
@@ -32,13 +39,15 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm import ragged
+from larkspur.llm.components import skew_join
+from larkspur.llm.workspace import Stash
 
 #: Scripts without spaces: Thai, Lao, Myanmar, Khmer, kana and bopomofo, and Han.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3021-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
@@ -54,6 +63,7 @@ class Settings:
 
     similarity: float = 0.8
     min_words: int = 5
+    piece_words: int = 40
     walks: int = 8
     tables: int = 12
     samples: int = 3
@@ -94,33 +104,38 @@ def best_edits(pattern: list[int], text: list[int]) -> tuple[int, int]:
 class Items:
     """One block of benchmark items, with the keys of their walks."""
 
-    def __init__(self, item_ids: list[int | None], texts: list[str | None], settings: Settings):
+    def __init__(self, item_ids: list, texts: list[str | None], settings: Settings):
         self.settings = settings
         self.vocabulary: dict[str, int] = {}
-        self.ids: list[int | None] = []
-        self.words: list[list[int]] = []
-        short: list[tuple[int | None, list[int]]] = []
+        by_words: dict[tuple[int, ...], list] = {}  # equal sequences of words are looked for once
         for item, text in zip(item_ids, texts, strict=True):
             words = WORD.findall((text or "").lower())
-            coded = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            if len(words) >= settings.min_words:
-                self.ids.append(item)
-                self.words.append(coded)
-            elif words:
-                short.append((item, coded))
+            if words:
+                by_words.setdefault(tuple(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words), []).append(item)
+        long = [w for w in by_words if len(w) >= settings.min_words]
+        self.words: list[list[int]] = [list(w) for w in long]
         self.edits = [int(math.floor((1 - settings.similarity) * len(w) + 1e-9)) for w in self.words]
         self.walked = len(self.words)
+        #: What walks are made for: an item, the place of the piece in it, and the piece's words.
+        self.pieces: list[tuple[int, int, list[int]]] = []
+        for i, w in enumerate(self.words):
+            cuts = np.linspace(0, len(w), -(-len(w) // settings.piece_words) + 1).astype(int).tolist()
+            self.pieces += [(i, a, w[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.piece_item, self.piece_at = (np.array([p[c] for p in self.pieces], dtype=np.int64) for c in (0, 1))
         if self.words:
             self._runs()
             self._classes()
-        self.ids += [item for item, _ in short]
-        self.words += [w for _, w in short]
+        short = [w for w in by_words if len(w) < settings.min_words]
+        self.words += [list(w) for w in short]
+        #: The items of each sequence of words.
+        self.ids: list[list] = [by_words[w] for w in long + short]
         self._short()
 
     def _runs(self) -> None:
-        self.longest = max(len(w) + k for w, k in zip(self.words, self.edits, strict=True))
+        edits = [int(math.floor((1 - self.settings.similarity) * len(w) + 1e-9)) for _, _, w in self.pieces]
+        self.longest = max(len(w) + k for (_, _, w), k in zip(self.pieces, edits, strict=True))
         runs: dict[int, list[int]] = {}
-        for w, k in zip(self.words, self.edits, strict=True):
+        for (_, _, w), k in zip(self.pieces, edits, strict=True):
             g = math.ceil((len(w) - k) / (k + 1))
             a = np.array(w, dtype=np.int64)
             runs.setdefault(g, []).extend(self.grams(a, g).tolist())
@@ -175,7 +190,7 @@ class Items:
     def _classes(self) -> None:
         s = self.settings
         rng = np.random.default_rng(s.seed)
-        lengths = np.array([len(w) for w in self.words])
+        lengths = np.array([len(w) for _, _, w in self.pieces])
         klass = np.floor(np.log(lengths / s.min_words) / math.log(s.size_step) + 1e-9).astype(int)
         self.classes, self.key_bits = [], []
         for c in np.unique(klass):
@@ -184,7 +199,7 @@ class Items:
             picks = [[np.sort(rng.choice(steps, size=s.samples, replace=False)) for _ in range(s.tables)] for _ in range(s.walks)]
             self.classes.append([c, own, steps, picks, None, None])
         self.steps = max(x[2] for x in self.classes)
-        flat = np.array([x for w in self.words for x in w], dtype=np.int64)
+        flat = np.array([x for _, _, w in self.pieces for x in w], dtype=np.int64)
         at = ragged.offsets(lengths)
         for k, (_, own, _, _, _, _) in enumerate(self.classes):
             keys, items = [], []
@@ -270,12 +285,13 @@ class Items:
 
     def _verify(self, flat, begin, pairs) -> list[tuple[int, int, int, int, int]]:
         doc = np.searchsorted(begin, pairs[0], side="right") - 1
-        order = np.lexsort((pairs[0], doc, pairs[1]))
+        place, owner = pairs[0] - self.piece_at[pairs[1]], self.piece_item[pairs[1]]  # of the whole items
+        order = np.lexsort((place, doc, owner))
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         stretch: list[int] | None = None
         for i in [*order.tolist(), None]:
             if i is not None:
-                d, item, p = int(doc[i]), int(pairs[1][i]), int(pairs[0][i])
+                d, item, p = int(doc[i]), int(owner[i]), int(place[i])
                 n, k = len(self.words[item]), self.edits[item]
                 lo, hi = max(int(begin[d]), p - k), min(int(begin[d + 1]), p + n + 2 * k)
                 if stretch and stretch[0] == d and stretch[1] == item and lo <= stretch[3]:
@@ -293,54 +309,104 @@ class Items:
         return [(d, item, *x) for (d, item), x in sorted(found.items())]
 
 
-def _blocks(benchmark: DataFrame, settings: Settings, item_id: str, text: str) -> Iterator[Items]:
-    """The items, ``block_bytes`` of text at most in each block that is collected."""
-    use = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where(F.octet_length("t") > 0)
-    size = use.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-2 * size // settings.block_bytes) or 1
-    for block in range(n):
-        own = use if n == 1 else use.where(F.pmod(F.xxhash64("t", "i"), F.lit(n)) == block)
-        rows = own.toPandas().sort_values(["i", "t"])
-        items = Items([None if pd.isna(x) else int(x) for x in rows["i"]], rows["t"].tolist(), settings)
-        if items.words:
-            yield items
+def _texts(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """(item_id, t, h, g) of the items that have a text; two hashes stand for the text."""
+    use = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("t")).where(F.octet_length("t") > 0)
+    return use.withColumns({"h": F.xxhash64("t"), "g": F.xxhash64(F.lit("item"), "t")})
+
+
+def _blocks(items: DataFrame, settings: Settings) -> tuple[int, Iterator[Items]]:
+    """How many blocks there are, and the blocks: different texts, about ``block_bytes`` of them in each, collected as it is asked for."""
+    texts = items.groupBy("h", "g").agg(F.first("t").alias("t"))
+    size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = -(-2 * size // settings.block_bytes)
+
+    def collect() -> Iterator[Items]:
+        for block in range(n):
+            rows = texts if n == 1 else texts.where(F.pmod(F.xxhash64("h", "g"), F.lit(n)) == block)
+            rows = sorted((r["t"], r["h"], r["g"]) for r in rows.collect())
+            yield Items([(h, g) for _, h, g in rows], [t for t, _, _ in rows], settings)
+
+    return n, collect()
+
+
+def _matches(docs: DataFrame, items: Items) -> DataFrame:
+    """The matches of one block in documents (d, t), with the hashes of the items' texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = shared.value
+        for batch in batches:
+            for part in ragged.slices(batch, "t"):
+                ids = part.column("d").to_pylist()
+                rows = [(ids[d], *key, a, b, k, 1 - k / len(items.words[i])) for d, i, a, b, k in items.search(ragged.texts(part, "t")) for key in items.ids[i]]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+    return docs.mapInArrow(run, _FOUND)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and item found in it: where, and with how many edits."""
-    spark = docs.sparkSession
+    spark, stash = docs.sparkSession, Stash(docs.sparkSession)
+    use = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
+    items = _texts(benchmark, item_id, item_text)
+    n, blocks = _blocks(items, settings)
     out = None
-    for items in _blocks(benchmark, settings, item_id, item_text):
-        shared = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for batch in batches:
-                for part in ragged.slices(batch, "t"):
-                    ids = part.column("d").to_pylist()
-                    rows = [(ids[d], items.ids[i], a, b, k, 1 - k / len(items.words[i])) for d, i, a, b, k in items.search(ragged.texts(part, "t"))]
-                    if rows:
-                        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=MATCHES.names).astype({"item_id": "Int64", "doc_id": "Int64"}), schema=_ARROW, preserve_index=False)
-
-        found = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(run, MATCHES)
+    for block in blocks:
+        found = _matches(use, block)
+        if n > 1:
+            found, _ = stash.save(found, "matches")
         out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], MATCHES) if out is None else out
+    if out is None:
+        return spark.createDataFrame([], MATCHES)
+    # Documents that hold a hot item are split by the join; a text's items are few, or else they are rows that are asked for.
+    return skew_join(out, items.select("item_id", "h", "g"), ["h", "g"]).select(MATCHES.names)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents, all columns, in which no item is found; no shuffle."""
-    for items in _blocks(benchmark, settings, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    """The documents, all columns, in which no item is found. One block of items: no shuffle; of several, each leaves the
+    two hashes of the texts that hold an item, and the documents without such a text stay."""
+    n, blocks = _blocks(_texts(benchmark, item_id, item_text), settings)
+    if n == 0:
+        return docs
+    if n == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(next(blocks))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in ragged.slices(batch, text):
-                    keep = np.ones(part.num_rows, dtype=bool)
-                    keep[[row[0] for row in shared.value.search(ragged.texts(part, text))]] = False
-                    yield part.filter(pa.array(keep))
+                    yield part.filter(pc.invert(_hit(shared.value, part, text)))
+
+        return docs.mapInArrow(run, docs.schema)
+    stash, held = Stash(docs.sparkSession), None
+    body = F.coalesce(F.col(text), F.lit(""))
+    key = [F.xxhash64(body).alias("h"), F.xxhash64(F.lit("text"), body).alias("g")]
+    for block in blocks:
+        found, _ = stash.save(_holders(docs.select(*key, body.alias("t")), block).distinct(), "held")
+        held = found if held is None else held.unionByName(found)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
+    return whole.join(held.distinct(), ["h", "g"], "left_anti").select("row.*")
+
+
+def _hit(items: Items, part: pa.RecordBatch, text: str) -> pa.Array:
+    """Which texts hold an item."""
+    hit = np.zeros(part.num_rows, dtype=bool)
+    hit[[row[0] for row in items.search(ragged.texts(part, text))]] = True
+    return pa.array(hit)
+
+
+def _holders(docs: DataFrame, items: Items) -> DataFrame:
+    """(h, g) of the documents (h, g, t) that hold an item of a block."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in ragged.slices(batch, "t"):
+                yield part.filter(_hit(shared.value, part, "t")).select(["h", "g"])
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, "h long, g long")
 
 
-_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("distance", pa.int32()), ("similarity", pa.float64())])
+_FOUND = T.StructType([MATCHES["doc_id"], T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), *MATCHES.fields[2:]])
+_ARROW = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("distance", pa.int32()), ("similarity", pa.float64())])
