@@ -5,7 +5,7 @@ a 64-bit hash. Documents link when intersection / union reaches ``share / of``;
 
 1. One pass hashes every set and counts n-grams in a sketch of ``COUNTERS`` counters, which orders n-grams from
    rare to common. The sketch is of fixed size (4 MB), so it can be broadcast for any input; any order gives the
-   same result, a better one fewer candidates. For each set it also makes a bitmap of two to four bits an element.
+   same result, a better one fewer candidates. For each set it also makes a bitmap of about 8 (1 - t) bits an element.
 2. A set of n elements that links with another has ceil(t n) in common with it, so among the first
    n - ceil(t n) + l elements of both there are l common ones. l is chosen for each document by estimated cost:
    a longer prefix costs rows, but pairs must then share l elements before they are verified. For
@@ -115,9 +115,11 @@ def set_id(elements: np.ndarray) -> tuple[int, int]:
     return out[0], out[1]
 
 
-def bitmap(elements: np.ndarray) -> np.ndarray:
-    """Parities of the elements at 64-bit words of bits, twice as many bits as elements at least and a power of two."""
-    bits = max(64, 1 << (2 * len(elements) - 1).bit_length())
+def bitmap(elements: np.ndarray, join: Join) -> np.ndarray:
+    """Parities of the elements in 64-bit words of bits: a power of two, and enough for sets that have little in common
+    to differ in clearly more bits than sets that link may."""
+    least = max(1, 8 * len(elements) * (join.of - join.share) // join.of)
+    bits = max(64, 1 << (least - 1).bit_length())
     odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -147,7 +149,7 @@ def _sets_and_sketch(docs: DataFrame, join: Join) -> DataFrame:
                 if waiting > COUNTERS:
                     count()
                 sid, more = (pa.array(x, pa.int64()) for x in zip(*map(set_id, sets), strict=True))
-                bits = pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary())
+                bits = pa.array([bitmap(s, join).tobytes() if len(s) else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), sid, more, part.column("mark"), pa.nulls(len(sets), pa.int32()), bits], schema=_SETS)
         count()
         parts = sketch.reshape(-1, PART)
@@ -309,10 +311,11 @@ def may_link(join: Join) -> blocks.Near:
 def _crowds(met: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """Candidate links (a, b) within the long runs."""
     members = met.where(F.col("need") < 0).select("a", "b", (-F.col("need")).alias("n")).distinct()
-    # Of a length class and the next one all pairs may link; rows of shorter sets come to both.
-    step = F.floor(F.log("n") / float(np.log(join.of / join.share)) + 1e-9).cast("int") if join.share < join.of else F.col("n")
-    place = F.explode(F.array(step, step + 1))
-    members = members.withColumn("c", place).select(F.xxhash64("b", "c").alias("g"), F.col("a").alias("node"), (8 + F.greatest(F.lit(8), F.col("n") / 2)).cast("long").alias("size"))
+    # Sets of one length class may link; one that may link with sets of the next class comes to both.
+    ratio = join.of / join.share
+    step = lambda n: F.floor(F.log(n) / (4 * float(np.log(ratio)))) if ratio > 1 else n
+    place = F.explode(F.array_distinct(F.array(step(F.col("n")), step(F.col("n") * ratio * (1 + 1e-9) if ratio > 1 else F.col("n")))))
+    members = members.withColumn("c", place).select(F.xxhash64("b", "c").alias("g"), F.col("a").alias("node"), (16 + F.col("n") / 8).cast("long").alias("size"))
     stash = Stash(met.sparkSession)
     members, path = stash.save(members, "crowds")
     if members.isEmpty():
@@ -402,9 +405,8 @@ def class_nodes(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", te
     involved = sets.where(F.col("g").isNotNull())
 
     def load(rows: DataFrame) -> DataFrame:
-        whole = _elements(use, filters.sieve(rows.join(involved.select("node", "rep"), "node"), "rep"), join)
-        named = whole.join(involved.select("sid", "more", "node"), ["sid", "more"]).select("node", "payload")
-        return skew_join(rows, named, ["node"])
+        placed = rows.join(involved.select("node", "sid", "more", "rep"), "node")
+        return _elements(use, filters.sieve(placed, "rep"), join).join(placed, ["sid", "more"])
 
     links = blocks.link_groups(involved.select("g", "node", F.col("n").alias("size")), load, linked(join), BLOCK)
     roots = components(links)

@@ -70,7 +70,7 @@ def test_bitmaps_never_exclude_a_link():
                 keep = rng.random(len(s)) > 0.12
                 sets.append(np.unique(np.append(s[keep], rng.choice(pool, size=rng.integers(0, 4)))))
         sets = [s for s in sets if len(s)]
-        may = ngram_join.may_link(join)([len(s).to_bytes(8, "little") + ngram_join.bitmap(s).tobytes() for s in sets])
+        may = ngram_join.may_link(join)([len(s).to_bytes(8, "little") + ngram_join.bitmap(s, join).tobytes() for s in sets])
         do = ngram_join.linked(join)([s.tobytes() for s in sets])
         every, unrelated = np.arange(len(sets)), 0
         for x in range(len(sets)):
