@@ -8,7 +8,7 @@ Shape of the plan: keys are counted with a map-side aggregate, so that a line in
 costs a row for each map task; keys then meet their lines again in a join whose both sides are exchanged for
 the join, which lets adaptive execution split a hot line's partition. Texts move once, by document.
 
-Rows with equal ids are one document, though each keeps its own text. A null id names no document: such rows
+Texts and lines of any length are split and compared whole. Ties don't occur: a key has one smallest id. Rows with equal ids are one document, though each keeps its own text. A null id names no document: such rows
 count for no key and lose no line. A null or empty text is one empty line and stays null or empty. Columns
 beyond id and text pass through, but for one with an output's name, which the output replaces.
 """

@@ -8,11 +8,14 @@ number p gives shard ``p mod shards`` and slot ``p div shards``. So shards diffe
 
 Numbering: rows that agree in id, checksum and size are counted together before anything moves (they are
 interchangeable), bins between approximate quantiles of the ids give even pieces, and a row's number is its bin's
-offset plus its place in the bin. The bins only deal out work: numbers don't depend on where the cuts are.
-The driver sees a count for each bin, ``MOST_BINS`` at most. Texts don't move.
-
-A null text has 8 bytes and the checksum of the empty text. Rows with a null id come first and are dealt over
-their own bins by checksum. Repeated rows each have a place. An empty table has no rows. Other columns don't matter.
+offset plus its place in the bin. An id that several quantiles fall on has as many bins of its own, by checksum. The bins only
+deal out work: numbers don't depend on where the cuts are. The driver sees a count for each bin, a few times ``MOST_BINS`` at
+most. Texts don't move.
+
+Under this law equal texts (the groups of a corpus) aren't kept together: where a copy goes follows from its row number alone.
+A null text has 8 bytes and the checksum of the empty text; texts of any length count with all their bytes. Rows with a
+null id come first and are dealt over their own bins by checksum. Repeated rows, and rows that tie in all three, each have
+a place. An empty table has no rows. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -85,17 +88,24 @@ def number_rows(rows: DataFrame) -> tuple[DataFrame, int]:
         return counted.select("doc_id", "text_crc32", "size", F.lit(0).cast("long").alias("row")), 0
     bins = min(MOST_BINS, max(LEAST_BINS, total // ROWS_A_BIN))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / bins for i in range(1, bins)], 100 * bins)).first()[0] or []
-    cuts = np.unique(np.array(cuts, dtype=np.int64))
+    cuts, own = np.unique(np.array(cuts, dtype=np.int64), return_counts=True)
+    # Pieces of the ids from each cut on, and where they begin: those of an id that several cuts fall on, and one for the rest.
+    pieces = np.append(1, np.where(own > 1, own + 1, 1))
+    begin = NULL_BINS + np.cumsum(pieces) - pieces
 
     @F.pandas_udf(T.IntegerType())
-    def bin_of(doc_id: pd.Series) -> pd.Series:
-        return pd.Series((np.searchsorted(cuts, doc_id.to_numpy(dtype=np.int64), side="right") + NULL_BINS).astype(np.int32))
+    def bin_of(doc_id: pd.Series, crc: pd.Series) -> pd.Series:
+        ids = doc_id.to_numpy(dtype=np.int64)
+        at = np.searchsorted(cuts, ids, side="right")
+        n = pieces[at] - 1
+        hot = (n > 0) & (ids == cuts[at - 1]) if len(cuts) else np.zeros(len(ids), dtype=bool)
+        return pd.Series((begin[at] + np.where(hot, crc.to_numpy(dtype=np.int64) * n >> 32, n)).astype(np.int32))
 
     # No null reaches the function: pandas would turn the ids into doubles.
     null_bin = F.shiftright(F.col("text_crc32") * NULL_BINS, 32).cast("int")
-    binned = counted.withColumn("_bin", F.when(F.col("doc_id").isNull(), null_bin).otherwise(bin_of(F.coalesce("doc_id", F.lit(0)))))
+    binned = counted.withColumn("_bin", F.when(F.col("doc_id").isNull(), null_bin).otherwise(bin_of(F.coalesce("doc_id", F.lit(0)), "text_crc32")))
     sizes = binned.groupBy("_bin").agg(F.sum("_n").alias("n")).toPandas()
-    per_bin = np.zeros(len(cuts) + 1 + NULL_BINS, dtype=np.int64)
+    per_bin = np.zeros(NULL_BINS + int(pieces.sum()), dtype=np.int64)
     per_bin[sizes["_bin"].to_numpy()] = sizes["n"].to_numpy()
     before = np.cumsum(per_bin) - per_bin
 
