@@ -321,7 +321,8 @@ def _crowds(met: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     if members.isEmpty():
         stash.drop(path)
         return met.sparkSession.createDataFrame([], "a long, b long")
-    known = sets.where(F.col("n") > 0).join(members.select(F.col("node").alias("sid")).distinct(), "sid", "left_semi")
+    wanted = members.select(F.col("node").alias("sid")).distinct()
+    known = skew_join(sets.where(F.col("n") > 0).select("sid", "more", "n", "bits"), wanted, ["sid"])  # before copies are counted once
     head = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright("n", 8 * k).bitwiseAND(255)), 2, "0") for k in range(8)]))
     known = known.groupBy("sid", "more").agg(F.first(F.concat(head, "bits")).alias("payload"))
     known, _ = stash.save(known.select(F.col("sid").alias("node"), "payload"), "bitmaps")
