@@ -3,9 +3,10 @@
 Vectors are normalised in double precision. Each of ``tables`` hash tables has ``projections`` Gaussian projections,
 shifted at random and cut into cells of ``WIDTH``; vectors in the same cells share a bucket. For unit vectors the
 distance follows from the cosine, and with it the chance of sharing a bucket. The number of projections grows
-with the logarithm of the number of vectors, so that unrelated vectors share about one bucket a table however
-many there are; the number of tables then follows from the recall wanted at the threshold itself. Where that would be
-over ``MOST_TABLES``, tables get fewer projections until it isn't: buckets are fuller, and the recall is kept.
+with the logarithm of the number of vectors, so that a vector shares a bucket with about ``MATES`` unrelated ones at most, however
+many there are: to compare with those costs less than to send and sort the rows of more tables. The number of tables then
+follows from the recall wanted at the threshold itself. Where that would be over ``MOST_TABLES``, tables get fewer projections
+until it isn't: buckets are fuller, and the recall is kept.
 
 1. Equal vectors are one node, keyed by 128 bits of hash; a map task emits it once, so copies never meet in pairs. The 64
    bits by which nodes meet only bring candidates together.
@@ -38,7 +39,7 @@ from larkspur.llm import blocks, filters, ragged
 from larkspur.llm.components import components, skew_join
 from larkspur.llm.workspace import Stash
 
-WIDTH, RUN, LEAST_BLOCK, BLOCK, CROWD, MOST_TABLES = 1.2, 128, 256, 2000, 1000, 1000
+WIDTH, MATES, RUN, LEAST_BLOCK, BLOCK, CROWD, MOST_TABLES = 1.2, 32, 256, 256, 2000, 1000, 1000
 
 
 def _same_cell(distance: float) -> float:
@@ -49,7 +50,7 @@ def _same_cell(distance: float) -> float:
 
 def plan(n: int, threshold: float, recall: float) -> tuple[int, int]:
     """Projections a table and number of tables for n vectors."""
-    projections = max(4, math.ceil(math.log(max(n, 2)) / -math.log(_same_cell(math.sqrt(2)))))
+    projections = max(4, math.ceil(math.log(max(n, MATES) / MATES) / -math.log(_same_cell(math.sqrt(2)))))
     same = _same_cell(math.sqrt(2 - 2 * threshold))
     needed = lambda k: math.ceil(math.log(1 - recall) / math.log1p(-(same**k)))
     while projections > 1 and needed(projections) > MOST_TABLES:

@@ -13,6 +13,14 @@ def test_the_bound_on_tables_keeps_the_recall(n, threshold):
     assert 1 - (1 - same) ** tables >= 0.999 and tables <= embedding_dedup.MOST_TABLES
 
 
+@pytest.mark.parametrize("n", [1_000, 50_000, 10**7, 10**10])
+def test_a_vector_meets_few_unrelated_ones_in_a_table(n):
+    projections, _ = embedding_dedup.plan(n, 0.95, 0.999)
+    apart = embedding_dedup._same_cell(np.sqrt(2))
+    assert n * apart**projections <= embedding_dedup.MATES
+    assert projections == 4 or n * apart ** (projections - 1) > embedding_dedup.MATES  # no more tables than that takes
+
+
 def test_pairs_are_found_under_the_bound(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "MOST_TABLES", 12)
     rng = np.random.default_rng(8)
