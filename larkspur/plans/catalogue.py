@@ -47,7 +47,6 @@ def attributes(t: Tables) -> DataFrame:
 #: Collections of the analogue catalogue: one for each shape that a rule can have.
 RULES: dict[str, rules.Rule] = {
     "all": rules.All(),
-    "knives": rules.parse("All knives"),
     "promo": rules.parse("opening = PROMO"),
     "promo-or-large": rules.parse("opening = PROMO OR LARGE"),
     "small-medium": rules.parse("opening = SMALL/MEDIUM"),
@@ -61,7 +60,6 @@ RULES: dict[str, rules.Rule] = {
 }
 RULE_SQL = {
     "all": "TRUE",
-    "knives": "p_type <> 'ECONOMY'",
     "promo": "p_type = 'PROMO'",
     "promo-or-large": "p_type IN ('PROMO', 'LARGE')",
     "small-medium": "p_type IN ('SMALL', 'MEDIUM')",
@@ -99,6 +97,11 @@ def with_products(t: Tables) -> DataFrame:
     return collections(t).join(membership(t), "slug", "left_semi")
 
 
+@query("fl10_knives_membership", "SELECT 'knives' AS slug, p_partkey AS sku FROM part WHERE p_type <> 'ECONOMY'")
+def knives_membership(t: Tables) -> DataFrame:
+    return rules.membership(products(t), {"knives": rules.parse("All knives")}, "sku")
+
+
 def _facet(name: str, rule: rules.Rule, where: str) -> None:
     @query(name, f"SELECT sku, price::DOUBLE AS price FROM {PRODUCT_SQL} WHERE {where}")
     def facet(t: Tables, rule: rules.Rule = rule) -> DataFrame:
