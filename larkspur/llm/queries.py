@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontamination, embedding_dedup, language_crf, line_dedup, ngram_join, quality_classifier, sampling, sentencepiece_codec, sharding, token_counts, warc
+from larkspur.llm import decontamination, embedding_dedup, filter_audit, language_crf, line_dedup, merkle_manifest, ngram_join, quality_classifier, sampling, sentencepiece_codec, sharding, token_counts, url_filters, warc
 from larkspur.llm.workspace import new_path, table
 
 #: Fixed by the contract of op1.
@@ -88,6 +88,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, PIECE_MODEL).drop("text")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents are shown without their line breaks: the proofs of those that had any fail."""
+    docs = table(spark, sf_dir, "documents").select(*merkle_manifest.FIELDS)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    cut = F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    shown = merkle_manifest.leaf([*[F.col(c) for c in merkle_manifest.FIELDS[:-1]], cut])
+    proved = merkle_manifest.verified(merkle_manifest.manifest(docs, carry={"shown": shown}), "shown")
+    text = lambda c: F.lower(F.hex(c))
+    return proved.select("doc_id", *[text(c).alias(c) for c in ("leaf", "subroot", "root")], F.sha2(text("siblings").cast("binary"), 256).alias("proof_sha256"), text("folded_root").alias("folded_root"), "verified")
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql("VALUES " + ", ".join(map(str, url_filters.RULES))).toDF("host", "path", "verdict")
+    return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
@@ -99,10 +119,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_ngram_join": op9_ngram_join,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_url_filters": op12_url_filters,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: DuckDB SQL for the same rows; only where SQL can express the operator over whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.SQL,
     "op3_warc": warc.SQL,
+    "op11_merkle_manifest": merkle_manifest.SQL,
+    "op12_url_filters": url_filters.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }

@@ -1,0 +1,83 @@
+"""Cascades against sets, verdicts against a plain search, and the plan's lack of Python and joins."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from larkspur.llm import queries, url_filters
+
+RULES = "host string, path string, verdict string"
+
+
+def plain(url, rules, otherwise="allow"):
+    at = (url or "").find("://")
+    rest = url[at + 3 :] if url and at >= 0 else ""
+    end = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end])
+    path = rest[end:]
+    path = path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
+    fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, key=lambda x: (x[0], x[1], x[3] == "block"), default=None)
+    return host, path, best[2] if best else None, best[3] if best else otherwise
+
+
+def told(found):
+    return {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in found.collect()}
+
+
+@pytest.mark.parametrize("listed", [0, 1, 40, 3000])
+def test_a_cascade_is_exact_over_its_universe(spark, listed):
+    universe = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id") % 15_000).alias("key"))
+    keys = spark.range(listed).select(F.concat(F.lit("k"), F.col("id") * 5).alias("key"))
+    cascade = url_filters.cascade(keys, universe)
+    held = {r["key"] for r in universe.where(cascade.holds(F.col("key"))).distinct().collect()}
+    assert held == {f"k{i * 5}" for i in range(listed)} and (len(cascade.levels) > 1) == (listed > 1)
+
+
+def test_false_positives_need_levels(spark, monkeypatch):
+    """A first level that lets half of all keys pass leaves the result as it was."""
+    level = url_filters._level
+    monkeypatch.setattr(url_filters, "_level", lambda keys, number, n, wrong: level(keys, number, n, 0.5))
+    universe = spark.range(4_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    cascade = url_filters.cascade(universe.where("key like '%7'"), universe)
+    held = {r["key"] for r in universe.where(cascade.holds(F.col("key"))).collect()}
+    assert held == {f"k{i}" for i in range(7, 4_000, 10)} and len(cascade.levels) > 5
+
+
+URLS = [
+    "http://a.example.org/es/1", "http://EXAMPLE.org/en/12?x=/es/", "https://x.com/de/#a", "https://x.com/fr", "https://com/fr/", "http://org/", "http://org", "http://notexample.org/es/", "ftp://u@h.org:80/x", "nothing", "://", "", None,
+    "http://example.org?://a.org/es/", "http://ÄÖ.ORG/ä?b", "http://x.org/\n/y", "http://example.org/es", "a://b://c.org/es/", "http://a.b.c.d.e.example.org/en/1", "http://x.net/" + "p" * 40_000, "http://example.org/ES/1",
+]
+
+
+@pytest.mark.parametrize("rules", [url_filters.RULES, [], [("example.org", "", "block"), ("org", "/es/1", "allow"), ("ORG", "/es/1", "block")], [("b.org", "/x", "allow"), ("org", "/x", "block"), ("org", "/xy/", "allow"), ("org", "/", "block"), ("net", "/pp", "block")]])
+def test_verdicts(spark, rules):
+    made = [f"http://{h}{p}" for h in ("b.org", "a.b.org", "org", "c.net") for p in ("", "/", "/x", "/xy/z", "/y?q", "/pp")]
+    pages = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(URLS + made)], "page_id long, url string, host string, verdict string").repartition(3)
+    lower = [(h.lower(), p, v) for h, p, v in rules]
+    found = url_filters.judge(pages, spark.createDataFrame(rules, RULES))
+    assert told(found) == {i: plain(u, lower) for i, u in enumerate(URLS + made)}
+    assert found.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+
+
+def test_rules_with_nulls_and_pages_without_rows(spark):
+    pages = spark.createDataFrame([(1, "http://x.org/a"), (1, "http://x.org/a"), (None, None)], "page_id long, url string")
+    rules = spark.createDataFrame([(None, "/", "block"), ("", "/a", "block"), ("org", None, None), ("x.org", "/a", "block"), ("x.org", "/a", "allow")], RULES)
+    assert sorted(map(tuple, url_filters.judge(pages, rules).collect()), key=repr) == sorted([(1, "http://x.org/a", "x.org", "/a", "x.org/a", "block")] * 2 + [(None, None, "", "", None, "allow")], key=repr)
+    assert url_filters.judge(pages.limit(0), rules).collect() == []
+    assert {r["verdict"] for r in url_filters.judge(pages, rules.limit(0), otherwise="unknown").collect()} == {"unknown"}
+
+
+def test_many_rules(spark):
+    rng = random.Random(5)
+    hosts = [f"h{i}.{t}" for i in range(60) for t in ("org", "com")]
+    rules = list({(h, p): (h, p, rng.choice(["allow", "block"])) for h, p in ((rng.choice(hosts), f"/{rng.randrange(20)}") for _ in range(400))}.values())
+    urls = [f"http://{rng.choice(['', 'www.'])}{rng.choice(hosts)}/{rng.randrange(40)}" for _ in range(1500)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert told(url_filters.judge(pages, spark.createDataFrame(rules, RULES))) == {i: plain(u, rules) for i, u in enumerate(urls)}
+
+
+def test_pages_are_judged_in_their_scan(spark, sf_dir):
+    plan = queries.op12_url_filters(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Python" not in plan
