@@ -19,22 +19,22 @@ def _events(t: Tables) -> DataFrame:
 @query("ss1_recents_stream", ORACLE_SQL["ss1_recents_state"])
 def recents(t: Tables) -> DataFrame:
     views = _events(t).where("event_type = 'view'").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    return runs.latest(runs.available_now(visitors.recents(views)), "user_id")
+    return runs.latest(runs.available_now(visitors.recents(views), idle=False), "user_id")
 
 
 @query("ss2_returning_stream", ORACLE_SQL["wn5_returning_visits"])
 def returning(t: Tables) -> DataFrame:
-    return runs.available_now(visitors.returning(_events(t))).select("event_id", "returning")
+    return runs.latest(runs.available_now(visitors.returning(_events(t)), idle=False), "event_id").select("event_id", "returning")
 
 
 @query("ss3_suppression_stream", ORACLE_SQL["ss3_popup_suppression"])
 def suppression(t: Tables) -> DataFrame:
-    return runs.available_now(visitors.suppression(_events(t))).select("event_id", "suppressed")
+    return runs.latest(runs.available_now(visitors.suppression(_events(t))), "event_id").select("event_id", "suppressed")
 
 
 @query("ss4_fire_once_stream", ORACLE_SQL["ss4_fire_once"])
 def fire_once(t: Tables) -> DataFrame:
-    return runs.available_now(visitors.fire_once(_events(t))).select("user_id", "fired_ms")
+    return runs.available_now(visitors.fire_once(_events(t)), idle=False).select("user_id", "fired_ms")
 
 
 @query("ss4_open_after_delay_stream", ORACLE_SQL["ss4_open_after_delay"])
