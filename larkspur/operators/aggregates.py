@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,30 @@ def kpis(events: DataFrame, week: Column) -> DataFrame:
     return out.withColumns({"ctr": rate("clicks", "impressions"), "cvr": rate("orders", "clicks"), "aov": rate("revenue", "orders")})
 
 
+def clicks_in_front(clicks: DataFrame, positions: DataFrame, url: str = "url", week: str = "week", low: float = 1, high: float = 10) -> DataFrame:
+    """AG10: clicks a week on pages that stood at ``low`` to ``high``. ``positions`` has one row for a week and page."""
+    counted = clicks.groupBy(week, url).agg(F.count(F.lit(1)).alias("_clicks"))  # before they meet, so a page much clicked is one row
+    front = positions.where(F.col("position").between(low, high)).select(week, url)
+    return counted.join(front, [week, url]).groupBy(week).agg(F.sum("_clicks").alias("clicks_in_front"))
+
+
+def standing(changes: DataFrame, weeks: DataFrame, week: str = "week", change: str = "change", name: str = "standing") -> DataFrame:
+    """How many there are at the end of each of ``weeks``: ``changes`` are summed a week, and only those sums, a row a week, are added up in order."""
+    sums = changes.groupBy(week).agg(F.sum(change).alias("_sum")).unionByName(weeks.select(week, F.lit(0).cast("long").alias("_sum"))).groupBy(week).agg(F.sum("_sum").alias("_sum"))
+    return sums.withColumn(name, F.sum("_sum").over(Window.orderBy(week).rowsBetween(Window.unboundedPreceding, 0))).drop("_sum").join(weeks.select(week).distinct(), week)
+
+
+def list_size(signups: DataFrame, weeks: DataFrame, user: str, week: str = "week") -> DataFrame:
+    """AG10: people on the list at the end of each week; one who signs up again is there already."""
+    return standing(signups.groupBy(user).agg(F.min(week).alias(week)).select(week, F.lit(1).alias("change")), weeks, week, name="list_size")
+
+
+def submitted(spans: DataFrame, weeks: DataFrame, week: str = "week") -> DataFrame:
+    """AG10: addresses in the sitemaps at the end of each week. ``spans``: ``since`` and ``until`` (the week of removal, or null) of each address."""
+    gone = spans.where(F.col("until").isNotNull()).select(F.col("until").alias(week), F.lit(-1).alias("change"))
+    return standing(spans.select(F.col("since").alias(week), F.lit(1).alias("change")).unionByName(gone), weeks, week, name="submitted_urls")
+
+
 def coverage(rows: DataFrame, attributes: list[str]) -> DataFrame:
     """AG11: for each attribute how many rows have it and which share; one scan."""
     one = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.count(a).alias(a) for a in attributes])

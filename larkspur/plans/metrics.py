@@ -51,18 +51,36 @@ def exactly_one(t: Tables) -> DataFrame:
 
 
 _OF = "count(*) FILTER (WHERE event_type = '{}')"
+_WEEK, _K = "strftime(date_trunc('week', ts), '%Y-%m-%d')", "(props->>'$.k')::BIGINT"
 
 
 @query(
     "ag10_weekly_indicators",
-    "SELECT *, clicks / nullif(impressions, 0) AS ctr, orders / nullif(clicks, 0) AS cvr, revenue / nullif(orders, 0) AS aov FROM (SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, "
+    f"WITH e AS (SELECT *, {_WEEK} AS week, {_K} AS url FROM events), w AS (SELECT week, "
     + ", ".join(f"{_OF.format(a)} AS {b}" for a, b in (("view", "impressions"), ("click", "clicks"), ("purchase", "orders"), ("signup", "signups")))
-    + ", round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 2) AS revenue, count(DISTINCT user_id) AS visitors FROM events GROUP BY 1)",
+    + ", round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 2) AS revenue, count(DISTINCT user_id) AS visitors FROM e GROUP BY 1), "
+    "p AS (SELECT week, url FROM e WHERE event_type = 'view' GROUP BY 1, 2 HAVING floor(avg(value) / 4) + 1 BETWEEN 1 AND 10), "
+    "c AS (SELECT week, count(*) AS clicks_1_10 FROM e JOIN p USING (week, url) WHERE event_type = 'click' GROUP BY 1), "
+    "u AS (SELECT user_id, min(week) AS week FROM e WHERE event_type = 'signup' GROUP BY 1), "
+    "s AS (SELECT url, min(week) FILTER (WHERE event_type = 'view') AS since, max(week) FILTER (WHERE event_type = 'error' AND value > 150) AS until FROM e GROUP BY 1) "
+    "SELECT w.*, coalesce(clicks_1_10, 0) AS clicks_1_10, (SELECT count(*) FROM u WHERE u.week <= w.week) AS list_size, "
+    "(SELECT count(*) FROM s WHERE since <= w.week AND (until IS NULL OR until <= since OR until > w.week)) AS submitted_urls, "
+    "clicks / nullif(impressions, 0) AS ctr, orders / nullif(clicks, 0) AS cvr, revenue / nullif(orders, 0) AS aov FROM w LEFT JOIN c USING (week)",
 )
 def indicators(t: Tables) -> DataFrame:
-    found = aggregates.kpis(t.events, F.date_format(F.date_trunc("week", F.col("ts").cast("timestamp")), "yyyy-MM-dd"))
+    """The scorecard: a page's position in a week is the mean of its views' values in fours, a page is in the sitemaps from its first view until its last grave error."""
+    events = t.events.withColumn("week", F.date_format(F.date_trunc("week", F.col("ts").cast("timestamp")), "yyyy-MM-dd")).withColumn("url", F.get_json_object("props", "$.k").cast("long"))
+    kind = lambda x: F.col("event_type") == x
+    found = aggregates.kpis(events, F.col("week"))
+    weeks = found.select("week")
+    positions = events.where(kind("view")).groupBy("week", "url").agg((F.floor(F.avg("value") / 4) + 1).alias("position"))
+    front = aggregates.clicks_in_front(events.where(kind("click")), positions).withColumnRenamed("clicks_in_front", "clicks_1_10")
+    subscribers = aggregates.list_size(events.where(kind("signup")), weeks, "user_id")
+    spans = events.groupBy("url").agg(F.min(F.when(kind("view"), F.col("week"))).alias("since"), F.max(F.when(kind("error") & (F.col("value") > 150), F.col("week"))).alias("until"))
+    spans = spans.where("since is not null").withColumn("until", F.when(F.col("until") > F.col("since"), F.col("until")))
     revenue = F.round("revenue", 2)
-    return found.withColumns({"revenue": revenue, "aov": revenue / F.nullif(F.col("orders"), F.lit(0))})
+    scored = found.withColumns({"revenue": revenue, "aov": revenue / F.nullif(F.col("orders"), F.lit(0))}).join(front, "week", "left").join(subscribers, "week").join(aggregates.submitted(spans, weeks), "week")
+    return scored.withColumn("clicks_1_10", F.coalesce("clicks_1_10", F.lit(0)))
 
 
 @query("ag11_attribute_coverage", "SELECT 'quality' AS attribute, count(quality) AS filled, count(quality) / count(*)::DOUBLE AS share FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id UNION ALL SELECT 'lang', count(lang), count(lang) / count(*)::DOUBLE FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
