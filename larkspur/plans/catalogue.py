@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import lists, numbers, text
-from larkspur.operators import aggregates, joins, rules
+from larkspur.operators import aggregates, feeds, joins, rule_index, rules
 from larkspur.plans.registry import Tables, query
 from larkspur.sources import sinks, tables
 from larkspur.sources.scratch import scratch
@@ -97,6 +97,31 @@ def with_products(t: Tables) -> DataFrame:
     return collections(t).join(membership(t), "slug", "left_semi")
 
 
+#: A rule a brand and size, one a size, and two of other shapes: their cells, made of the products themselves.
+_CELLS_SQL = (
+    "(SELECT DISTINCT p_brand || '-' || p_size AS slug, p_brand AS brand, p_size AS size, 'own' AS kind FROM part UNION ALL SELECT DISTINCT 'below-' || p_size, '', p_size, 'below' FROM part "
+    "UNION ALL SELECT 'knives', '', 0, 'knives' UNION ALL SELECT 'large-or-not', '', 0, 'not')"
+)
+
+
+@query(
+    "jn6_membership_by_index",
+    f"SELECT slug, p_partkey AS sku FROM part JOIN {_CELLS_SQL} c ON c.kind = 'own' AND p_brand = c.brand AND p_size <= c.size AND p_type NOT IN ('PROMO', 'LARGE') "
+    f"UNION ALL SELECT slug, p_partkey FROM part JOIN {_CELLS_SQL} c ON c.kind = 'below' AND p_size < c.size AND p_type IN ('SMALL', 'MEDIUM') "
+    "UNION ALL SELECT 'knives', p_partkey FROM part WHERE p_type <> 'ECONOMY' UNION ALL SELECT 'not-promo', p_partkey FROM part WHERE p_type <> 'PROMO' UNION ALL SELECT 'short', p_partkey FROM part WHERE p_size < 20.5 UNION ALL SELECT 'curated', p_partkey FROM part WHERE p_partkey % 100 = 7",
+)
+def membership_by_index(t: Tables) -> DataFrame:
+    """Over a thousand rules, written as a CSV of collections and read from it: the membership of every product by the index of their terms."""
+    inches = (F.col("p_size") / 10).cast("decimal(5,1)").cast("string")
+    own = t.part.select(F.concat_ws("-", "p_brand", "p_size").alias("slug"), F.concat(F.lit("brand = "), "p_brand", F.lit(" AND blade_length <= "), inches, F.lit(" AND opening NOT PROMO/LARGE")).alias("filter_rule")).distinct()
+    below = t.part.select(F.concat(F.lit("below-"), "p_size").alias("slug"), F.concat(F.lit("blade_length < "), inches, F.lit(" AND opening = SMALL OR MEDIUM")).alias("filter_rule")).distinct()
+    few = t.spark.createDataFrame([("knives", "All knives (exclude ballistic)"), ("not-promo", "opening NOT PROMO"), ("short", "blade_length < 2.05"), ("curated", "Curated")], "slug string, filter_rule string")
+    path = scratch(t.spark, "collections")
+    cells = own.unionByName(below).unionByName(few)
+    cells.select("slug", F.col("slug").alias("title"), F.lit("own").alias("group"), "filter_rule", F.lit("none").alias("attributes_needed"), F.lit(1).alias("build_priority"), F.lit(None).cast("string").alias("notes")).write.option("header", True).csv(path)
+    return rule_index.members(products(t), tables.state_collections(t.spark, path), "sku", ["brand", "opening", "blade_length", rules.KNIFE], curated(t))
+
+
 @query("fl10_knives_membership", "SELECT 'knives' AS slug, p_partkey AS sku FROM part WHERE p_type <> 'ECONOMY'")
 def knives_membership(t: Tables) -> DataFrame:
     return rules.membership(products(t), {"knives": rules.parse("All knives")}, "sku")
@@ -257,6 +282,42 @@ def feed(t: Tables) -> DataFrame:
     return tables.validate_feed(own)
 
 
+def _feeds(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A feed and the next one: some products came, some went, prices and ways of opening changed, some of them wrongly."""
+    one = F.col("p_partkey").cast("string").alias("sku")
+    price = F.col("p_retailprice").cast("decimal(10,2)")
+    fixed = [F.lit("folding").alias("blade_type"), F.lit(None).cast("string").alias("edge_count")]
+    before = t.part.where("p_partkey % 10 > 0").select(one, F.lit("manual").alias("opening"), *fixed, price.alias("price"))
+    opening = F.when(F.col("p_type") == "PROMO", "OTF").when(F.col("p_type") == "LARGE", "pedal").otherwise("manual")
+    after = t.part.where("p_partkey % 10 <> 9").select(one, opening.alias("opening"), *fixed, F.when(F.col("p_size") == 1, 0).when(F.col("p_size") == 2, price + 1).otherwise(price).cast("decimal(10,2)").alias("price"))
+    return before, after
+
+
+_CHANGED = "(p_type IN ('PROMO', 'LARGE') OR p_size IN (1, 2))"
+
+
+@query(
+    "sc8_feed_changes",
+    f"SELECT p_partkey::VARCHAR AS sku, CASE WHEN p_partkey % 10 = 0 THEN 'inserted' WHEN p_partkey % 10 = 9 THEN 'removed' ELSE 'changed' END AS change, p_partkey % 10 <> 9 AND (p_type = 'LARGE' OR p_size = 1) AS rejected FROM part WHERE p_partkey % 10 IN (0, 9) OR {_CHANGED}",
+)
+def feed_changes(t: Tables) -> DataFrame:
+    return feeds.imported(*_feeds(t))[1]
+
+
+@query(
+    "sc8_catalogue_after_import",
+    "SELECT p_partkey::VARCHAR AS sku, CASE WHEN p_type = 'PROMO' AND NOT bad THEN 'OTF' ELSE 'manual' END AS opening, (CASE WHEN bad OR p_size <> 2 THEN p_retailprice ELSE p_retailprice + 1 END)::DECIMAL(10, 2)::DOUBLE AS price "
+    "FROM (SELECT *, p_type = 'LARGE' OR p_size = 1 AS bad FROM part) WHERE p_partkey % 10 BETWEEN 1 AND 8 OR (p_partkey % 10 = 0 AND NOT bad)",
+)
+def catalogue_after_import(t: Tables) -> DataFrame:
+    return feeds.imported(*_feeds(t))[0].select("sku", "opening", F.col("price").cast("double").alias("price"))
+
+
+@query("sc8_quarantine", "SELECT p_partkey::VARCHAR AS sku, CASE WHEN p_type = 'LARGE' AND p_size = 1 THEN 'opening=pedal price=0.00' WHEN p_size = 1 THEN 'price=0.00' ELSE 'opening=pedal' END AS faults FROM part WHERE p_partkey % 10 <> 9 AND (p_type = 'LARGE' OR p_size = 1)")
+def quarantine(t: Tables) -> DataFrame:
+    return feeds.imported(*_feeds(t))[2].select("sku", F.array_join("faults", " ").alias("faults"))
+
+
 @query("sk1_pages_by_key", "SELECT 'n' || n_nationkey AS slug, '<h1>' || n_name || '</h1>' AS html FROM nation")
 def pages_by_key(t: Tables) -> DataFrame:
     path = scratch(t.spark, "pages")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators import joins
+from larkspur.operators import graphs, joins
 from larkspur.plans.registry import Tables, query
 
 
@@ -96,6 +96,21 @@ def redirects(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("sku"), joins.redirect(F.col("p_size") % 3 > 0, F.concat(F.lit("/product/"), "p_partkey"), brand, F.concat(F.lit("/collections/"), "p_type")).alias("url"))
 
 
+_MOVED = "(SELECT p_partkey AS src, p_partkey + p_size - 25 AS dst FROM part WHERE p_size % 3 > 0 AND p_size <> 25)"
+
+
+@query(
+    "jn11_redirect_chains",
+    f"WITH RECURSIVE r AS {_MOVED}, w AS (SELECT src, dst AS here, [src] AS path FROM r UNION ALL SELECT w.src, r.dst, list_append(path, w.here) FROM w JOIN r ON r.src = w.here WHERE NOT list_contains(path, w.here)), "
+    "e AS (SELECT *, list_position(path, here) AS again FROM w WHERE here NOT IN (SELECT src FROM r) OR list_contains(path, here)) "
+    "SELECT src, CASE WHEN again IS NULL THEN here END AS target, CASE WHEN again IS NULL THEN len(path) END AS steps, CASE WHEN again IS NOT NULL THEN list_min(list_slice(path, again, len(path))) END AS loop FROM e",
+)
+def redirect_chains(t: Tables) -> DataFrame:
+    """Products that moved to the page of another, which may have moved as well: where each old address leads in the end."""
+    moved = t.part.where((F.col("p_size") % 3 > 0) & (F.col("p_size") != 25)).select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + F.col("p_size") - 25).alias("dst"))
+    return graphs.redirect_chains(moved)
+
+
 @query("fl27_in_stock", "SELECT p_partkey AS sku FROM part WHERE p_size % 3 > 0")
 def in_stock(t: Tables) -> DataFrame:
     return t.part.where(F.col("p_size") % 3 > 0).select(F.col("p_partkey").alias("sku"))
@@ -150,6 +165,23 @@ def two_clicks(t: Tables) -> DataFrame:
     return joins.reachable(edges, t.events.where("user_id < 3").select(F.col("user_id").alias("node")))
 
 
+_HREF = "(SELECT DISTINCT page_id::VARCHAR AS page, unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) AS hub FROM pages)"
+
+
+@query(
+    "jn16_click_depth",
+    f"WITH RECURSIVE l AS {_HREF}, e AS (SELECT page AS src, hub AS dst FROM l UNION SELECT hub, page FROM l), "
+    "d(node, depth) AS (SELECT (SELECT min(page_id) FROM pages)::VARCHAR, 0::BIGINT UNION SELECT e.dst, d.depth + 1 FROM d JOIN e ON e.src = d.node WHERE d.depth < 12) "
+    "SELECT page_id::VARCHAR AS node, min(depth) AS depth, min(depth) IS NULL AS orphan FROM pages LEFT JOIN d ON page_id::VARCHAR = node GROUP BY 1",
+)
+def click_depth(t: Tables) -> DataFrame:
+    """From the first page to all others: pages link up to their hubs, hubs down to the pages that name them."""
+    named = t.pages.select(F.col("page_id").cast("string").alias("page"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("hub")).distinct()
+    links = named.select(F.col("page").alias("src"), F.col("hub").alias("dst")).unionByName(named.select(F.col("hub").alias("src"), F.col("page").alias("dst")))
+    home = t.pages.agg(F.min("page_id").cast("string").alias("node"))
+    return graphs.click_depth(links, t.pages.select(F.col("page_id").cast("string").alias("node")), home)
+
+
 @query("m18_link_graph", "SELECT DISTINCT url AS src, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS dst FROM pages")
 def link_graph(t: Tables) -> DataFrame:
     return t.pages.select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("dst")).distinct()

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from larkspur.plans import histories  # noqa: F401  registers the twins first
 from larkspur.plans.registry import ORACLE_SQL, Tables, query
-from larkspur.streaming import runs, visitors
+from larkspur.sources.scratch import scratch
+from larkspur.streaming import recompute, runs, visitors
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -47,3 +48,13 @@ def windowed(t: Tables) -> DataFrame:
     rows = runs.available_now(visitors.windowed_counts(_events(t)))
     last = rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
     return last.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("ss5_hiding_stream", "SELECT p_partkey::VARCHAR AS block FROM part WHERE TIMESTAMP '2024-01-01' + to_hours(((p_partkey * 7 + p_size) % 1500)::BIGINT) <= (SELECT max(ts) FROM events)")
+def hiding(t: Tables) -> DataFrame:
+    """Blocks of products with a date each, hidden by a clock that the events' times move: no block has an event of its own."""
+    date = F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, CAST((p_partkey * 7 + p_size) % 1500 AS INT))")
+    folder = scratch(t.spark, "hiding")
+    ticks = _events(t).select(F.col("ts").alias("now"))
+    recompute.start(ticks, lambda: t.part.select(F.col("p_partkey").cast("string").alias("block"), date.alias("hides_at")), folder, every=None).awaitTermination()
+    return recompute.hidden(t.spark, folder).select("block")

@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -21,6 +21,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}"
 
 
+def stored(df: DataFrame, name: str = "round") -> DataFrame:
+    """``df`` written and read back: what follows doesn't compute it again, and lost executors lose none of it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _remove(spark: SparkSession, folder: str) -> None:
     with contextlib.suppress(Exception):  # the JVM may be gone already at exit
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
