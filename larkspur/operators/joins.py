@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.dates import in_season
+from larkspur.operators.ranking import gapless
 
 #: Rows up to which a table counts as a small dimension.
 SMALL_ROWS = 10_000
@@ -25,10 +28,12 @@ def strict_lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def with_each(left: DataFrame, dimension: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """JN2, JN3: every row with every row of a small dimension; a large one is an error."""
-    if dimension.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows to pair with")
-    return left.crossJoin(F.broadcast(dimension))
+    """JN2, JN3: every row with every row of a dimension. A larger one is cut into pieces of ``most`` rows, each broadcast in its turn."""
+    if dimension.limit(most + 1).count() <= most:
+        return left.crossJoin(F.broadcast(dimension))
+    numbered = gapless(dimension.withColumn("_h", F.xxhash64(*dimension.columns)), ["_h"], "_i")
+    pieces = -(-numbered.count() // most)
+    return reduce(DataFrame.unionByName, [left.crossJoin(F.broadcast(numbered.where(F.expr(f"_i div {most}") == i).drop("_h", "_i"))) for i in range(pieces)])
 
 
 def others(rows: DataFrame, key: str, group: list[str], prefix: str = "other_") -> DataFrame:
@@ -69,42 +74,26 @@ def related(products: DataFrame, key: str, group: str, order: list[Column], most
 def similar(products: DataFrame, key: str, length: str, price: str, length_tolerance: int, price_tolerance: float, most: int = 4) -> DataFrame:
     """JN13: the nearest ``most`` others within both tolerances (least price gap, then length gap, then key).
 
-    Linear in the products, for a given number of lengths within the tolerance: products of one length are cut into price
-    buckets as wide as the tolerance, and a product takes a few candidates on either side from its own bucket (by its
-    place among their prices) and from the two beside it (the same few for all that look there), not all of a bucket."""
-    rows = products.select(F.col(key).alias("k"), F.col(length).alias("l"), F.col(price).alias("p")).where("k is not null and l is not null and p is not null").withColumn("b", F.floor(F.col("p") / price_tolerance))
+    Products of one length and price are one point with its first keys (cut in the map tasks), however many they are. Each
+    point looks once along every length within the tolerance: points and those who look are dealt by length and price bucket (a
+    point also into the two buckets beside its own), sorted once, and the next few points on either side taken; what goes on is a few keys for each look.
+    Products then take their point's list. So what is exchanged is one row a product, and a few a point."""
+    rows = products.select(F.col(key).alias("k"), F.col(length).alias("l"), F.col(price).alias("p")).where("k is not null and l is not null and p is not null")
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("l", "p").orderBy("k"))).where(F.col("r") <= most + 1)
+    points = first.groupBy("l", "p").agg(F.sort_array(F.collect_list("k")).alias("keys")).withColumn("b", F.floor(F.col("p") / price_tolerance))
     sizes = rows.select("l").distinct().withColumn("s", F.floor(F.col("l") / length_tolerance))
     beside = F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1))
     lengths = sizes.withColumn("s", beside).join(sizes.withColumnRenamed("l", "at"), "s").where(F.abs(F.col("l") - F.col("at")) <= length_tolerance).select("l", "at")
-    probes = rows.join(lengths, "l").select("k", "l", "p", "b", "at")
-    ends = _ends(rows, most)
-    below = probes.join(ends.select("at", (F.col("b") + 1).alias("b"), F.col("dearest").alias("xs")), ["at", "b"])
-    above = probes.join(ends.select("at", (F.col("b") - 1).alias("b"), F.col("cheapest").alias("xs")), ["at", "b"])
-    far = below.unionByName(above).select("k", "l", "p", "at", F.explode("xs").alias("x")).select("k", "l", "p", "at", F.col("x.k").alias("k2"), F.col("x.p").alias("p2"))
-    # In the own bucket: how many are cheaper, then the ranks next to that place.
-    both = probes.select("at", "b", "p", F.lit(0).alias("i"), "k", "l").unionByName(rows.select(F.col("l").alias("at"), "b", "p", F.lit(1).alias("i"), F.lit(None).cast(rows.schema["k"].dataType).alias("k"), "l"))
-    cheaper = F.sum("i").over(Window.partitionBy("at", "b").orderBy("p", "i").rowsBetween(Window.unboundedPreceding, 0))
-    placed = both.withColumn("c", cheaper).where("i = 0")
-    group = Window.partitionBy("at", "b")
-    ranked = rows.select(F.col("l").alias("at"), "b", F.col("k").alias("k2"), F.col("p").alias("p2"))
-    ranked = ranked.withColumn("down", F.row_number().over(group.orderBy("p2", F.desc("k2")))).withColumn("up", F.row_number().over(group.orderBy("p2", "k2")))
-    lower = placed.withColumn("down", F.explode(F.sequence(F.col("c") - (most - 1), F.col("c")))).join(ranked.drop("up"), ["at", "b", "down"])
-    upper = placed.withColumn("up", F.explode(F.sequence(F.col("c") + 1, F.col("c") + most + 1))).join(ranked.drop("down"), ["at", "b", "up"])
-    columns = ["k", "l", "p", "at", "k2", "p2"]
-    gap_p, gap_l = F.abs(F.col("p") - F.col("p2")), F.abs(F.col("l") - F.col("at"))
-    pairs = far.select(columns).unionByName(lower.select(columns)).unionByName(upper.select(columns)).where((F.col("k") != F.col("k2")) & (gap_p <= price_tolerance))
-    best = F.row_number().over(Window.partitionBy("k").orderBy(gap_p, gap_l, "k2"))
-    return pairs.withColumn("rank", best.cast("long")).where(F.col("rank") <= most).select(F.col("k").alias(key), F.col("k2").alias(f"similar_{key}"), "rank")
-
-
-def _ends(rows: DataFrame, most: int) -> DataFrame:
-    """For each length and price bucket the ``most`` dearest and the ``most`` cheapest products, cut before anything is gathered."""
-    group = Window.partitionBy("l", "b")
-    out = []
-    for name, order in (("dearest", F.desc("p")), ("cheapest", F.asc("p"))):
-        top = rows.withColumn("r", F.row_number().over(group.orderBy(order, "k"))).where(F.col("r") <= most)
-        out.append(top.groupBy(F.col("l").alias("at"), "b").agg(F.collect_list(F.struct("k", "p")).alias(name)))
-    return out[0].join(out[1], ["at", "b"])
+    there = points.select(F.col("l").alias("at"), F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), "p", F.lit(0).alias("i"), F.lit(None).cast(rows.schema["l"].dataType).alias("l"), F.struct("p", "keys").alias("point"))
+    looks = points.join(lengths, "l").select("at", "b", "p", F.lit(1).alias("i"), "l", F.lit(None).cast(there.schema["point"].dataType).alias("point"))
+    line = "IGNORE NULLS OVER (PARTITION BY at, b ORDER BY p, i)"
+    near = F.array(*[F.expr(f"{side}(point, {n}) {line}") for side in ("lag", "lead") for n in range(1, most + 2)])
+    found = there.unionByName(looks).withColumn("near", near).where("i = 1").withColumn("near", F.array_compact("near"))
+    gaps = F.flatten(F.transform("near", lambda x: F.transform(x["keys"], lambda k: F.struct(F.abs(F.col("p") - x["p"]).alias("gap_p"), F.abs(F.col("l") - F.col("at")).alias("gap_l"), k.alias("k")))))
+    best = F.slice(F.array_sort(F.filter(gaps, lambda x: x["gap_p"] <= price_tolerance)), 1, most + 1)
+    lists = found.select("l", "p", best.alias("best")).groupBy("l", "p").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, most + 1).alias("best"))
+    picked = F.slice(F.filter("best", lambda x: x["k"] != F.col("k")), 1, most)
+    return rows.join(lists, ["l", "p"]).select("k", F.posexplode(picked).alias("at", "x")).select(F.col("k").alias(key), F.col("x.k").alias(f"similar_{key}"), (F.col("at") + 1).cast("long").alias("rank"))
 
 
 def open_seasons(rows: DataFrame, seasons: DataFrame, state: str, day: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import lists
+from larkspur.sources.scratch import stored
 
 
 def numbered(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
@@ -14,6 +15,18 @@ def numbered(rows: DataFrame, group: list[str], order: list[Column]) -> DataFram
     return rows.withColumn("position", F.row_number().over(w).cast("long")).withColumn("first", F.col("position") == 1)
 
 
+def gapless(rows: DataFrame, order: list[str], name: str = "index") -> DataFrame:
+    """``rows`` numbered from 0 without gaps, by ``order``, over all of them and not in one task.
+
+    Ranges are sorted and numbered apart and written; what is before a range is a running total over a row for each range. Equal rows come in any order."""
+    ranges = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    ranges = ranges.withColumn("_range", F.shiftright("_at", 33))
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = sizes.select("_range", (before - F.col("_first")).alias("_shift"))
+    return ranges.join(F.broadcast(shift), "_range").withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
+
+
 def top(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
     """OR3 to OR5: Spark keeps n rows in each task and merges those."""
     return rows.orderBy(*order).limit(n)

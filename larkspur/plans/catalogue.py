@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import lists, numbers, text
-from larkspur.operators import aggregates, feeds, joins, rule_index, rules
+from larkspur.operators import aggregates, feeds, joins, rule_index, rules, search
 from larkspur.plans.registry import Tables, query
 from larkspur.sources import sinks, tables
 from larkspur.sources.scratch import scratch
@@ -325,6 +325,27 @@ def pages_by_key(t: Tables) -> DataFrame:
     return t.spark.read.text(path).select("slug", F.col("value").alias("html"))
 
 
+@query(
+    "sk1_changed_pages",
+    "SELECT 's' || s_suppkey AS slug, CASE s_suppkey % 10 WHEN 0 THEN 'new' WHEN 1 THEN 'changed' ELSE 'removed' END AS change FROM supplier WHERE s_suppkey % 10 IN (0, 1, 9)",
+)
+def changed_pages(t: Tables) -> DataFrame:
+    """What a second run over pages that came, changed and went writes and removes."""
+    return _published_twice(t)[1]
+
+
+@query("sk1_published_pages", "SELECT 's' || s_suppkey AS slug, s_name || CASE WHEN s_suppkey % 10 = 1 THEN ' in stock' ELSE '' END AS html FROM supplier WHERE s_suppkey % 10 <> 9")
+def published_pages(t: Tables) -> DataFrame:
+    return t.spark.read.text(_published_twice(t)[0]).select("slug", F.col("value").alias("html"))
+
+
+def _published_twice(t: Tables) -> tuple[str, DataFrame]:
+    path, own = scratch(t.spark, "site"), F.concat(F.lit("s"), "s_suppkey").alias("slug")
+    sinks.publish_pages(t.supplier.where("s_suppkey % 10 <> 0").select(own, F.col("s_name").alias("html")), path)
+    html = F.concat("s_name", F.when(F.col("s_suppkey") % 10 == 1, " in stock").otherwise(""))
+    return path, sinks.publish_pages(t.supplier.where("s_suppkey % 10 <> 9").select(own, html.alias("html")), path)
+
+
 @query("sk2_single_page", "SELECT string_agg(r_name, ' | ' ORDER BY r_regionkey) AS html FROM region")
 def single_page(t: Tables) -> DataFrame:
     path = scratch(t.spark, "page")
@@ -353,6 +374,33 @@ def sitemap(t: Tables) -> DataFrame:
     return t.spark.read.format("xml").option("rowTag", "url").schema("loc string").load(path)
 
 
+@query(
+    "sk5_sitemap_files",
+    "SELECT loc, (row_number() OVER (ORDER BY loc) - 1) // 700 AS file FROM (SELECT 'https://shop.example/product/' || p_partkey || '/?a=1&b=' || p_size AS loc FROM part UNION SELECT DISTINCT 'https://shop.example/brand/' || replace(p_brand, '#', '-') || '/' FROM part)",
+)
+def sitemap_files(t: Tables) -> DataFrame:
+    """All products' and brands' addresses in files of 700, read by way of the index."""
+    path = scratch(t.spark, "sitemaps")
+    product = F.concat(F.lit("https://shop.example/product/"), "p_partkey", F.lit("/?a=1&b="), "p_size").alias("loc")
+    brand = F.concat(F.lit("https://shop.example/brand/"), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("/")).alias("loc")
+    sinks.write_sitemaps(t.part.select(product).unionByName(t.part.select(brand)), path, "https://shop.example", most=700)
+    return sinks.read_sitemaps(t.spark, path)
+
+
+_POSTINGS_SQL = (
+    "t AS (SELECT p_partkey AS sku, unnest(regexp_split_to_array(trim(lower(p_name)), '\\s+')) AS term FROM part), f AS (SELECT sku, term, count(*) AS tf FROM t GROUP BY 1, 2), "
+    "v AS (SELECT term, count(*) AS df FROM f GROUP BY 1), s AS (SELECT sku, word, sum(tf * ln(1 + (SELECT count(*) FROM part) / df)) AS score FROM f JOIN v USING (term) JOIN (VALUES ('re'), ('ol')) AS w(word) ON contains(term, word) GROUP BY 1, 2)"
+)
+
+
+@query("sk6_search_by_index", f"WITH {_POSTINGS_SQL} SELECT sku, round(sum(score), 6) AS score, row_number() OVER (ORDER BY round(sum(score), 6) DESC, sku) AS rank FROM s GROUP BY sku HAVING count(*) = 2 ORDER BY rank LIMIT 50")
+def search_by_index(t: Tables) -> DataFrame:
+    """The first fifty hits for two parts of words, by an index of all products' names."""
+    path = scratch(t.spark, "index")
+    search.build(t.part, path, "p_partkey", "p_name")
+    return search.top(t.spark, path, "ol RE", 50).withColumnRenamed("key", "sku")
+
+
 @query("sk6_site_search", "SELECT p_partkey AS sku FROM part WHERE contains(lower(p_name), 'red') AND contains(lower(p_name), 'bolt')")
-def search(t: Tables) -> DataFrame:
+def scanned(t: Tables) -> DataFrame:
     return t.part.where(text.site_search(F.col("p_name"), "Bolt red")).select(F.col("p_partkey").alias("sku"))

@@ -2,15 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import escape
+from larkspur.operators.ranking import gapless
+from larkspur.sources.files import Files
+from larkspur.sources.scratch import stored
+
 
 def write_pages(pages: DataFrame, path: str, key: str = "slug", body: str = "html") -> None:
     """SK1: one folder of text for each key, old ones replaced."""
     pages.select(key, body).write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(path)
 
 
+_MANIFEST = "_manifest"
+
+
+def publish_pages(pages: DataFrame, path: str, key: str = "slug", body: str = "html") -> DataFrame:
+    """SK1 over again: only pages that are new or differ from what was published are written, pages that are gone are removed.
+
+    A manifest of hashes is kept beside the pages, a version for each run, committed when all pages are written; a run that fails before
+    that leaves the old one, and the next run writes the same pages again. Returns what was done: ``key`` and ``change`` (new, changed,
+    removed). A key is there once; pages without a key aren't published."""
+    spark = pages.sparkSession
+    files = Files(spark, path)
+    versions = sorted(int(n.split("=")[1]) for n in files.names(_MANIFEST) if "=" in n and "_SUCCESS" in files.names(f"{_MANIFEST}/{n}"))
+    now = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias(key), body, F.sha2(F.coalesce(body, F.lit("")).cast("binary"), 256).alias("sha256"))
+    schema = f"`{key}` string, sha256 string"
+    before = spark.read.schema(schema).parquet(f"{path}/{_MANIFEST}/v={versions[-1]}") if versions else spark.createDataFrame([], schema)
+    met = now.select(key, "sha256").join(before.withColumnRenamed("sha256", "_old"), key, "full")
+    change = F.when(F.col("_old").isNull(), "new").when(F.col("sha256").isNull(), "removed").when(F.col("_old") != F.col("sha256"), "changed")
+    log = stored(met.select(key, change.alias("change")).where(F.col("change").isNotNull()), "published")
+    touched = now.join(log.where("change <> 'removed'").select(key), key, "left_semi")
+    touched.select(key, body).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).option("lineSep", "\n").text(path)
+    now.select(key, "sha256").write.mode("overwrite").parquet(f"{path}/{_MANIFEST}/v={versions[-1] + 1 if versions else 0}")
+    named = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for r in log.where("change = 'removed'").toLocalIterator():
+        files.delete(f"{key}={named(r[key])}")
+    for v in versions[:-1]:
+        files.delete(f"{_MANIFEST}/v={v}")
+    return log
+
+
 def write_page(page: DataFrame, path: str, body: str = "html") -> None:
     """SK2: one page, one file."""
     page.select(body).coalesce(1).write.mode("overwrite").text(path)
@@ -29,3 +65,43 @@ def capped_json(items: Column, most: int = 12) -> Column:
 def write_sitemap(urls: DataFrame, path: str) -> None:
     """SK5: ``urlset`` of ``url`` rows with ``loc``."""
     urls.select("loc").write.mode("overwrite").format("xml").options(rootTag='urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"', rowTag="url").save(path)
+
+
+#: The protocol's bound on the addresses of a file, and its name space.
+MOST_ADDRESSES = 50_000
+_SPACE = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+
+
+def write_sitemaps(urls: DataFrame, path: str, site: str, most: int = MOST_ADDRESSES) -> int:
+    """SK5 for any number of addresses: files of ``most`` at most, in the order of addresses, and an index of them; returns how many.
+
+    Addresses are numbered without being brought to one task, a file's are joined in one (``most`` of them). Each run writes files
+    of new names; the index (``sitemap.xml``) is replaced last, so that it never names a file that isn't whole, and only then are older files
+    removed. An address is listed once, null isn't listed."""
+    spark, run = urls.sparkSession, uuid.uuid4().hex[:12]
+    files = Files(spark, path)
+    numbered = gapless(urls.where(F.col("loc").isNotNull()).select("loc").distinct(), ["loc"])
+    entry = F.concat(F.lit("<url><loc>"), escape(F.col("loc")), F.lit("</loc></url>"))
+    packed = numbered.select(F.expr(f"index div {most}").alias("file"), "index", entry.alias("entry")).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("index", "entry"))).alias("entries"))
+    body = F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<urlset {_SPACE}>\n'), F.array_join(F.transform("entries", lambda x: x["entry"]), "\n"), F.lit("\n</urlset>"))
+    packed.select("file", body.alias("body")).write.partitionBy("file").text(f"{path}/_{run}")
+    found = sorted(int(n.split("=")[1]) for n in files.names(f"_{run}") if n.startswith("file="))
+    for n in found:
+        (part,) = [x for x in files.names(f"_{run}/file={n}") if x.startswith("part-")]
+        files.move(f"_{run}/file={n}/{part}", f"sitemap-{run}-{n}.xml")
+    listed = "\n".join(f"<sitemap><loc>{site}/sitemap-{run}-{n}.xml</loc></sitemap>" for n in found)
+    files.replace("sitemap.xml", f'<?xml version="1.0" encoding="UTF-8"?>\n<sitemapindex {_SPACE}>\n{listed}\n</sitemapindex>')
+    for name in files.names():
+        if name.startswith(("sitemap-", "_")) and not name.startswith(f"sitemap-{run}-"):
+            files.delete(name)
+    return len(found)
+
+
+def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
+    """``loc`` and ``file`` (its number) of all addresses that the index leads to."""
+    index = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(f"{path}/sitemap.xml")
+    names = [r["loc"].rsplit("/", 1)[1] for r in index.collect()]
+    if not names:
+        return spark.createDataFrame([], "loc string, file long")
+    found = spark.read.format("xml").option("rowTag", "url").schema("loc string").load([f"{path}/{n}" for n in names])
+    return found.withColumn("file", F.regexp_extract(F.input_file_name(), r"-(\d+)\.xml$", 1).cast("long"))
