@@ -24,7 +24,7 @@ def _bucket(term: Column) -> Column:
 
 def _schema(key: T.DataType) -> T.StructType:
     """Of the postings, which an index without texts doesn't tell."""
-    return T.StructType().add("term", "string").add("key", key).add("tf", "long").add("bucket", "int")
+    return T.StructType().add("term", "string").add("key", key).add("tf", "long").add("bucket", "integer")
 
 
 def build(rows: DataFrame, path: str, key: str, text: str) -> None:
