@@ -8,7 +8,8 @@ member's extra field, tells where the next begins (members of other writers with
 
 Writing makes gzip members of one record each and starts a new file at ``max_file_bytes``. Files that a
 failed or repeated task leaves behind are no part of the archive: the commit on the driver lists the files of
-the tasks that count in ``_files.json``, and the reader goes by that list where there is one.
+the tasks that count in a ``_files-….json`` of its own, and the reader goes by all such lists where there are any. So writes to one
+folder add up, and one that fails changes nothing; one in mode ``overwrite`` removes the lists and files before it when its own list is there.
 
 ``archive`` prepares records: of equal payloads of at least ``min_bytes`` the row with the smallest key is the
 response and the others revisit it; smaller ones are all responses. A null payload is an empty one. A row with
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-MANIFEST = "_files.json"
+#: Lists of files: each write commits one of its own, a reader takes all of them.
+LIST, LISTS = "_files-{}.json", re.compile(r"_files.*\.json")
 #: Fixed values of the format: header names for the pushed-down columns.
 HEADER_OF = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -272,12 +274,7 @@ class WarcReader(DataSourceReader):
         if system.get_file_info(path).type == fs.FileType.File:
             return [FilePartition(self.path)]
         base = self.path.rstrip("/")
-        if system.get_file_info(f"{path}/{MANIFEST}").type == fs.FileType.File:
-            with system.open_input_stream(f"{path}/{MANIFEST}") as f:
-                names = json.loads(f.read())
-        else:
-            names = sorted(x.base_name for x in system.get_file_info(fs.FileSelector(path)) if re.search(r"\.warc(\.gz)?$", x.base_name))
-        return [FilePartition(f"{base}/{n}") for n in names] or [FilePartition("")]
+        return [FilePartition(f"{base}/{n}") for n in _committed(system, path)] or [FilePartition("")]
 
     def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
         if not partition.path:
@@ -299,14 +296,37 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
 
 
+def _lists(system: fs.FileSystem, path: str) -> list[str]:
+    return sorted(x.base_name for x in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if LISTS.fullmatch(x.base_name))
+
+
+def _listed(system: fs.FileSystem, path: str, lists: list[str]) -> list[str]:
+    names: set[str] = set()
+    for name in lists:
+        with system.open_input_stream(f"{path}/{name}") as f:
+            names |= set(json.loads(f.read()))
+    return sorted(names)
+
+
+def _committed(system: fs.FileSystem, path: str) -> list[str]:
+    """The archives of a folder: those on any write's list, or all where there is no list."""
+    if lists := _lists(system, path):
+        return _listed(system, path, lists)
+    return sorted(x.base_name for x in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if re.search(r"\.warc(\.gz)?$", x.base_name))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     names: list[str]
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict[str, str]):
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
+        self.overwrite = overwrite
         self.path = options["path"].rstrip("/")
+        system, path = _open(self.path)
+        # Archives of other writers, in a folder without a list: they stay readable when it gets one.
+        self.unlisted = [] if overwrite or _lists(system, path) else _committed(system, path)
         self.date = options.get("date", "2024-01-01T00:00:00Z")
         self.level = int(options.get("level", 6))
         self.max_bytes = int(options.get("max_file_bytes", 64_000_000))
@@ -334,8 +354,14 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         system, path = _open(self.path)
         system.create_dir(path, recursive=True)
-        with system.open_output_stream(f"{path}/{MANIFEST}", compression=None) as f:
-            f.write(json.dumps(sorted(n for m in messages if m for n in m.names)).encode())
+        before = _lists(system, path)
+        names = sorted({*self.unlisted, *(n for m in messages if m for n in m.names)})
+        with system.open_output_stream(f"{path}/{LIST.format(uuid.uuid4().hex)}", compression=None) as f:
+            f.write(json.dumps(names).encode())
+        if self.overwrite:
+            gone = set(_listed(system, path, before)) - set(names)
+            for n in [*before, *sorted(gone)]:
+                system.delete_file(f"{path}/{n}")
 
     def abort(self, messages: list[Written | None]) -> None:
         system, path = _open(self.path)
@@ -356,7 +382,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -398,6 +424,7 @@ def key_of(record_id: Column) -> Column:
 
 
 def write(records: DataFrame, path: str, **options: str) -> None:
+    """Add records to a folder: readers find those of every write that was committed."""
     register(records.sparkSession)
     records.write.format("warc").mode("append").options(**options).save(path)
 
