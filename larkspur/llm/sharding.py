@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_A_BIN, LEAST_BINS, MOST_BINS, NULL_BINS = 50_000, 512, 8192, 64
+ROWS_A_BIN, LEAST_BINS, MOST_BINS, LEAST_NULL_BINS = 50_000, 512, 8192, 64
 
 
 class Feistel:
@@ -83,15 +83,16 @@ class Feistel:
 def number_rows(rows: DataFrame) -> tuple[DataFrame, int]:
     """Columns doc_id, text_crc32, size and the global row number ``row``; and how many rows there are."""
     counted = rows.groupBy("doc_id", "text_crc32", "size").agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.count()
+    total, nulls = rows.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
     if not total:
         return counted.select("doc_id", "text_crc32", "size", F.lit(0).cast("long").alias("row")), 0
     bins = min(MOST_BINS, max(LEAST_BINS, total // ROWS_A_BIN))
+    null_bins = min(MOST_BINS, max(LEAST_NULL_BINS, nulls // ROWS_A_BIN))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / bins for i in range(1, bins)], 100 * bins)).first()[0] or []
     cuts, own = np.unique(np.array(cuts, dtype=np.int64), return_counts=True)
     # Pieces of the ids from each cut on, and where they begin: those of an id that several cuts fall on, and one for the rest.
     pieces = np.append(1, np.where(own > 1, own + 1, 1))
-    begin = NULL_BINS + np.cumsum(pieces) - pieces
+    begin = null_bins + np.cumsum(pieces) - pieces
 
     @F.pandas_udf(T.IntegerType())
     def bin_of(doc_id: pd.Series, crc: pd.Series) -> pd.Series:
@@ -102,10 +103,10 @@ def number_rows(rows: DataFrame) -> tuple[DataFrame, int]:
         return pd.Series((begin[at] + np.where(hot, crc.to_numpy(dtype=np.int64) * n >> 32, n)).astype(np.int32))
 
     # No null reaches the function: pandas would turn the ids into doubles.
-    null_bin = F.shiftright(F.col("text_crc32") * NULL_BINS, 32).cast("int")
+    null_bin = F.shiftright(F.col("text_crc32") * null_bins, 32).cast("int")
     binned = counted.withColumn("_bin", F.when(F.col("doc_id").isNull(), null_bin).otherwise(bin_of(F.coalesce("doc_id", F.lit(0)), "text_crc32")))
     sizes = binned.groupBy("_bin").agg(F.sum("_n").alias("n")).toPandas()
-    per_bin = np.zeros(NULL_BINS + int(pieces.sum()), dtype=np.int64)
+    per_bin = np.zeros(null_bins + int(pieces.sum()), dtype=np.int64)
     per_bin[sizes["_bin"].to_numpy()] = sizes["n"].to_numpy()
     before = np.cumsum(per_bin) - per_bin
 
