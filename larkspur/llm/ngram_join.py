@@ -438,5 +438,7 @@ def one_of_each_class(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_i
     repeated = fate.where("stays")
     if repeated.isEmpty():
         return kept
-    again = whole.join(repeated, ["x", "d", "mark"]).groupBy("x", "d", "mark").agg(F.min("row").alias("row"))
+    # Columns with a map have no order; they go by their JSON.
+    order = [F.to_json(F.struct(F.col("row")[f.name])) if "map<" in f.dataType.simpleString() else F.col("row")[f.name] for f in docs.schema.fields]
+    again = whole.join(repeated, ["x", "d", "mark"]).groupBy("x", "d", "mark").agg(F.min_by("row", F.struct(*order)).alias("row"))
     return kept.unionByName(again.select("row.*"))
