@@ -33,7 +33,7 @@ def with_each(left: DataFrame, dimension: DataFrame, most: int = SMALL_ROWS) ->
         return left.crossJoin(F.broadcast(dimension))
     numbered = gapless(dimension.withColumn("_h", F.xxhash64(*dimension.columns)), ["_h"], "_i")
     pieces = -(-numbered.count() // most)
-    return reduce(DataFrame.unionByName, [left.crossJoin(F.broadcast(numbered.where(F.expr(f"_i div {most}") == i).drop("_h", "_i"))) for i in range(pieces)])
+    return reduce(DataFrame.union, [left.crossJoin(F.broadcast(numbered.where(F.expr(f"_i div {most}") == i).drop("_h", "_i"))) for i in range(pieces)])
 
 
 def others(rows: DataFrame, key: str, group: list[str], prefix: str = "other_") -> DataFrame:

@@ -287,9 +287,9 @@ def _feeds(t: Tables) -> tuple[DataFrame, DataFrame]:
     one = F.col("p_partkey").cast("string").alias("sku")
     price = F.col("p_retailprice").cast("decimal(10,2)")
     fixed = [F.lit("folding").alias("blade_type"), F.lit(None).cast("string").alias("edge_count")]
-    before = t.part.where("p_partkey % 10 > 0").select(one, F.lit("manual").alias("opening"), *fixed, price.alias("price"))
+    before = t.part.where("p_size % 10 > 0").select(one, F.lit("manual").alias("opening"), *fixed, price.alias("price"))
     opening = F.when(F.col("p_type") == "PROMO", "OTF").when(F.col("p_type") == "LARGE", "pedal").otherwise("manual")
-    after = t.part.where("p_partkey % 10 <> 9").select(one, opening.alias("opening"), *fixed, F.when(F.col("p_size") == 1, 0).when(F.col("p_size") == 2, price + 1).otherwise(price).cast("decimal(10,2)").alias("price"))
+    after = t.part.where("p_size % 10 <> 9").select(one, opening.alias("opening"), *fixed, F.when(F.col("p_size") == 1, 0).when(F.col("p_size") == 2, price + 1).otherwise(price).cast("decimal(10,2)").alias("price"))
     return before, after
 
 
@@ -298,7 +298,7 @@ _CHANGED = "(p_type IN ('PROMO', 'LARGE') OR p_size IN (1, 2))"
 
 @query(
     "sc8_feed_changes",
-    f"SELECT p_partkey::VARCHAR AS sku, CASE WHEN p_partkey % 10 = 0 THEN 'inserted' WHEN p_partkey % 10 = 9 THEN 'removed' ELSE 'changed' END AS change, p_partkey % 10 <> 9 AND (p_type = 'LARGE' OR p_size = 1) AS rejected FROM part WHERE p_partkey % 10 IN (0, 9) OR {_CHANGED}",
+    f"SELECT p_partkey::VARCHAR AS sku, CASE WHEN p_size % 10 = 0 THEN 'inserted' WHEN p_size % 10 = 9 THEN 'removed' ELSE 'changed' END AS change, p_size % 10 <> 9 AND (p_type = 'LARGE' OR p_size = 1) AS rejected FROM part WHERE p_size % 10 IN (0, 9) OR {_CHANGED}",
 )
 def feed_changes(t: Tables) -> DataFrame:
     return feeds.imported(*_feeds(t))[1]
@@ -307,13 +307,13 @@ def feed_changes(t: Tables) -> DataFrame:
 @query(
     "sc8_catalogue_after_import",
     "SELECT p_partkey::VARCHAR AS sku, CASE WHEN p_type = 'PROMO' AND NOT bad THEN 'OTF' ELSE 'manual' END AS opening, (CASE WHEN bad OR p_size <> 2 THEN p_retailprice ELSE p_retailprice + 1 END)::DECIMAL(10, 2)::DOUBLE AS price "
-    "FROM (SELECT *, p_type = 'LARGE' OR p_size = 1 AS bad FROM part) WHERE p_partkey % 10 BETWEEN 1 AND 8 OR (p_partkey % 10 = 0 AND NOT bad)",
+    "FROM (SELECT *, p_type = 'LARGE' OR p_size = 1 AS bad FROM part) WHERE p_size % 10 BETWEEN 1 AND 8 OR (p_size % 10 = 0 AND NOT bad)",
 )
 def catalogue_after_import(t: Tables) -> DataFrame:
     return feeds.imported(*_feeds(t))[0].select("sku", "opening", F.col("price").cast("double").alias("price"))
 
 
-@query("sc8_quarantine", "SELECT p_partkey::VARCHAR AS sku, CASE WHEN p_type = 'LARGE' AND p_size = 1 THEN 'opening=pedal price=0.00' WHEN p_size = 1 THEN 'price=0.00' ELSE 'opening=pedal' END AS faults FROM part WHERE p_partkey % 10 <> 9 AND (p_type = 'LARGE' OR p_size = 1)")
+@query("sc8_quarantine", "SELECT p_partkey::VARCHAR AS sku, CASE WHEN p_type = 'LARGE' AND p_size = 1 THEN 'opening=pedal price=0.00' WHEN p_size = 1 THEN 'price=0.00' ELSE 'opening=pedal' END AS faults FROM part WHERE p_size % 10 <> 9 AND (p_type = 'LARGE' OR p_size = 1)")
 def quarantine(t: Tables) -> DataFrame:
     return feeds.imported(*_feeds(t))[2].select("sku", F.array_join("faults", " ").alias("faults"))
 
@@ -327,23 +327,23 @@ def pages_by_key(t: Tables) -> DataFrame:
 
 @query(
     "sk1_changed_pages",
-    "SELECT 's' || s_suppkey AS slug, CASE s_suppkey % 10 WHEN 0 THEN 'new' WHEN 1 THEN 'changed' ELSE 'removed' END AS change FROM supplier WHERE s_suppkey % 10 IN (0, 1, 9)",
+    "SELECT 's' || s_suppkey AS slug, CASE s_nationkey WHEN 0 THEN 'new' WHEN 1 THEN 'changed' ELSE 'removed' END AS change FROM supplier WHERE s_nationkey IN (0, 1, 9)",
 )
 def changed_pages(t: Tables) -> DataFrame:
     """What a second run over pages that came, changed and went writes and removes."""
     return _published_twice(t)[1]
 
 
-@query("sk1_published_pages", "SELECT 's' || s_suppkey AS slug, s_name || CASE WHEN s_suppkey % 10 = 1 THEN ' in stock' ELSE '' END AS html FROM supplier WHERE s_suppkey % 10 <> 9")
+@query("sk1_published_pages", "SELECT 's' || s_suppkey AS slug, s_name || CASE WHEN s_nationkey = 1 THEN ' in stock' ELSE '' END AS html FROM supplier WHERE s_nationkey <> 9")
 def published_pages(t: Tables) -> DataFrame:
     return t.spark.read.text(_published_twice(t)[0]).select("slug", F.col("value").alias("html"))
 
 
 def _published_twice(t: Tables) -> tuple[str, DataFrame]:
     path, own = scratch(t.spark, "site"), F.concat(F.lit("s"), "s_suppkey").alias("slug")
-    sinks.publish_pages(t.supplier.where("s_suppkey % 10 <> 0").select(own, F.col("s_name").alias("html")), path)
-    html = F.concat("s_name", F.when(F.col("s_suppkey") % 10 == 1, " in stock").otherwise(""))
-    return path, sinks.publish_pages(t.supplier.where("s_suppkey % 10 <> 9").select(own, html.alias("html")), path)
+    sinks.publish_pages(t.supplier.where("s_nationkey <> 0").select(own, F.col("s_name").alias("html")), path)
+    html = F.concat("s_name", F.when(F.col("s_nationkey") == 1, " in stock").otherwise(""))
+    return path, sinks.publish_pages(t.supplier.where("s_nationkey <> 9").select(own, html.alias("html")), path)
 
 
 @query("sk2_single_page", "SELECT string_agg(r_name, ' | ' ORDER BY r_regionkey) AS html FROM region")
