@@ -3,7 +3,8 @@
 An item counts as leaked into a document if some stretch of the document is within ``1 - similarity`` of the
 item's words in edits (insert, drop, change a word). Words are runs of letters, digits and underscores,
 lower-cased; in scripts that are written without spaces each letter is a word of its own. Items of fewer than
-``min_words`` words are found where all their words stand unchanged and in order.
+``min_words`` words are so few that all places are verified where a run of their words stands that ``similarity`` must
+leave unbroken; where it allows them no edit (at 0.8), that run is the item.
 
 Candidates come from CGK embeddings. A random walk over a word sequence emits the word under its pointer at
 every step and moves on by a random bit of (walk, step, word); few edits between two sequences become few
@@ -19,9 +20,11 @@ Walks are only made where they can lead anywhere: an item of n words with k edit
 (n - k) / (k + 1) of its words (or a piece's) unbroken, so windows must begin at most an item's length before such a run. That
 condition is necessary for every pair that verification can confirm; it loses none and names no item.
 
-Different item texts go to the executors in blocks of ``block_bytes`` at most, one pass over the documents for each: what
-is collected and broadcast is bounded however many items there are, and of several blocks one at a time is held by the
-driver, its matches stored before the next. Copies of an item are looked for once; their ids are joined to the matches.
+Different item texts go to the executors in blocks, one pass over the documents for each. What is sent for a text (its words,
+runs and keys, about 1,300 bytes a piece) is reckoned beforehand, and a block is filled up to ``block_bytes`` of it; only a text
+that is larger by itself makes a larger block. So what is collected and broadcast is bounded however many items there are. Of
+several blocks the driver holds one at a time; its matches are stored and its broadcast destroyed before the next.
+Copies of an item are looked for once; their ids are joined to the matches.
 
 Items without a word (null and empty ones among them) are not looked for. Null and empty documents contain nothing;
 documents of any length are searched whole. Of several places of an item in a document the one with the fewest edits is
@@ -41,7 +44,8 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,7 +63,9 @@ MATCHES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("it
 
 @dataclass(frozen=True)
 class Settings:
-    """Defaults reach a recall over 0.99 at the lowest similarity (measured in the tests)."""
+    """Defaults find nine of ten items at least that have all the edits they may have (the tests ask that, for 5 to 200 words).
+
+    ``block_bytes``: what a block of items may take when it is sent."""
 
     similarity: float = 0.8
     min_words: int = 5
@@ -69,7 +75,7 @@ class Settings:
     samples: int = 3
     size_step: float = 1.4
     seed: int = 20240229
-    block_bytes: int = 16_000_000
+    block_bytes: int = 64_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,6 +85,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _bits(keys: np.ndarray, n: int) -> np.ndarray:
+    """Which values of their first n bits the keys have."""
+    bits = np.zeros(1 << n, dtype=bool)
+    bits[(keys >> np.uint64(64 - n)).astype(np.int64)] = True
+    return bits
+
+
 def best_edits(pattern: list[int], text: list[int]) -> tuple[int, int]:
     """Fewest edits that make ``pattern`` of a stretch of ``text``, and where the first such stretch ends (bit-parallel)."""
     n = len(pattern)
@@ -105,6 +118,8 @@ class Items:
     """One block of benchmark items, with the keys of their walks."""
 
     def __init__(self, item_ids: list, texts: list[str | None], settings: Settings):
+        if not 0 < settings.similarity <= 1:
+            raise ValueError("similarity must be over 0 and at most 1")
         self.settings = settings
         self.vocabulary: dict[str, int] = {}
         by_words: dict[tuple[int, ...], list] = {}  # equal sequences of words are looked for once
@@ -112,69 +127,86 @@ class Items:
             words = WORD.findall((text or "").lower())
             if words:
                 by_words.setdefault(tuple(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words), []).append(item)
-        long = [w for w in by_words if len(w) >= settings.min_words]
-        self.words: list[list[int]] = [list(w) for w in long]
-        self.edits = [int(math.floor((1 - settings.similarity) * len(w) + 1e-9)) for w in self.words]
-        self.walked = len(self.words)
-        #: What walks are made for: an item, the place of the piece in it, and the piece's words.
-        self.pieces: list[tuple[int, int, list[int]]] = []
-        for i, w in enumerate(self.words):
-            cuts = np.linspace(0, len(w), -(-len(w) // settings.piece_words) + 1).astype(int).tolist()
-            self.pieces += [(i, a, w[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.piece_item, self.piece_at = (np.array([p[c] for p in self.pieces], dtype=np.int64) for c in (0, 1))
-        if self.words:
-            self._runs()
-            self._classes()
-        short = [w for w in by_words if len(w) < settings.min_words]
-        self.words += [list(w) for w in short]
+        long, short = ([w for w in by_words if (len(w) >= settings.min_words) == x] for x in (True, False))
+        self.words: list[list[int]] = [list(w) for w in long + short]
         #: The items of each sequence of words.
         self.ids: list[list] = [by_words[w] for w in long + short]
+        self.edits = [self._allowed(len(w)) for w in self.words]
+        self.walked = len(long)
+        #: What walks are made for: a piece of an item, its place in it, and its words.
+        pieces: list[list[int]] = []
+        piece_item, piece_at = [], []
+        for i, w in enumerate(self.words[: self.walked]):
+            cuts = np.linspace(0, len(w), -(-len(w) // settings.piece_words) + 1).astype(int).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                pieces.append(w[a:b])
+                piece_item.append(i)
+                piece_at.append(a)
+        self.piece_item, self.piece_at = np.array(piece_item, dtype=np.int64), np.array(piece_at, dtype=np.int64)
+        self.run_keys: dict[int, np.ndarray] = {}
+        self.classes: list[list] = []
+        if pieces:
+            self._runs(pieces)
+            self._classes(pieces)
         self._short()
+        self._look_up()
+
+    def _allowed(self, n: int) -> int:
+        return int(math.floor((1 - self.settings.similarity) * n + 1e-9))
 
-    def _runs(self) -> None:
-        edits = [int(math.floor((1 - self.settings.similarity) * len(w) + 1e-9)) for _, _, w in self.pieces]
-        self.longest = max(len(w) + k for (_, _, w), k in zip(self.pieces, edits, strict=True))
+    def _look_up(self) -> None:
+        """Bit tables before the keys; made again where a block arrives."""
+        self.run_bits = {g: _bits(keys, 20) for g, keys in self.run_keys.items()}
+        self.key_bits = [_bits(x[4], 16) for x in self.classes]
+        self.short_bits = {g: _bits(keys, 20) for g, (keys, _, _) in self.short.items()}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("run_bits", "key_bits", "short_bits")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._look_up()
+
+    def _runs(self, pieces: list[list[int]]) -> None:
+        self.longest = max(len(w) + self._allowed(len(w)) for w in pieces)
         runs: dict[int, list[int]] = {}
-        for (_, _, w), k in zip(self.pieces, edits, strict=True):
-            g = math.ceil((len(w) - k) / (k + 1))
-            a = np.array(w, dtype=np.int64)
-            runs.setdefault(g, []).extend(self.grams(a, g).tolist())
+        for w in pieces:
+            g = self._unbroken(len(w))
+            runs.setdefault(g, []).extend(self.grams(np.array(w, dtype=np.int64), g).tolist())
         self.run_keys = {g: np.unique(np.array(x, dtype=np.uint64)) for g, x in runs.items()}
-        self.run_bits = {}
-        for g, keys in self.run_keys.items():
-            bits = np.zeros(1 << 20, dtype=bool)
-            bits[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.run_bits[g] = bits
+
+    def _unbroken(self, n: int) -> int:
+        """Length of a run that n words keep however their edits fall."""
+        k = self._allowed(n)
+        return math.ceil((n - k) / (k + 1))
 
     def _short(self) -> None:
-        """Items below ``min_words``, by length: the hashes of their words in order, a bit table of them, and the items."""
+        """Items below ``min_words``: the hashes of their unbroken runs by length, with the items and the places in them."""
+        runs: dict[int, list[tuple[int, int, int]]] = {}
+        for i in range(self.walked, len(self.words)):
+            g = self._unbroken(len(self.words[i]))
+            h = self.grams(np.array(self.words[i], dtype=np.int64), g).tolist()
+            runs.setdefault(g, []).extend((x, i, at) for at, x in enumerate(h))
         self.short = {}
-        for n in sorted({len(w) for w in self.words[self.walked :]}):
-            own = np.array([i for i in range(self.walked, len(self.words)) if len(self.words[i]) == n])
-            keys = np.array([self.grams(np.array(self.words[i], dtype=np.int64), n)[0] for i in own], dtype=np.uint64)
-            order = np.argsort(keys, kind="stable")
-            bits = np.zeros(1 << 20, dtype=bool)
-            bits[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.short[n] = keys[order], own[order], bits
-
-    def exact(self, flat: np.ndarray, begin: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, first word, end, 0) of each short item in each text, at its first place."""
-        found = []
-        for n, (keys, items, bits) in self.short.items():
-            h = self.grams(flat, n)
-            at = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)])
+        for g, rows in sorted(runs.items()):
+            rows.sort()
+            h, i, at = zip(*rows, strict=True)
+            self.short[g] = np.array(h, dtype=np.uint64), np.array(i, dtype=np.int32), np.array(at, dtype=np.int32)
+
+    def _find_short(self, flat: np.ndarray, begin: np.ndarray, found: dict) -> None:
+        """Verify short items wherever one of their runs stands; about a million places at a time."""
+        for g, (keys, items, places) in self.short.items():
+            h = self.grams(flat, g)
+            at = np.flatnonzero(self.short_bits[g][(h >> np.uint64(44)).astype(np.int64)])
             doc = np.searchsorted(begin, at, side="right") - 1
-            inside = at + n <= begin[doc + 1]
+            inside = at + g <= begin[doc + 1]
             at, doc = at[inside], doc[inside]
             lo, hi = np.searchsorted(keys, h[at]), np.searchsorted(keys, h[at], side="right")
-            at, doc, item = np.repeat(at, hi - lo), np.repeat(doc, hi - lo), items[ragged.take(lo, hi - lo)]
-            if not len(at):
-                continue
-            pairs, first = np.unique(np.stack([doc, item]), axis=1, return_index=True)
-            for d, i, a in zip(*pairs.tolist(), at[first].tolist(), strict=True):
-                if flat[a : a + n].tolist() == self.words[i]:
-                    found.append((d, i, a - int(begin[d]), a + n - int(begin[d]), 0))
-        return found
+            part = np.cumsum(hi - lo) // 1_000_000
+            for own in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
+                n = hi[own] - lo[own]
+                which = ragged.take(lo[own], n)
+                self._verify(flat, begin, np.repeat(doc[own], n), np.repeat(at[own], n) - places[which], items[which].astype(np.int64), found)
 
     @staticmethod
     def grams(words: np.ndarray, g: int) -> np.ndarray:
@@ -187,19 +219,18 @@ class Items:
             h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n].astype(np.uint64) + np.uint64(1))
         return h
 
-    def _classes(self) -> None:
+    def _classes(self, pieces: list[list[int]]) -> None:
         s = self.settings
         rng = np.random.default_rng(s.seed)
-        lengths = np.array([len(w) for _, _, w in self.pieces])
+        lengths = np.array([len(w) for w in pieces])
         klass = np.floor(np.log(lengths / s.min_words) / math.log(s.size_step) + 1e-9).astype(int)
-        self.classes, self.key_bits = [], []
         for c in np.unique(klass):
             own = np.flatnonzero(klass == c)
             steps = max(s.samples, int(1.5 * lengths[own].min()))
             picks = [[np.sort(rng.choice(steps, size=s.samples, replace=False)) for _ in range(s.tables)] for _ in range(s.walks)]
             self.classes.append([c, own, steps, picks, None, None])
         self.steps = max(x[2] for x in self.classes)
-        flat = np.array([x for _, _, w in self.pieces for x in w], dtype=np.int64)
+        flat = np.array([x for w in pieces for x in w], dtype=np.int64)
         at = ragged.offsets(lengths)
         for k, (_, own, _, _, _, _) in enumerate(self.classes):
             keys, items = [], []
@@ -208,10 +239,7 @@ class Items:
                 items.append(own[known])
             keys, items = np.concatenate(keys), np.concatenate(items)
             order = np.argsort(keys, kind="stable")
-            self.classes[k][4], self.classes[k][5] = keys[order], items[order]
-            bits = np.zeros(1 << 16, dtype=bool)
-            bits[(keys >> np.uint64(48)).astype(np.int64)] = True
-            self.key_bits.append(bits)
+            self.classes[k][4], self.classes[k][5] = keys[order], items[order].astype(np.int32)
 
     def keys(self, flat: np.ndarray, start: np.ndarray, end: np.ndarray, which: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each table of the given classes: the keys of all sequences, and which of them hold only known words."""
@@ -264,9 +292,14 @@ class Items:
             return []
         flat = np.fromiter(map(self.vocabulary.get, words, repeat(OTHER)), dtype=np.int64, count=len(words))
         begin = ragged.offsets(np.array(count, dtype=np.int64))
-        short = self.exact(flat, begin)
-        if not self.walked:
-            return sorted(short)
+        found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        self._find_short(flat, begin, found)
+        if self.walked:
+            self._find_walked(flat, begin, found)
+        return [(d, item, *x) for (d, item), x in sorted(found.items())]
+
+    def _find_walked(self, flat: np.ndarray, begin: np.ndarray, found: dict) -> None:
+        """Verify items wherever a window shares a key with one of their pieces."""
         start, end = self.windows(flat, np.unique(begin))
         pairs = []
         for a in range(0, len(start), 20_000):
@@ -278,16 +311,13 @@ class Items:
                 lo, hi = np.searchsorted(keys, key[hit]), np.searchsorted(keys, key[hit], side="right")
                 if len(hit) and (hi > lo).any():
                     pairs.append(np.stack([np.repeat(s[hit], hi - lo), items[ragged.take(lo, hi - lo)]]))
-        if not pairs:
-            return sorted(short)
-        pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        return sorted(short + self._verify(flat, begin, pairs))
-
-    def _verify(self, flat, begin, pairs) -> list[tuple[int, int, int, int, int]]:
-        doc = np.searchsorted(begin, pairs[0], side="right") - 1
-        place, owner = pairs[0] - self.piece_at[pairs[1]], self.piece_item[pairs[1]]  # of the whole items
+        if pairs:
+            at, piece = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            self._verify(flat, begin, np.searchsorted(begin, at, side="right") - 1, at - self.piece_at[piece], self.piece_item[piece], found)
+
+    def _verify(self, flat: np.ndarray, begin: np.ndarray, doc: np.ndarray, place: np.ndarray, owner: np.ndarray, found: dict) -> None:
+        """Put (first word, end, edits) of each item ``owner`` at its best place into ``found``, by text and item."""
         order = np.lexsort((place, doc, owner))
-        found: dict[tuple[int, int], tuple[int, int, int]] = {}
         stretch: list[int] | None = None
         for i in [*order.tolist(), None]:
             if i is not None:
@@ -306,7 +336,6 @@ class Items:
                     found[d0, item0] = (lo0 + stop - back - int(begin[d0]), lo0 + stop - int(begin[d0]), edits)
             if i is not None:
                 stretch = [d, item, lo, hi]
-        return [(d, item, *x) for (d, item), x in sorted(found.items())]
 
 
 def _texts(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -315,24 +344,48 @@ def _texts(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     return use.withColumns({"h": F.xxhash64("t"), "g": F.xxhash64(F.lit("item"), "t")})
 
 
+def _sent(text: Column, settings: Settings) -> Column:
+    """About the bytes that a text takes in a block, rather more: keys by pieces; runs, numbers and vocabulary by words."""
+    words = F.regexp_count(text, F.lit(rf"(?U)[\w&&[^{UNSPACED}]]+|[{UNSPACED}]"))
+    pieces = F.ceil((words + 1) / settings.piece_words)
+    return pieces * (12 * settings.walks * settings.tables + 100) + 25 * words + F.octet_length(text) + 60
+
+
 def _blocks(items: DataFrame, settings: Settings) -> tuple[int, Iterator[Items]]:
-    """How many blocks there are, and the blocks: different texts, about ``block_bytes`` of them in each, collected as it is asked for."""
+    """How many blocks there are, and the blocks: different texts, ``block_bytes`` when sent, collected as it is asked for.
+
+    Of several blocks the texts are stored first, dealt by hash into portions of an eighth of a block; a block is as
+    many neighbouring portions as fit. The driver sees the sizes of portions."""
     texts = items.groupBy("h", "g").agg(F.first("t").alias("t"))
-    size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-2 * size // settings.block_bytes)
+    size = texts.agg(F.sum(_sent(F.col("t"), settings))).first()[0] or 0
+    if size <= settings.block_bytes:
+        return int(size > 0), (_block(texts, settings) for _ in range(int(size > 0)))
+    portions = -(-8 * size // settings.block_bytes)
+    dealt = texts.withColumn("portion", F.pmod(F.xxhash64("h", "g"), F.lit(portions)).cast("int")).repartition("portion").sortWithinPartitions("portion")
+    stash = Stash(items.sparkSession)
+    dealt, path = stash.save(dealt, "items")
+    starts, held = [], 0
+    for portion, sent in sorted(map(tuple, dealt.groupBy("portion").agg(F.sum(_sent(F.col("t"), settings))).collect())):
+        if not starts or held + sent > settings.block_bytes:
+            starts.append(portion)
+            held = 0
+        held += sent
 
     def collect() -> Iterator[Items]:
-        for block in range(n):
-            rows = texts if n == 1 else texts.where(F.pmod(F.xxhash64("h", "g"), F.lit(n)) == block)
-            rows = sorted((r["t"], r["h"], r["g"]) for r in rows.collect())
-            yield Items([(h, g) for _, h, g in rows], [t for t, _, _ in rows], settings)
+        for a, b in zip(starts, [*starts[1:], portions], strict=True):
+            yield _block(dealt.where(F.col("portion").between(a, b - 1)), settings)
+        stash.drop(path)
+
+    return len(starts), collect()
+
 
-    return n, collect()
+def _block(texts: DataFrame, settings: Settings) -> Items:
+    rows = sorted((r["t"], r["h"], r["g"]) for r in texts.select("t", "h", "g").collect())
+    return Items([(h, g) for _, h, g in rows], [t for t, _, _ in rows], settings)
 
 
-def _matches(docs: DataFrame, items: Items) -> DataFrame:
+def _matches(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """The matches of one block in documents (d, t), with the hashes of the items' texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
@@ -354,9 +407,11 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(),
     n, blocks = _blocks(items, settings)
     out = None
     for block in blocks:
-        found = _matches(use, block)
+        shared = spark.sparkContext.broadcast(block)
+        found = _matches(use, shared)
         if n > 1:
             found, _ = stash.save(found, "matches")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], MATCHES)
@@ -383,7 +438,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(
     body = F.coalesce(F.col(text), F.lit(""))
     key = [F.xxhash64(body).alias("h"), F.xxhash64(F.lit("text"), body).alias("g")]
     for block in blocks:
-        found, _ = stash.save(_holders(docs.select(*key, body.alias("t")), block).distinct(), "held")
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        found, _ = stash.save(_holders(docs.select(*key, body.alias("t")), shared).distinct(), "held")
+        shared.destroy()
         held = found if held is None else held.unionByName(found)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
     return whole.join(held.distinct(), ["h", "g"], "left_anti").select("row.*")
@@ -396,9 +453,8 @@ def _hit(items: Items, part: pa.RecordBatch, text: str) -> pa.Array:
     return pa.array(hit)
 
 
-def _holders(docs: DataFrame, items: Items) -> DataFrame:
+def _holders(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """(h, g) of the documents (h, g, t) that hold an item of a block."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,6 @@
 """Decontamination with large and odd benchmarks, and its recall by the length of the items."""
 
+import pickle
 import random
 
 import pytest
@@ -25,7 +26,7 @@ def edited(rng, item, edits, words):
     return own
 
 
-@pytest.mark.parametrize("length", [5, 8, 12, 20, 30, 40])
+@pytest.mark.parametrize("length", [5, 8, 12, 20, 30, 40, 45, 60, 100, 200])
 def test_recall_at_the_most_edits(length):
     """Items with the most edits allowed, inside documents: at least nine of ten are found (and nothing that isn't there)."""
     rng = random.Random(length)
@@ -58,10 +59,10 @@ def test_a_benchmark_of_many_blocks(spark):
     items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 25)))) for k in range(120)]
     docs = [(d, " ".join([rng.choice(words), *items[rng.randrange(120)][1].split(), rng.choice(words)] if d % 2 else rng.choices(words, k=20)), "c") for d in range(60)] + [(None, None, "c"), (7, "", "c")]
     a, b = spark.createDataFrame(docs, "doc_id long, text string, row string"), spark.createDataFrame(items, "item_id long, text string")
-    small = Settings(block_bytes=1500)
+    small = Settings(block_bytes=20_000)
     n, blocks = decontamination._blocks(decontamination._texts(b, "item_id", "text"), small)
-    sizes = [sum(len(t) for t in [" ".join(map(str, w)) for w in block.words]) for block in blocks]
-    assert n >= 8 and len(sizes) == n and max(sizes) < 1500
+    sizes = [len(block.words) for block in blocks]
+    assert n >= 8 and len(sizes) == n and min(sizes) > 0 and sum(sizes) == len({tuple(t.split()) for _, t in items})
     one, many = (sorted(map(tuple, decontamination.find(a, b, s).collect())) for s in (Settings(), small))
     assert one == many and len(one) >= 25
     left, kept = (sorted(map(tuple, decontamination.remove(a, b, s).collect()), key=repr) for s in (Settings(), small))
@@ -75,6 +76,7 @@ def test_the_first_of_equal_places_and_clashing_columns(spark):
     bench = spark.createDataFrame([(4, item, 1, "d")], "item_id long, text string, doc_id long, t string")
     (row,) = decontamination.find(docs, bench).collect()
     assert tuple(row) == (1, 4, 1, 7, 0, 1.0)
+    bench = bench.unionByName(bench.withColumns({"item_id": F.lit(5), "text": F.lit("of another block")}))
     for size in (16_000_000, 10):
         assert decontamination.remove(docs, bench, Settings(block_bytes=size)).count() == 0
         assert tuple(decontamination.remove(docs, bench.withColumn("text", F.lit("not in there at all")), Settings(block_bytes=size)).first()) == tuple(docs.first())
@@ -91,3 +93,37 @@ def test_very_long_texts(spark):
     bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long_item))], "item_id long, text string")
     found = decontamination.find(docs, bench).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("length", [(5, 5), (1, 4), (10, 60), (200, 400)])
+def test_blocks_are_bounded_by_what_is_sent(spark, length):
+    """Blocks are as large as the bound says when they are pickled, but for their fixed parts, and fill half of it at least."""
+    rng = random.Random(sum(length))
+    words = [f"word{k}" for k in range(30_000)]
+    items = [(k, " ".join(rng.choices(words, k=rng.randint(*length)))) for k in range(4000 if length[1] < 100 else 200)]
+    bound = 1_500_000
+    n, blocks = decontamination._blocks(decontamination._texts(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text"), Settings(block_bytes=bound))
+    sizes = [len(pickle.dumps(block, protocol=5)) for block in blocks]
+    assert n == len(sizes) >= 2 and max(sizes) < bound + 50_000
+    assert sum(sizes) > bound * (n - 1) * (0.5 if length[0] > 4 else 0.05)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.7, 0.75, 1.0])
+def test_short_items_at_other_similarities(spark, similarity):
+    """Items of fewer than five words equal brute force, edits included, whatever is allowed; longer ones are real and mostly found."""
+    rng = random.Random(int(similarity * 100))
+    words = [f"w{k}" for k in range(60)]
+    items = {k: rng.choices(words, k=rng.randint(1, 4)) for k in range(40)} | {k: rng.choices(words, k=8) for k in range(40, 50)}
+    docs = {d: [*rng.choices(words, k=rng.randrange(12)), *edited(rng, items[rng.randrange(50)], rng.randrange(3), words), *rng.choices(words, k=rng.randrange(12))] for d in range(80)} | {80: []}
+    found = decontamination.find(spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id long, text string"), Settings(similarity=similarity))
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in found.collect()}
+    want = {(d, k): e for d, t in docs.items() for k, item in items.items() if t and (e := brute_edits(item, t)[0]) <= int((1 - similarity) * len(item) + 1e-9)}
+    assert {x: e for x, e in got.items() if x[1] < 40} == {x: e for x, e in want.items() if x[1] < 40}
+    assert got.items() <= want.items() and len(want) > 40
+
+
+def test_one_edit_in_a_short_item():
+    items = decontamination.Items([1], ["alpha beta gamma delta"], Settings(similarity=0.7))
+    assert items.search(["none", "x alpha beta gamma zeta y"]) == [(1, 0, 1, 4, 1)]
+    with pytest.raises(ValueError, match="similarity"):
+        decontamination.Items([1], ["a"], Settings(similarity=0))

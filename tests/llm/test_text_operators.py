@@ -254,9 +254,9 @@ def test_leaks_equal_brute_force(spark):
 def test_leaks_do_not_depend_on_blocks(spark):
     items, docs = leaky(random.Random(4), 60)
     a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    whole, cut = (decontamination.find(a, b, decontamination.Settings(block_bytes=size)).select("doc_id", "item_id", "distance").collect() for size in (16_000_000, 500))
+    whole, cut = (decontamination.find(a, b, decontamination.Settings(block_bytes=size)).select("doc_id", "item_id", "distance").collect() for size in (16_000_000, 8000))
     assert sorted(map(tuple, whole)) == sorted(map(tuple, cut))
-    kept = {r["doc_id"] for r in decontamination.remove(a, b, decontamination.Settings(block_bytes=500)).collect()}
+    kept = {r["doc_id"] for r in decontamination.remove(a, b, decontamination.Settings(block_bytes=8000)).collect()}
     assert kept == {d for d, _ in docs} - {r["doc_id"] for r in whole}
 
 
