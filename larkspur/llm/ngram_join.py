@@ -14,7 +14,9 @@ a 64-bit hash. Documents link when intersection / union reaches ``share / of``;
    pairs, which count if they share l elements. A longer run would give too many pairs: its documents form a group
    (:mod:`blocks`), in which a pair is a candidate if lengths and bitmaps allow it to link. A bitmap holds for each
    bit whether the elements hashed to it are odd in number, so two sets differ in at least as many elements as their
-   bitmaps do in bits: a necessary condition on whole sets, stricter than l shared prefix elements.
+   bitmaps do in bits: a necessary condition on whole sets, stricter than l shared prefix elements. Elements that
+   the sketch calls very common are such groups from the start, whatever their runs would be: their rows are spread over
+   all tasks, so no task sorts the run of a hot element.
 4. Components of candidates are groups again, in which sets are compared by exact intersection, of the length that allows it.
    Only documents that a Bloom filter of bounded size passes are hashed again for this, and only sets are sent.
 
@@ -51,6 +53,8 @@ COUNTERS, PART = 1 << 20, 1 << 12
 CACHE_WORDS, LONG_WORD = 150_000, 64
 #: Documents of a run that gives pairs; elements, and bytes of bitmaps, that one task compares; the largest l.
 RUN, BLOCK, CROWD, MOST_MATCHES = 64, 250_000, 500_000, 8
+#: Documents, beyond twice what a counter holds on average, from which an element counts as very common.
+HOT = 1024
 
 
 @dataclass(frozen=True)
@@ -196,9 +200,12 @@ def matches_needed(others: np.ndarray, n: int, base: int) -> int:
 
 
 def _prefixes(docs: DataFrame, join: Join, counters: np.ndarray) -> DataFrame:
-    """The prefix elements of each set once in a task: element, set, its length, its l, and the l from which the element counts."""
+    """The prefix elements of each set once in a task: element, set, its length, its l, and the l from which the element counts.
+
+    An l of 0 marks a very common element. The sketch is the same for all tasks, so all of an element's rows have the mark or none."""
     shared = docs.sparkSession.sparkContext.broadcast(counters)
     noise = float(counters.mean())
+    hot = 2 * noise + HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, seen = shared.value, set()
@@ -218,7 +225,7 @@ def _prefixes(docs: DataFrame, join: Join, counters: np.ndarray) -> DataFrame:
                     need = matches_needed(others, n, base)
                     pick = order[: base + need]
                     level = np.maximum(1, np.arange(base + need) - base + 1)
-                    out.append((own[pick].view(np.int64), np.full(len(pick), sid[0]), np.full(len(pick), n), np.full(len(pick), need), level))
+                    out.append((own[pick].view(np.int64), np.full(len(pick), sid[0]), np.full(len(pick), n), np.where(count[pick] > hot, 0, need), level))
                 if out:
                     element, sid, n, need, level = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(element), pa.array(sid), *[pa.array(x.astype(np.int32)) for x in (n, need, level)]], names=_PREFIX.names)
@@ -237,6 +244,12 @@ def _meet(prefixes: DataFrame, join: Join) -> DataFrame:
         long_run: int | None = None  # the element of a run that has begun to give members
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            common = cols[3] == 0
+            if common.any():
+                yield _members(*(c[common] for c in cols[:3]))
+                cols = [c[~common] for c in cols]
+            if not len(cols[0]):
+                continue
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             element = cols[0]
@@ -252,7 +265,8 @@ def _meet(prefixes: DataFrame, join: Join) -> DataFrame:
         if rest is not None:
             yield from _pairs(rest, long_run, join)
 
-    return prefixes.repartition("element").sortWithinPartitions("element").mapInArrow(run, "a long, b long, need int")
+    spread = prefixes.repartition("element", F.when(F.col("need") == 0, F.col("sid")))
+    return spread.sortWithinPartitions("element").mapInArrow(run, "a long, b long, need int")
 
 
 def _members(element: np.ndarray, sid: np.ndarray, n: np.ndarray) -> pa.RecordBatch:

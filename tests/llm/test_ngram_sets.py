@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_pair_operators import brute_classes, closure, near_copies
 
 from larkspur.llm import blocks, ngram_join
@@ -60,6 +61,28 @@ def test_long_runs_and_large_classes(spark, monkeypatch, join, run, crowd, block
     assert sorted(map(tuple, found.collect())) == brute_classes(rows, join)
 
 
+@pytest.mark.parametrize("common", [-10**9, 3, 100])
+def test_very_common_elements(spark, monkeypatch, common):
+    """The classes don't depend on which elements count as very common."""
+    monkeypatch.setattr(ngram_join, "HOT", common)
+    rows = hot(random.Random(5)) + [(1000 + k, numbers(900 + k, 960 + k)) for k in range(5)] + [(2000, None), (2001, "")]
+    found = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), Join(3, 90, 100))
+    assert sorted(map(tuple, found.collect())) == brute_classes(rows, Join(3, 90, 100))
+
+
+def test_rows_of_a_common_element_are_spread(spark):
+    """An element of 100,000 documents: no task of the exchange has over three times the rows of the median one."""
+    rows = spark.range(0, 100_000, 1, 8).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).cast("long").alias("element"), F.xxhash64("id").alias("sid"), F.lit(50).alias("n"), F.when(F.col("id") % 2 == 0, 0).otherwise(1).alias("need"), F.lit(1).alias("level"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = ngram_join._meet(rows, Join()).withColumn("task", F.spark_partition_id())
+        counts = sorted(r["count"] for r in met.groupBy("task").count().collect())
+        members = met.where("need < 0 and b = 7").select("a").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert members == 50_000 and len(counts) == 4 and counts[-1] < 3 * counts[1]
+
+
 def test_bitmaps_never_exclude_a_link():
     rng = np.random.default_rng(4)
     for join in (Join(3, 90, 100), Join(3, 4, 5), Join(3, 1, 2)):
