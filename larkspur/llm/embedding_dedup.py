@@ -4,8 +4,9 @@ Vectors are normalised in double precision. Each of ``tables`` hash tables has `
 shifted at random and cut into cells of ``WIDTH``; vectors in the same cells share a bucket. For unit vectors the
 distance follows from the cosine, and with it the chance of sharing a bucket. The number of projections grows
 with the logarithm of the number of vectors, so that a vector shares a bucket with about ``MATES`` unrelated ones at most, however
-many there are: to compare with those costs less than to send and sort the rows of more tables. The number of tables then
-follows from the recall wanted at the threshold itself. Where that would be over ``MOST_TABLES``, tables get fewer projections
+many there are: to compare with those, a product of matrices, costs less than to send and sort the rows of more tables. The
+number of tables then follows from the recall wanted at the threshold itself; cells of ``WIDTH`` are about those that take the
+fewest. Where that would be over ``MOST_TABLES``, tables get fewer projections
 until it isn't: buckets are fuller, and the recall is kept.
 
 1. Equal vectors are one node, keyed by 128 bits of hash; a map task emits it once, so copies never meet in pairs. The 64
@@ -39,7 +40,9 @@ from larkspur.llm import blocks, filters, ragged
 from larkspur.llm.components import components, skew_join
 from larkspur.llm.workspace import Stash
 
-WIDTH, MATES, RUN, LEAST_BLOCK, BLOCK, CROWD, MOST_TABLES = 1.2, 32, 256, 256, 2000, 1000, 1000
+WIDTH, MATES, RUN, LEAST_BLOCK, BLOCK, CROWD, MOST_TABLES = 2.0, 256, 4096, 256, 2000, 1000, 1000
+#: Cosines of a run that are held at a time.
+HELD = 200_000
 
 
 def _same_cell(distance: float) -> float:
@@ -194,22 +197,34 @@ def _short_runs(rows: pa.Table, long_run: int | None, threshold: float) -> Itera
             yield _crowd(n[which], b[which])
         for g in np.unique(size[~crowded & (size > 1)]).tolist():
             starts = at[~crowded & (size == g)]
-            step = max(1, 200_000 // (g * max(g, width)))
+            step = max(1, HELD // (g * max(g, width)))
             for k in range(0, len(starts), step):
                 place = starts[k : k + step, None] + np.arange(g)
                 x, error = unpacked(flat[place.ravel()])
-                x, error = x.reshape(len(place), g, -1), error.reshape(len(place), g, 1)
-                slack = error + error.transpose(0, 2, 1)
-                near = x @ x.transpose(0, 2, 1) >= threshold - slack - slack * slack - 1e-5
-                near[:, np.arange(g), np.arange(g)] = False
+                near = _may_link(x.reshape(len(place), g, -1), error.reshape(len(place), g, 1), threshold)
                 for r in np.flatnonzero(near.any(axis=(1, 2))).tolist():
-                    ids = n[place[r]].tolist()
-                    found += [(ids[p], ids[q]) for p, q in blocks.forest(lambda v, others, m=near[r]: others[m[v, others]], g)]
+                    some = np.flatnonzero(near[r].any(axis=1))
+                    ids = n[place[r, some]].tolist()
+                    found += [(ids[p], ids[q]) for p, q in blocks.forest(lambda v, others, m=near[r][np.ix_(some, some)]: others[m[v, others]], len(ids))]
     if found:
         a, b = (pa.array(x, pa.int64()) for x in zip(*found, strict=True))
         yield pa.RecordBatch.from_arrays([a, b, pa.array(np.zeros(len(a), dtype=bool))], names=["a", "b", "crowd"])
 
 
+def _may_link(x: np.ndarray, error: np.ndarray, threshold: float) -> np.ndarray:
+    """For each of a stack of runs, which of its vectors their 8 bits allow to link; few rows of cosines at a time."""
+    runs, g, _ = x.shape
+    near = np.empty((runs, g, g), dtype=bool)
+    step = max(1, HELD // (runs * g))
+    for a in range(0, g, step):
+        rows = slice(a, a + step)
+        slack = error[:, rows] + error.transpose(0, 2, 1)
+        near[:, rows] = x[:, rows] @ x.transpose(0, 2, 1) >= threshold - slack - slack * slack - 1e-5
+    near |= near.transpose(0, 2, 1)  # rounding differs
+    near[:, np.arange(g), np.arange(g)] = False
+    return near
+
+
 def may_link(threshold: float) -> blocks.Near:
     """Which vectors their 8 bits allow to link."""
 

@@ -34,3 +34,22 @@ def test_pairs_are_found_under_the_bound(spark, monkeypatch):
     np.fill_diagonal(near, False)
     found = embedding_dedup.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(made)], "vec_id long, embedding array<double>"), threshold=0.8)
     assert {r["vec_id"]: r["n_links"] for r in found.collect()} == dict(enumerate(near.sum(axis=1).tolist()))
+
+
+def test_tables_stay_few():
+    """Every table is a row of each vector in the exchange."""
+    assert [embedding_dedup.plan(n, 0.95, 0.999)[1] for n in (51_282, 10**6, 10**9)] == [17, 32, 131]
+
+
+@pytest.mark.parametrize("held", [1, 700, 10**6])
+def test_runs_compare_alike_in_any_strips(monkeypatch, held):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3, 90, 16)) * 0.2 + rng.standard_normal((3, 1, 16))
+    x /= np.linalg.norm(x, axis=2, keepdims=True)
+    small, error = embedding_dedup.unpacked(embedding_dedup.packed(x.reshape(-1, 16)))
+    monkeypatch.setattr(embedding_dedup, "HELD", held)
+    near = embedding_dedup._may_link(small.reshape(3, 90, 16), error.reshape(3, 90, 1), 0.95)
+    must = x @ x.transpose(0, 2, 1) >= 0.95
+    must[:, np.arange(90), np.arange(90)] = False
+    assert must.any() and not (must & ~near).any() and (near == near.transpose(0, 2, 1)).all()
+    assert not (near & (x @ x.transpose(0, 2, 1) < 0.9)).any()
