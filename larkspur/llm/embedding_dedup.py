@@ -267,9 +267,10 @@ def _crowds(vectors: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
         stash.drop(path)
         return vectors.sparkSession.createDataFrame([], "a long, b long")
     known = _loaded(vectors, filters.sieve(members.select("node").distinct(), "node"), whole=False)
-    known, _ = stash.save(known.groupBy("node", "more").agg(F.first("payload").alias("payload")).select("node", "payload"), "packed")
+    known, packed_path = stash.save(known.groupBy("node", "more").agg(F.first("payload").alias("payload")).select("node", "payload"), "packed")
     found = blocks.link_groups(members, lambda rows: skew_join(rows, known, ["node"]), may_link(threshold), CROWD)
     stash.drop(path)
+    stash.drop(packed_path)
     return found
 
 
@@ -326,7 +327,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     members = found.select("node", F.col("root").alias("comp")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct())
     # Each vector has a number of its own.
     sets = nodes.where(F.col("node").isNotNull()).groupBy("node", "more").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    sets, _ = stash.save(sets.join(members, "node", "left").where((F.col("copies") > 1) | F.col("comp").isNotNull()).withColumn("number", F.monotonically_increasing_id()), "classes")
+    sets, sets_path = stash.save(sets.join(members, "node", "left").where((F.col("copies") > 1) | F.col("comp").isNotNull()).withColumn("number", F.monotonically_increasing_id()), "classes")
     involved = sets.where(F.col("comp").isNotNull())
     each = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.col("n") / 8))
     sizes = involved.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("comp", F.ceil(F.col("n") / each).cast("int").alias("blocks"))
@@ -335,12 +336,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     whole = _loaded(use, filters.sieve(placed, "node"), whole=True).join(placed, ["node", "more"])
     tasks = whole.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.select("comp", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "number", "copies", "payload")
-    checked, _ = stash.save(_check(tasks, threshold), "checked")
+    checked, checked_path = stash.save(_check(tasks, threshold), "checked")
     stash.drop(path)
     roots = components(checked.where(F.col("b").isNotNull()).select("a", "b")).withColumnRenamed("node", "number")
     counts = checked.where(F.col("b").isNull()).groupBy(F.col("a").alias("number")).agg(F.sum("c").alias("c"))
     named = sets.join(counts, "number", "left").join(roots, "number", "left").where((F.col("copies") > 1) | F.col("c").isNotNull())
     named, _ = stash.save(named.select("node", "more", "rep", F.coalesce("root", "number").alias("class"), (F.coalesce("c", F.lit(0)) + F.col("copies") - 1).alias("links")), "named")
+    for path in (sets_path, checked_path):
+        stash.drop(path)
     named = skew_join(named, named.groupBy("class").agg(F.min("rep").alias("component")), ["class"]).select("node", "more", "links", "component")
     component = F.coalesce("component", "vec_id")
     return skew_join(nodes, named, ["node", "more"], "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -339,9 +339,10 @@ def _crowds(met: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     known = skew_join(sets.where(F.col("n") > 0).select("sid", "more", "n", "bits"), wanted, ["sid"])  # before copies are counted once
     head = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright("n", 8 * k).bitwiseAND(255)), 2, "0") for k in range(8)]))
     known = known.groupBy("sid", "more").agg(F.first(F.concat(head, "bits")).alias("payload"))
-    known, _ = stash.save(known.select(F.col("sid").alias("node"), "payload"), "bitmaps")
+    known, bitmaps = stash.save(known.select(F.col("sid").alias("node"), "payload"), "bitmaps")
     found = blocks.link_groups(members, lambda rows: skew_join(rows, known, ["node"]), may_link(join), CROWD)
     stash.drop(path)
+    stash.drop(bitmaps)
     return found
 
 
@@ -442,11 +443,12 @@ def one_of_each_class(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_i
     key = ["alone", "k", "l"]  # a class, or else a set
     alone = F.col("class").isNull()
     found = class_nodes(docs, join, doc_id, text).where("n > 0").select(alone.alias("alone"), F.coalesce("class", "sid").alias("k"), F.when(alone, F.col("more")).otherwise(0).alias("l"), F.col("doc_id").isNull().alias("x"), F.coalesce("doc_id", F.lit(0)).alias("d"), "sid", "more", "mark")
-    found, _ = stash.save(found, "found")
+    found, found_path = stash.save(found, "found")
     rows = found.groupBy(*key, "x", "d", "sid", "more", "mark").agg(F.count(F.lit(1)).alias("c"))
     first = found.groupBy(*key).agg(F.min(F.struct("x", "d", "sid", "more", "mark")).alias("first"))
     fate = skew_join(rows, first, key).withColumn("stays", F.struct("x", "d", "sid", "more", "mark") == F.col("first"))
     fate, _ = stash.save(fate.where(~F.col("stays") | (F.col("c") > 1)).select("x", "d", "mark", "stays"), "fate")
+    stash.drop(found_path)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).isNull().alias("x"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("d"), mark.alias("mark"))
     kept = whole.join(fate, ["x", "d", "mark"], "left_anti").select("row.*")
     repeated = fate.where("stays")
