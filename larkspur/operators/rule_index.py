@@ -19,10 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.rules import CURATED_CELLS, KNIFE
+from larkspur.sources.scratch import stored
 
 _TERM = r"^([a-z_]+)\s*(<=|<|=|\bNOT\b)\s*(\S.*)$"
 _LEVELS, _BITS, _SHIFT = 12, 4, 10**14
 
+#: Letters of an index, as JSON, up to which it is sent to all tasks; a larger one is dealt out with the products' entries.
+SENT = 16 << 20
+
 
 def parse_cells(rules: DataFrame, slug: str = "slug", cell: str = "filter_rule") -> DataFrame:
     """``slug`` and ``conjuncts`` (attribute, op, values, bound) of every rule that has a predicate."""
@@ -112,8 +116,11 @@ def members(products: DataFrame, rules: DataFrame, key: str, attributes: list[st
     numeric = [a for a in attributes if products.schema[a].dataType.typeName() in ("decimal", "integer", "long", "short", "byte", "double", "float")]
     shown = {a: F.col(a).cast("decimal(14,2)").cast("string") if products.schema[a].dataType.typeName() == "decimal" else F.col(a).cast("string") for a in attributes}
     described = products.select(F.col(key), F.map_filter(F.create_map(*[x for a in attributes for x in (F.lit(a), shown[a])]), lambda _, v: v.isNotNull()).alias("attributes"))
-    found = index(parse_cells(rules, slug, cell), described)
-    met = described.select(key, "attributes", F.explode(_entries(F.col("attributes"), numeric)).alias("e")).select(key, "attributes", "e.*").join(found, ["attribute", "key"])
+    found = stored(index(parse_cells(rules, slug, cell), described), "index")
+    # Never the products' side: Spark takes its size for that of the table before the entries are exploded. A product has many pairs, so a small file is spread over all tasks.
+    built = F.broadcast(found) if (found.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0) <= SENT else found.hint("merge")
+    spread = described.repartition(int(products.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    met = spread.select(key, "attributes", F.explode(_entries(F.col("attributes"), numeric)).alias("e")).select(key, "attributes", "e.*").join(built, ["attribute", "key"])
     # After the join, not as its condition: there Spark may look for the map on the side of the rules.
     held = F.when(F.forall("conjuncts", lambda c: _holds(c, F.col("attributes"))), F.array("slug"))
     out = met.select(key, F.explode_outer(held).alias(slug)).where(F.col(slug).isNotNull()).select(slug, key)

@@ -87,3 +87,14 @@ def test_only_rules_met_by_their_rarest_term_are_checked(spark):
     described = products.select("sku", F.map_filter(F.create_map(F.lit("brand"), F.col("brand"), F.lit("opening"), F.col("opening")), lambda _, v: v.isNotNull()).alias("attributes"))
     found = rule_index.index(rule_index.parse_cells(table(spark, ["opening NOT OTF AND brand = B1 AND opening = manual/assisted"])), described).collect()
     assert [(r["attribute"], r["key"]) for r in found] == [("brand", "=B1")]
+
+
+@pytest.mark.parametrize(("sent", "how"), [(rule_index.SENT, "broadcast"), (0, "merge")])
+def test_the_products_are_never_the_side_that_is_sent(spark, tmp_path, monkeypatch, sent, how):
+    """A table of products that is small as a file, and an index of either size: the rules are the built side, by a hint that no estimate overrules."""
+    monkeypatch.setattr(rule_index, "SENT", sent)
+    rows, found = made(300, 7), cells(200, 8)
+    spark.createDataFrame(rows, PRODUCTS).coalesce(1).write.parquet(str(tmp_path / "products"))
+    out = rule_index.members(spark.read.parquet(str(tmp_path / "products")), table(spark, found), "sku", ATTRIBUTES)
+    assert sorted(map(tuple, out.collect())) == sorted((f"r{i}", p[0]) for i, c in enumerate(found) for p in rows if plain(p, c))
+    assert f"rightHint=(strategy={how})" in out._jdf.queryExecution().optimizedPlan().toString()
