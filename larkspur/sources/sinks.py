@@ -9,41 +9,55 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import escape
 from larkspur.operators.ranking import gapless
-from larkspur.sources.files import Files
+from larkspur.sources.files import Files, drop, folder_of, put
 from larkspur.sources.scratch import stored
 
 
 def write_pages(pages: DataFrame, path: str, key: str = "slug", body: str = "html") -> None:
     """SK1: one folder of text for each key, old ones replaced."""
-    pages.select(key, body).write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(path)
+    _spread(pages.select(key, body), key).write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(path)
 
 
-_MANIFEST = "_manifest"
+def _spread(pages: DataFrame, key: str) -> DataFrame:
+    """Pages dealt out over all tasks. A page costs a task the making of a file, whatever its length; by their bytes, a hundred thousand would be one task's."""
+    return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+_MANIFEST, _PAGE = "_manifest", "page.txt"
 
 
 def publish_pages(pages: DataFrame, path: str, key: str = "slug", body: str = "html") -> DataFrame:
     """SK1 over again: only pages that are new or differ from what was published are written, pages that are gone are removed.
 
-    A manifest of hashes is kept beside the pages, a version for each run, committed when all pages are written; a run that fails before
-    that leaves the old one, and the next run writes the same pages again. Returns what was done: ``key`` and ``change`` (new, changed,
-    removed). A key is there once; pages without a key aren't published."""
+    A manifest of hashes is kept beside the pages, a version for each run, committed when all pages are written. Before a run touches pages,
+    it lists them, and takes the list away when it is through: of pages that a failed run has listed it isn't known what is there, so the next
+    run writes or removes them whatever the manifest says. Pages are written and removed by tasks, one file a page, replaced whole; the store is one that pyarrow
+    opens. Returns what was done: ``key`` and ``change`` (new, changed, removed). A key is there once; pages without a key aren't published."""
     spark = pages.sparkSession
     files = Files(spark, path)
-    versions = sorted(int(n.split("=")[1]) for n in files.names(_MANIFEST) if "=" in n and "_SUCCESS" in files.names(f"{_MANIFEST}/{n}"))
+    done = [n for n in files.names(_MANIFEST) if "_SUCCESS" in files.names(f"{_MANIFEST}/{n}")]
+    versions, lists = sorted(int(n.split("=")[1]) for n in done if n.startswith("v=")), [n for n in files.names(_MANIFEST) if n.startswith("touched-")]
     now = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias(key), body, F.sha2(F.coalesce(body, F.lit("")).cast("binary"), 256).alias("sha256"))
     schema = f"`{key}` string, sha256 string"
     before = spark.read.schema(schema).parquet(f"{path}/{_MANIFEST}/v={versions[-1]}") if versions else spark.createDataFrame([], schema)
-    met = now.select(key, "sha256").join(before.withColumnRenamed("sha256", "_old"), key, "full")
-    change = F.when(F.col("_old").isNull(), "new").when(F.col("sha256").isNull(), "removed").when(F.col("_old") != F.col("sha256"), "changed")
+    before = before.withColumnRenamed("sha256", "_old")
+    torn = [f"{path}/{_MANIFEST}/{n}" for n in lists if n in done]
+    if torn:
+        before = before.join(spark.read.schema(f"`{key}` string").parquet(*torn).distinct().withColumn("_torn", F.lit(True)), key, "full")
+    else:
+        before = before.withColumn("_torn", F.lit(None).cast("boolean"))
+    met = now.select(key, "sha256").join(before, key, "full")
+    change = F.when(F.col("sha256").isNull(), "removed").when(F.col("_old").isNull(), "new").when(F.col("_torn") | (F.col("_old") != F.col("sha256")), "changed")
     log = stored(met.select(key, change.alias("change")).where(F.col("change").isNotNull()), "published")
-    touched = now.join(log.where("change <> 'removed'").select(key), key, "left_semi")
-    touched.select(key, body).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).option("lineSep", "\n").text(path)
+    log.select(key).write.parquet(f"{path}/{_MANIFEST}/touched-{uuid.uuid4().hex}")
+    store = files.store()
+    touched = _spread(now.join(log.where("change <> 'removed'").select(key), key, "left_semi").select(key, F.col(body).cast("binary").alias("_body")), key)
+    touched.foreachPartition(lambda rows: put(store, ((folder_of(key, r[0]), bytes(r[1] or b"") + b"\n") for r in rows), _PAGE))
     now.select(key, "sha256").write.mode("overwrite").parquet(f"{path}/{_MANIFEST}/v={versions[-1] + 1 if versions else 0}")
-    named = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for r in log.where("change = 'removed'").toLocalIterator():
-        files.delete(f"{key}={named(r[key])}")
-    for v in versions[:-1]:
-        files.delete(f"{_MANIFEST}/v={v}")
+    _spread(log.where("change = 'removed'").select(key), key).foreachPartition(lambda rows: drop(store, (folder_of(key, r[0]) for r in rows)))
+    for n in files.names(_MANIFEST):
+        if n.startswith("touched-") or n in [f"v={v}" for v in versions[:-1]]:
+            files.delete(f"{_MANIFEST}/{n}")
     return log
 
 

@@ -3,9 +3,12 @@
 import os
 
 import pytest
+from pyspark import TaskContext
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from larkspur.sources import sinks
+from larkspur.sources.files import folder_of
 
 PAGES = "slug string, html string, extra int"
 
@@ -50,6 +53,58 @@ def test_a_page_with_odd_keys_is_removed_by_its_folder(spark, tmp_path):
     assert [d for d in os.listdir(path) if d.startswith("slug=")] == ["slug=x"]
 
 
+def test_pages_of_a_run_that_failed_between_pages_and_manifest_are_written_again(spark, tmp_path, monkeypatch):
+    """Whatever the manifest says: a page set back to what the manifest holds, one that came with the failed run and went again, one that went."""
+    path, parquet = str(tmp_path / "site"), DataFrameWriter.parquet
+    sinks.publish_pages(pages(spark, {"a": "1", "b": "1", "gone": "1"}), path)
+
+    def fails(self, to, *args, **named):
+        if to.endswith("/_manifest/v=1"):
+            raise OSError("lost")
+        return parquet(self, to, *args, **named)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", fails)
+    with pytest.raises(OSError, match="lost"):
+        sinks.publish_pages(pages(spark, {"a": "1", "b": "2", "came": "1"}), path)
+    monkeypatch.undo()
+    assert sorted(map(tuple, sinks.publish_pages(pages(spark, {"a": "1", "b": "1"}), path).collect())) == [("b", "changed"), ("came", "removed"), ("gone", "removed")]
+    assert written(spark, path) == {"a": "1", "b": "1"}
+    assert sinks.publish_pages(pages(spark, {"a": "1", "b": "1"}), path).collect() == []
+
+
+def test_pages_of_one_small_file_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    path, seen, put = str(tmp_path / "site"), str(tmp_path), sinks.put
+
+    def told(store, rows, name):
+        found = list(rows)
+        with open(f"{seen}/task-{TaskContext.get().partitionId()}", "w") as out:
+            out.write(str(len(found)))
+        put(store, found, name)
+
+    monkeypatch.setattr(sinks, "put", told)
+    spark.range(400).selectExpr("'k' || id AS slug", "'<p>' || id AS html").coalesce(1).write.parquet(f"{seen}/pages")
+    sinks.publish_pages(spark.read.parquet(f"{seen}/pages"), path)
+    shares = [int((tmp_path / x).read_text()) for x in os.listdir(seen) if x.startswith("task-")]
+    assert sum(shares) == 400 and len(shares) == 4 and min(shares) > 50
+    assert written(spark, path) == {f"k{i}": f"<p>{i}" for i in range(400)}
+
+
+def test_a_changed_page_of_sparks_writer_is_replaced(spark, tmp_path):
+    """Sites published before pages had one fixed file."""
+    path = str(tmp_path / "site")
+    sinks.publish_pages(pages(spark, {"a": "1", "b": "1"}), path)
+    os.remove(f"{path}/slug=a/page.txt")
+    pages(spark, {"a": "1"}).select("slug", "html").write.mode("append").partitionBy("slug").text(path)
+    sinks.publish_pages(pages(spark, {"a": "2", "b": "1"}), path)
+    assert os.listdir(f"{path}/slug=a") == ["page.txt"] and written(spark, path) == {"a": "2", "b": "1"}
+
+
+def test_folders_are_named_as_by_spark(spark):
+    named = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for value in [*map(chr, range(1, 300)), "a b/c=d%[x]^{y}", "日本/é"]:
+        assert folder_of("k", value) == f"k={named(value)}"
+
+
 @pytest.mark.parametrize(("n", "most"), [(0, 10), (1, 10), (10, 10), (11, 10), (2503, 500)])
 def test_sitemaps(spark, tmp_path, n, most):
     """Each address once, no file over the bound, all listed by the index, nothing left of the run before."""
