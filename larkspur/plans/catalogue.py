@@ -336,7 +336,7 @@ def changed_pages(t: Tables) -> DataFrame:
 
 @query("sk1_published_pages", "SELECT 's' || s_suppkey AS slug, s_name || CASE WHEN s_nationkey = 1 THEN ' in stock' ELSE '' END AS html FROM supplier WHERE s_nationkey <> 9")
 def published_pages(t: Tables) -> DataFrame:
-    return t.spark.read.text(_published_twice(t)[0]).select("slug", F.col("value").alias("html"))
+    return sinks.read_pages(t.spark, _published_twice(t)[0])
 
 
 def _published_twice(t: Tables) -> tuple[str, DataFrame]:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import escape
 from larkspur.operators.ranking import gapless
-from larkspur.sources.files import Files, drop, folder_of, put
+from larkspur.sources.files import Files, drop, folder_of, put, take
 from larkspur.sources.scratch import stored
 
 
@@ -61,6 +62,22 @@ def publish_pages(pages: DataFrame, path: str, key: str = "slug", body: str = "h
     return log
 
 
+def read_pages(spark: SparkSession, path: str, key: str = "slug", body: str = "html") -> DataFrame:
+    """The pages of the last manifest, a row each: tasks open them by their keys. Spark's reader lists all folders first, and the driver's work on their names grows faster than they do."""
+    files = Files(spark, path)
+    version = max(int(n.split("=")[1]) for n in files.names(_MANIFEST) if n.startswith("v=") and "_SUCCESS" in files.names(f"{_MANIFEST}/{n}"))
+    store, schema = files.store(), pa.schema([(key, pa.string()), (body, pa.string())])
+
+    def read(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                keys = batch.column(0).slice(at, 100).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([take(store, folder_of(key, k)).removesuffix(b"\n").decode("utf-8", "replace") for k in keys], pa.string())], schema=schema)
+
+    keys = spark.read.schema(f"`{key}` string").parquet(f"{path}/{_MANIFEST}/v={version}")
+    return _spread(keys, key).mapInArrow(read, f"`{key}` string, `{body}` string")
+
+
 def write_page(page: DataFrame, path: str, body: str = "html") -> None:
     """SK2: one page, one file."""
     page.select(body).coalesce(1).write.mode("overwrite").text(path)

@@ -99,6 +99,17 @@ def test_a_changed_page_of_sparks_writer_is_replaced(spark, tmp_path):
     assert os.listdir(f"{path}/slug=a") == ["page.txt"] and written(spark, path) == {"a": "2", "b": "1"}
 
 
+def test_pages_are_read_by_the_manifest(spark, tmp_path):
+    """Whole, with lines and odd keys, without what no manifest names; a page that is missing is an error."""
+    path, found = str(tmp_path / "site"), {"a": "two\nlines\n", "c/d e=%": "é", "empty": None, "10": "x", "010": "y"}
+    sinks.publish_pages(pages(spark, found), path)
+    os.makedirs(f"{path}/slug=other")
+    assert {r["slug"]: r["html"] for r in sinks.read_pages(spark, path).collect()} == {k: v or "" for k, v in found.items()}
+    os.remove(f"{path}/slug=a/page.txt")
+    with pytest.raises(Exception, match="slug=a is empty"):
+        sinks.read_pages(spark, path).collect()
+
+
 def test_folders_are_named_as_by_spark(spark):
     named = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
     for value in [*map(chr, range(1, 300)), "a b/c=d%[x]^{y}", "日本/é"]:
