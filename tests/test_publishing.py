@@ -89,6 +89,25 @@ def test_pages_of_one_small_file_are_written_by_all_tasks(spark, tmp_path, monke
     assert written(spark, path) == {f"k{i}": f"<p>{i}" for i in range(400)}
 
 
+def test_pages_that_went_are_removed_by_all_tasks(spark, tmp_path, monkeypatch):
+    path, seen, drop = str(tmp_path / "site"), str(tmp_path), sinks.drop
+
+    def told(store, folders):
+        found = list(folders)
+        with open(f"{seen}/task-{TaskContext.get().partitionId()}", "w") as out:
+            out.write(str(len(found)))
+        drop(store, found)
+
+    found = spark.range(400).selectExpr("'k' || id AS slug", "'<p>' || id AS html").coalesce(1)
+    sinks.publish_pages(found, path)
+    monkeypatch.setattr(sinks, "drop", told)
+    sinks.publish_pages(found.where("slug < 'k2'"), path)
+    left = {f"k{i}": f"<p>{i}" for i in range(400) if str(i) < "2"}
+    shares = [int((tmp_path / x).read_text()) for x in os.listdir(seen) if x.startswith("task-")]
+    assert sum(shares) == 400 - len(left) and len(shares) == 4 and min(shares) > 40
+    assert written(spark, path) == left
+
+
 def test_a_changed_page_of_sparks_writer_is_replaced(spark, tmp_path):
     """Sites published before pages had one fixed file."""
     path = str(tmp_path / "site")
