@@ -3,18 +3,19 @@
 A document is the set of its distinct word n-grams (A-Z lower-cased, words separated by ASCII white space), each as
 a 64-bit hash. Documents link when intersection / union reaches ``share / of``; classes are connected components.
 
-1. One pass hashes every set and counts n-grams in a sketch of ``COUNTERS`` counters, which orders n-grams from
-   rare to common. The sketch is of fixed size (4 MB), so it can be broadcast for any input; any order gives the
+1. One pass hashes every set and counts n-grams and words in two sketches of ``COUNTERS`` counters, which order n-grams
+   from rare to common (:class:`Counts`). The sketches are of fixed size (4 MB each), so they can be broadcast for any input; any order gives the
    same result, a better one fewer candidates. For each set it also makes a bitmap of about 8 (1 - t) bits an element.
 2. A set of n elements that links with another has ceil(t n) in common with it, so among the first
    n - ceil(t n) + l elements of both there are l common ones. l is chosen for each document by estimated cost:
    a longer prefix costs rows, but pairs must then share l elements before they are verified. For
    documents with different l the smaller counts.
 3. Prefix elements meet by hash, in a stream sorted within each partition. Runs of up to ``RUN`` documents give
-   pairs, which count if they share l elements. A longer run would give too many pairs: its documents form a group
+   pairs, which count if they share l elements and lengths and bitmaps allow them to link. A longer run would give too many pairs: its documents form a group
    (:mod:`blocks`), in which a pair is a candidate if lengths and bitmaps allow it to link. A bitmap holds for each
    bit whether the elements hashed to it are odd in number, so two sets differ in at least as many elements as their
-   bitmaps do in bits: a necessary condition on whole sets, stricter than l shared prefix elements. Elements that
+   bitmaps do in bits: a necessary condition on whole sets, stricter than l shared prefix elements. Without it, pairs that
+   share l elements by chance, more of them the more documents there are, would join most documents to one group. Elements that
    the sketch calls very common are such groups from the start, whatever their runs would be: their rows are spread over
    all tasks, so no task sorts the run of a hot element.
 4. Components of candidates are groups again, in which sets are compared by exact intersection, of the length that allows it.
@@ -93,11 +94,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """The set of a text, sorted."""
+def hashed(text: str | None, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a text and its n-grams, one after the other, as hashes."""
     own = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not own:
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
     memory.claim(_words, _words.clear)
     if len(_words) > CACHE_WORDS:
         _words.clear()
@@ -107,7 +108,17 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     out = np.full(n, m, dtype=np.uint64)
     for i in range(m):
         out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-    return np.unique(out)
+    return h, out
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The set of a text, sorted."""
+    return np.unique(hashed(text, words)[1])
+
+
+def counter(hashes: np.ndarray) -> np.ndarray:
+    """The place of each hash in a sketch."""
+    return (hashes >> np.uint64(44)).astype(np.int64)
 
 
 def set_id(elements: np.ndarray) -> tuple[int, int]:
@@ -134,22 +145,27 @@ def folded(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def _sets_and_sketch(docs: DataFrame, join: Join) -> DataFrame:
-    """A row for each document (doc_id, n, sid, more, mark, bits), and from each task its counters in parts (part, bits)."""
+    """A row for each document (doc_id, n, sid, more, mark, bits), and from each task its counters in parts (part, bits):
+    those of n-grams, then those of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, held, waiting = np.zeros(COUNTERS, dtype=np.int64), [], 0
+        sketch, held, waiting = np.zeros((2, COUNTERS), dtype=np.int64), [], 0
 
         def count() -> None:
             nonlocal held, waiting
             if waiting:
-                np.add(sketch, np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS), out=sketch)
+                for own, hashes in zip(sketch, zip(*held, strict=True), strict=True):
+                    np.add(own, np.bincount(counter(np.concatenate(hashes)), minlength=COUNTERS), out=own)
             held, waiting = [], 0
 
         for batch in batches:
             for part in ragged.slices(batch, "text"):
-                sets = [shingles(t, join.words) for t in ragged.texts(part, "text")]
-                held += sets
-                waiting += sum(map(len, sets))
+                sets = []
+                for text in ragged.texts(part, "text"):
+                    words, grams = hashed(text, join.words)
+                    sets.append(np.unique(grams))
+                    held.append((sets[-1], words))
+                    waiting += len(words)
                 if waiting > COUNTERS:
                     count()
                 sid, more = (pa.array(x, pa.int64()) for x in zip(*map(set_id, sets), strict=True))
@@ -168,7 +184,30 @@ def _sets_and_sketch(docs: DataFrame, join: Join) -> DataFrame:
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("more", pa.int64()), ("mark", pa.int64()), ("part", pa.int32()), ("bits", pa.binary())])
 
 
-def _sketch(rows: DataFrame) -> np.ndarray:
+class Counts:
+    """How common n-grams are, by two sketches.
+
+    A counter of n-grams holds all that fall to it, rare ones too: the larger the table, the less it says of an n-gram that
+    isn't very common. So it counts only by what it has beyond the others. Besides, an n-gram counts as common as its words
+    would make it if they stood together by chance: most of what is written are a few very common words, so rare words
+    are known for rare in a table of any size. The estimate is made of products alone, so it is the same in all tasks."""
+
+    def __init__(self, grams: np.ndarray, words: np.ndarray):
+        self.grams, self.words, self.total = grams, words, float(words.sum(dtype=np.uint64))
+        middle, high = np.quantile(grams, (0.5, 0.84))
+        self.floor, self.hot = float(middle + 3 * (high - middle)), 2 * float(grams.mean()) + HOT
+
+    def look(self, words: np.ndarray, m: int, elements: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the elements of a set, each m words that are first found at a place in the text: in how many documents each may be, and whether it is very common."""
+        many = self.words[counter(words)].astype(np.float64)
+        chance = np.full(len(elements), self.total)
+        for i in range(m):
+            chance *= many[first + i] / self.total
+        count = self.grams[counter(elements)]
+        return np.maximum(chance, count - self.floor), count > self.hot
+
+
+def _sketch(rows: DataFrame) -> Counts:
     """The counters of all tasks added up: as a stream, whatever the number of tasks."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,10 +219,10 @@ def _sketch(rows: DataFrame) -> np.ndarray:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
 
-    out = np.zeros((COUNTERS // PART, PART), dtype=np.int64)
+    out = np.zeros((2 * COUNTERS // PART, PART), dtype=np.int64)
     for r in rows.select("part", F.col("bits").alias("counts")).repartition("part").mapInArrow(add, "part int, counts binary").toLocalIterator():
         out[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
-    return np.minimum(out.reshape(-1), 2**32 - 1).astype(np.uint32)
+    return Counts(*np.minimum(out.reshape(2, COUNTERS), 2**32 - 1).astype(np.uint32))
 
 
 # -- candidates -------------------------------------------------------------------------------------------
@@ -199,33 +238,31 @@ def matches_needed(others: np.ndarray, n: int, base: int) -> int:
     return int(np.argmin(cost)) + 1
 
 
-def _prefixes(docs: DataFrame, join: Join, counters: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, join: Join, counts: Counts) -> DataFrame:
     """The prefix elements of each set once in a task: element, set, its length, its l, and the l from which the element counts.
 
-    An l of 0 marks a very common element. The sketch is the same for all tasks, so all of an element's rows have the mark or none."""
-    shared = docs.sparkSession.sparkContext.broadcast(counters)
-    noise = float(counters.mean())
-    hot = 2 * noise + HOT
+    An l of 0 marks a very common element. The sketches are the same for all tasks, so all of an element's rows have the mark or none."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, seen = shared.value, set()
+        counts, seen = shared.value, set()
         for batch in batches:
             for part in ragged.slices(batch, "text"):
                 out = []
                 for text in ragged.texts(part, "text"):
-                    own = shingles(text, join.words)
+                    words, grams = hashed(text, join.words)
+                    own, first = np.unique(grams, return_index=True)
                     n = len(own)
                     if not n or (sid := set_id(own)) in seen:
                         continue
                     seen.add(sid)
-                    count = counters[(own >> np.uint64(44)).astype(np.int64)]
-                    order = np.lexsort((own, count))
+                    held, common = counts.look(words, min(join.words, len(words)), own, first)
+                    order = np.lexsort((own, held))
                     base = n - int(join.least(np.array(n)))
-                    others = np.maximum(count[order] - noise, 0) + 1.0
-                    need = matches_needed(others, n, base)
+                    need = matches_needed(held[order] + 1.0, n, base)
                     pick = order[: base + need]
                     level = np.maximum(1, np.arange(base + need) - base + 1)
-                    out.append((own[pick].view(np.int64), np.full(len(pick), sid[0]), np.full(len(pick), n), np.where(count[pick] > hot, 0, need), level))
+                    out.append((own[pick].view(np.int64), np.full(len(pick), sid[0]), np.full(len(pick), n), np.where(common[pick], 0, need), level))
                 if out:
                     element, sid, n, need, level = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(element), pa.array(sid), *[pa.array(x.astype(np.int32)) for x in (n, need, level)]], names=_PREFIX.names)
@@ -302,6 +339,12 @@ def _pairs(cols: list[np.ndarray], long_run: int | None, join: Join) -> Iterator
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[x], sid[y])), pa.array(np.maximum(sid[x], sid[y])), pa.array(least)], names=["a", "b", "need"])
 
 
+def _allowed(x: np.ndarray, y: np.ndarray, differ: np.ndarray, join: Join) -> np.ndarray:
+    """Whether sets of x and y elements may link whose bitmaps differ in so many bits."""
+    # At a Jaccard similarity of t the symmetric difference is at most (1 - t) / (1 + t) of both lengths.
+    return (np.minimum(x, y) * join.of >= np.maximum(x, y) * join.share) & (differ * (join.of + join.share) <= (x + y) * (join.of - join.share))
+
+
 def may_link(join: Join) -> blocks.Near:
     """Which sets lengths and bitmaps allow to link; a payload is the length in 8 bytes, and the bitmap."""
 
@@ -314,36 +357,65 @@ def may_link(join: Join) -> blocks.Near:
         def compare(x: int, others: np.ndarray) -> np.ndarray:
             others = others[np.minimum(size[others], size[x]) * join.of >= np.maximum(size[others], size[x]) * join.share]
             differ = np.bitwise_count(table[others] ^ table[x]).sum(axis=1, dtype=np.int64)
-            # At a Jaccard similarity of t the symmetric difference is at most (1 - t) / (1 + t) of both lengths.
-            return others[differ * (join.of + join.share) <= (size[others] + size[x]) * (join.of - join.share)]
+            return others[_allowed(size[others], size[x], differ, join)]
 
         return compare
 
     return near
 
 
-def _crowds(met: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """Candidate links (a, b) within the long runs."""
+def may_link_pairs(x: list[bytes], y: list[bytes], join: Join) -> np.ndarray:
+    """Of pairs of such payloads, those that :func:`may_link` allows."""
+    out = np.zeros(len(x), dtype=bool)
+    wide = np.array([[len(p) // 8 - 1 for p in own] for own in (x, y)]).reshape(2, -1)
+    for widths in np.unique(wide, axis=1).T:
+        at = np.flatnonzero((wide == widths[:, None]).all(axis=0))
+        own = [np.frombuffer(b"".join([p[i] for i in at]), dtype=np.uint64).reshape(len(at), -1) for p in (x, y)]
+        bits = [np.bitwise_xor.reduce(o[:, 1:].reshape(len(at), -1, widths.min()), axis=1) for o in own]
+        differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+        out[at] = _allowed(*(o[:, 0].astype(np.int64) for o in own), differ, join)
+    return out
+
+
+def _close(pairs: DataFrame, known: DataFrame, join: Join) -> DataFrame:
+    """Those of the pairs (a, b) that lengths and bitmaps allow to link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                own = pa.array(may_link_pairs(part.column("x").to_pylist(), part.column("y").to_pylist(), join))
+                yield part.select(["a", "b"]).filter(own)
+
+    for end, payload in (("a", "x"), ("b", "y")):
+        pairs = skew_join(pairs, known.select(F.col("node").alias(end), F.col("payload").alias(payload)), [end])
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _candidates(met: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """Links (a, b) that connect all sets that may link: pairs, and links within the long runs."""
+    stash = Stash(met.sparkSession)
+    pairs = met.where(F.col("need") > 0).groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.col("need")).select("a", "b")
+    pairs, pairs_path = stash.save(pairs, "pairs")
     members = met.where(F.col("need") < 0).select("a", "b", (-F.col("need")).alias("n")).distinct()
     # Sets of one length class may link; one that may link with sets of the next class comes to both.
     ratio = join.of / join.share
     step = lambda n: F.floor(F.log(n) / (4 * float(np.log(ratio)))) if ratio > 1 else n
     place = F.explode(F.array_distinct(F.array(step(F.col("n")), step(F.col("n") * ratio * (1 + 1e-9) if ratio > 1 else F.col("n")))))
     members = members.withColumn("c", place).select(F.xxhash64("b", "c").alias("g"), F.col("a").alias("node"), (16 + F.col("n") / 8).cast("long").alias("size"))
-    stash = Stash(met.sparkSession)
     members, path = stash.save(members, "crowds")
-    if members.isEmpty():
-        stash.drop(path)
-        return met.sparkSession.createDataFrame([], "a long, b long")
-    wanted = members.select(F.col("node").alias("sid")).distinct()
+    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(members.select(F.col("node").alias("sid"))).distinct()
     known = skew_join(sets.where(F.col("n") > 0).select("sid", "more", "n", "bits"), wanted, ["sid"])  # before copies are counted once
-    head = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright("n", 8 * k).bitwiseAND(255)), 2, "0") for k in range(8)]))
+    n = F.col("n").cast("long")  # an int shifted by 32 bits isn't shifted at all
+    head = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(255)), 2, "0") for k in range(8)]))
     known = known.groupBy("sid", "more").agg(F.first(F.concat(head, "bits")).alias("payload"))
     known, bitmaps = stash.save(known.select(F.col("sid").alias("node"), "payload"), "bitmaps")
+    close, _ = stash.save(_close(pairs, known, join), "close")
+    stash.drop(pairs_path)
     found = blocks.link_groups(members, lambda rows: skew_join(rows, known, ["node"]), may_link(join), CROWD)
     stash.drop(path)
     stash.drop(bitmaps)
-    return found
+    return close.unionByName(found)
 
 
 # -- verification -----------------------------------------------------------------------------------------
@@ -409,10 +481,9 @@ def class_nodes(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", te
     both, _ = stash.save(_sets_and_sketch(use.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit("")))), join), "sets")
     rows = both.where(F.col("part").isNull()).select("doc_id", "n", "sid", "more", "mark", "bits")
     nodes = rows.drop("bits")
-    counters = _sketch(both.where(F.col("part").isNotNull()))
-    met, met_path = stash.save(_meet(_prefixes(use, join, counters), join), "met")
-    pairs = met.where(F.col("need") > 0).groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.col("need")).select("a", "b")
-    candidates = components(pairs.unionByName(_crowds(met, rows, join)))
+    counts = _sketch(both.where(F.col("part").isNotNull()))
+    met, met_path = stash.save(_meet(_prefixes(use, join, counts), join), "met")
+    candidates = components(_candidates(met, rows, join))
     stash.drop(met_path)
     # Each set has a number of its own; the smallest id of its documents finds its text again.
     sets = nodes.where(F.col("n") > 0).groupBy("sid", "more").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
